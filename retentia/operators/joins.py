@@ -109,19 +109,22 @@ def lookup_join(
     key: str | Sequence[str],
     max_rows: int = LOOKUP_ROWS,
     salts: int = SALTS,
-    materialized: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Left join to a lookup table that is unique by ``key``.
 
     The lookup is counted first. Up to ``max_rows`` it is broadcast and ``df``
     is not shuffled. A larger one is joined by shuffle with each key of ``df``
     spread over ``salts`` partitions, as one key may hold most of the rows.
+    Give ``rows`` if the lookup is a written table whose size is known.
     """
     keys = _keys(key)
-    table = lookup if materialized else materialize(lookup, "lookup")
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return df.join(F.broadcast(table), keys, "left")
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if rows is None:
+        lookup = materialize(lookup, "lookup")
+        rows = lookup.count()
+    if rows <= max_rows:
+        return df.join(F.broadcast(lookup), keys, "left")
+    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn(
         "_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
     )

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,30 +73,32 @@ def collinear_pairs(corr: DataFrame, limit: float = 0.5) -> DataFrame:
 
 
 def rfe_rank(
-    df: DataFrame, cols: Sequence[str], label: str, max_iter: int = 100, tol: float = 1e-4
+    df: DataFrame, cols: Sequence[str], label: str, max_iter: int = 25, tol: float = 1e-6
 ) -> DataFrame:
     """Recursive feature elimination: ``(rank, feature)``, rank 1 is dropped last.
 
     Each round fits a logistic regression on what is left and drops the feature
-    with the smallest squared coefficient. The penalty is the one of a summed
-    loss with C = 1. Expects scaled columns.
+    with the smallest squared coefficient. Expects scaled columns and balanced
+    classes. The fit is the iteratively reweighted one, which reads the rows about
+    six times a round where a gradient method takes fifty. Its penalty is per
+    weight p(1 - p), at most a quarter per row, so 4/rows stands for a summed
+    loss with C = 1.
     """
     table = materialize(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(label).cast("double").alias("label")),
+        df.select(
+            *[F.col(c).cast("double").alias(c) for c in cols],
+            F.col(label).cast("double").alias("label"),
+        ),
         "rfe",
     )
-    rows = table.count()
+    fitter = GeneralizedLinearRegression(
+        family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=4.0 / table.count()
+    )
     left, dropped = list(cols), []
     while len(left) > 1:
-        vectors = VectorAssembler(inputCols=left, outputCol="features").transform(table)
-        fit = LogisticRegression(
-            maxIter=max_iter,
-            tol=tol,
-            regParam=1.0 / rows,
-            elasticNetParam=0.0,
-            standardization=False,
-        ).fit(vectors.select("features", "label"))
-        weight = fit.coefficients.toArray() ** 2
+        vectors = features_and_label(table, left, "label").persist()
+        weight = fitter.fit(vectors).coefficients.toArray() ** 2
+        vectors.unpersist()
         dropped.append(left.pop(int(weight.argmin())))
     ranked = left + dropped[::-1]
     return df.sparkSession.createDataFrame(

@@ -75,11 +75,12 @@ def woe_apply(
     which is how they are encoded. The encoding table is written once and its
     size per feature decides how it is joined.
     """
-    fitted = materialize(woe_df, "woe")
+    fitted = materialize(woe_df.select("variable", "value", "woe"), "woe")
+    sizes = {r["variable"]: r["count"] for r in fitted.groupBy("variable").count().collect()}
     out = df.withColumns({f: text_or(f, NULL_CATEGORY) for f in features})
     for feature in features:
         out = lookup_join(
-            out, woe_lookup(fitted, feature), feature, max_rows=max_rows, materialized=True
+            out, woe_lookup(fitted, feature), feature, max_rows, rows=sizes.get(feature, 0)
         )
     return out.select(*df.columns, *[f"{f}_woe" for f in features])
 
