@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.sources.tables import materialize
@@ -67,20 +67,30 @@ def semi_filter(df: DataFrame, keys_df: DataFrame, key: str | Sequence[str]) ->
     return df.join(keys_df.select(*_keys(key)).distinct(), _keys(key), "left_semi")
 
 
-def key_overlap(a: DataFrame, b: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """One row: distinct keys in a, in b, in both and in either, and whether disjoint."""
+def key_presence(a: DataFrame, b: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Every key of either table with its number of rows in each (``n_a``, ``n_b``)."""
     keys = _keys(keys)
-    tagged = a.select(*keys, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(
-        b.select(*keys, F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
+    tagged = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
     )
-    per_key = tagged.groupBy(*keys).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
-    both = F.col("in_a") * F.col("in_b")
-    return per_key.agg(
-        F.count_if(F.col("in_a") == 1).alias("keys_a"),
-        F.count_if(F.col("in_b") == 1).alias("keys_b"),
-        F.count_if(both == 1).alias("keys_both"),
+    return tagged.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+
+
+def overlap_counts() -> list[Column]:
+    """Aggregates over ``key_presence``: distinct keys in a, in b, in both, in either."""
+    in_a, in_b = F.col("n_a") > 0, F.col("n_b") > 0
+    return [
+        F.count_if(in_a).alias("keys_a"),
+        F.count_if(in_b).alias("keys_b"),
+        F.count_if(in_a & in_b).alias("keys_both"),
         F.count("*").alias("keys_all"),
-    ).withColumn("disjoint", F.col("keys_both") == 0)
+        (F.count_if(in_a & in_b) == 0).alias("disjoint"),
+    ]
+
+
+def key_overlap(a: DataFrame, b: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """One row: distinct keys in a, in b, in both and in either, and whether disjoint."""
+    return key_presence(a, b, keys).agg(*overlap_counts())
 
 
 def key_difference(a: DataFrame, b: DataFrame, keys: str | Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import key_hash
+from retentia.sources.tables import materialize
 
 
 def hash_split(df: DataFrame, key: str, test_pct: int = 40, salt: str = "") -> DataFrame:
@@ -25,13 +26,17 @@ def _drawn(df: DataFrame, label: str, key: str, quota: Column, salt: str) -> Dat
     rows of lowest key hash.
 
     ``quota`` may use the class size ``_size`` and the smallest and largest class
-    size ``_min`` and ``_max``. ``key`` must be unique. The cut is found on a histogram of 65,536 hash
-    ranges per class; only the one range that holds the cut is ranked.
+    size ``_min`` and ``_max``. ``key`` must be unique. The cut is found on a
+    histogram of 65,536 hash ranges per class, which is made at once in a job of
+    its own; only the one range that holds the cut is ranked.
     """
     hashed = df.withColumn("_hash", key_hash(key, salt)).withColumn(
         "_range", F.substring("_hash", 1, 4)
     )
-    ranges = hashed.groupBy(label, "_range").agg(F.count("*").alias("_n"))
+    ranges = materialize(
+        hashed.where(F.col(label).isNotNull()).groupBy(label, "_range").agg(F.count("*").alias("_n")),
+        "ranges",
+    )
     everything = Window.partitionBy()  # over one row per class
     sizes = (
         ranges.groupBy(label)

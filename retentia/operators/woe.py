@@ -16,7 +16,7 @@ NULL_CATEGORY = "NULL"
 
 
 def woe_fit(df: DataFrame, features: str | Sequence[str], target: str) -> DataFrame:
-    """The encoding table of one or many features, from one aggregation.
+    """The encoding table of one or many features, from one aggregation run at once.
 
     Columns: variable, value, all, good, bad, share, bad_rate, distribution_good,
     distribution_bad, woe, iv. A missing value is a category of its own. Rows
@@ -35,10 +35,13 @@ def woe_fit(df: DataFrame, features: str | Sequence[str], target: str) -> DataFr
             )
         ).alias("_cell"),
     ).select("_y", "_cell.variable", "_cell.value")
-    counts = cells.groupBy("variable", "value").agg(
-        F.count("*").alias("all"),
-        F.count_if(F.col("_y") == 0).alias("good"),
-        F.count_if(F.col("_y") == 1).alias("bad"),
+    counts = materialize(
+        cells.groupBy("variable", "value").agg(
+            F.count("*").alias("all"),
+            F.count_if(F.col("_y") == 0).alias("good"),
+            F.count_if(F.col("_y") == 1).alias("bad"),
+        ),
+        "woe_counts",
     )
     # One row per feature: broadcast is bounded by the number of features.
     totals = counts.groupBy("variable").agg(F.sum("all").alias("_all"), F.sum("bad").alias("_bad"))

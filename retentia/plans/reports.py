@@ -28,9 +28,10 @@ from retentia.operators import activity, models, quality, sampling, selection, s
 from retentia.operators.joins import (
     full_join,
     full_join_detail,
-    key_overlap,
+    key_presence,
     left_join_all,
     left_join_detail,
+    overlap_counts,
     union_by_name,
 )
 from retentia.operators.woe import woe_apply, woe_fit
@@ -83,19 +84,12 @@ def labelled_transactions(
 def transaction_checks(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """One row: whether the two files repeat each other's keys, and how often keys repeat."""
     keys = [key, "transaction_date", "membership_expire_date"]
-    overlap = key_overlap(first, second, keys)
-    per_key = union_by_name(first, second).groupBy(*keys).agg(F.count("*").alias("n"))
-    repeats = per_key.agg(
-        F.sum("n").alias("row_count"),
-        F.count_if(F.col("n") != 1).alias("repeated_keys"),
-        F.max("n").alias("max_repeats"),
-    )
-    # Two frames of one row each.
-    one = F.lit(1)
-    return (
-        overlap.withColumn("_one", one)
-        .join(F.broadcast(repeats.withColumn("_one", one)), "_one")
-        .drop("_one")
+    repeats = F.col("n_a") + F.col("n_b")
+    return key_presence(first, second, keys).agg(
+        *overlap_counts(),
+        F.sum(repeats).alias("row_count"),
+        F.count_if(repeats != 1).alias("repeated_keys"),
+        F.max(repeats).alias("max_repeats"),
     )
 
 
