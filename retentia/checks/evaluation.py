@@ -20,7 +20,8 @@ COLS = ["registered_via_woe", "bd", "city_woe"]
 
 def _samples(s, d):
     """Balanced, scaled train part and scaled test part of the encoded members."""
-    encoded = reports.encoded_members(v.clean_members(s, d), K)
+    members = materialize(v.clean_members(s, d), "members")
+    encoded = reports.encoded_members(members, K)
     table = materialize(
         fill_all(encoded.select(K, LABEL, *COLS), number=reports.MISSING_FEATURE), "features"
     )
@@ -52,7 +53,8 @@ add("m2_decision_tree", _scored("decision_tree"))
 
 def m3(s, d):
     members = v.members(s, d).join(v.target(s, d), K)
-    points = members.select(K, LABEL, F.col("bd").cast("double").alias("x"), F.col("city").cast("double").alias("y"))
+    x, y = F.col("bd").cast("double").alias("x"), F.col("city").cast("double").alias("y")
+    points = materialize(members.select(K, LABEL, x, y), "points")
     train, test = reports.train_sample(points, K)
     return neighbors.knn_score(train, test, ["x", "y"], LABEL, K, k=5).select(K, r6("p").alias("p"))
 

@@ -6,6 +6,7 @@ from retentia.checks.registry import CATEGORICAL, COUNTS, MEASURES, add, rounded
 from retentia.operators import activity
 from retentia.plans import reports
 from retentia.plans import views as v
+from retentia.sources.tables import materialize
 
 K = v.KEY
 _SECS = ("total_secs_clean", "abs_total_secs")
@@ -15,7 +16,9 @@ _ENCODED_SQL = "SELECT user_id, is_churn_final, bd, reg_year, " + ", ".join(
 
 
 def encoded(s, d):
-    return reports.encoded_members(v.clean_members(s, d), K)
+    # The fit and the encoding both read the cleaned members, as a written table.
+    members = materialize(v.clean_members(s, d), "members")
+    return reports.encoded_members(members, K)
 
 
 def wide(s, d):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import as_col
-from retentia.operators.joins import full_join_detail, semi_filter
+from retentia.operators.joins import semi_filter, union_by_name
 from retentia.operators.ordered import ONE_TASK_ROWS, running_totals
 
 
@@ -55,6 +55,9 @@ def tenure(
     return per_key.select(key, event, F.round(total, 0).alias(out))
 
 
+_LIFE = ("timeline", "removed", "observed", "at_risk")
+
+
 def life_table(
     df: DataFrame, t: str, e: str, one_task_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
@@ -77,46 +80,50 @@ def life_table(
     left = running_totals(
         counts, ["timeline"], {"at_risk": F.col("removed")}, descending=True, one_task_rows=one_task_rows
     )
-    return left.select("timeline", "removed", "observed", "at_risk")
+    return left.select(*_LIFE)
 
 
-def kaplan_meier(
-    df: DataFrame, t: str, e: str, ci: float = 0.95, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """Product-limit survival function with a log(-log) band from Greenwood's variance.
-
-    Columns: timeline, removed, observed, at_risk, km_estimate, km_lower, km_upper,
-    cumulative_density. Where survival is 1 so is the band; where it is 0 the band
-    is null.
-    """
-    table = life_table(df, t, e, one_task_rows)
+def _km_sums() -> dict[str, Column]:
+    """What has to be summed over time for the survival function and its variance."""
     d, n = F.col("observed"), F.col("at_risk")
     alive = n > d
-    sums = {
+    return {
         "_log": F.when(alive, F.log1p(-d / n)).otherwise(F.lit(0.0)),
         "_end": F.when(alive | (d == 0), 0).otherwise(1),
         "_var": F.when(alive, d / (n.cast("double") * (n - d))).otherwise(F.lit(0.0)),
     }
-    summed = running_totals(table, ["timeline"], sums, one_task_rows=one_task_rows)
-    survival = F.when(F.col("_end") > 0, 0.0).otherwise(F.exp("_log"))
+
+
+def _km_columns(ci: float) -> list[Column]:
+    ended, log_s = F.col("_end") > 0, F.col("_log")
+    survival = F.when(ended, 0.0).otherwise(F.exp(log_s))
     z = NormalDist().inv_cdf(1 - (1 - ci) / 2)
 
     def band(sign: int) -> Column:
-        log_s = F.col("_log")
         spread = F.lit(sign * z) * F.sqrt("_var") / log_s
         inner = F.exp(-F.exp(F.log(-log_s) + spread))
-        return F.when(F.col("_end") > 0, F.lit(None)).when(log_s == 0, 1.0).otherwise(inner)
+        return F.when(ended, F.lit(None)).when(log_s == 0, 1.0).otherwise(inner)
 
-    return summed.select(
-        "timeline",
-        "removed",
-        "observed",
-        "at_risk",
+    return [
         survival.alias("km_estimate"),
         band(-1).alias("km_lower"),
         band(1).alias("km_upper"),
         (1 - survival).alias("cumulative_density"),
-    )
+    ]
+
+
+def kaplan_meier(
+    df: DataFrame, t: str, e: str, ci: float = 0.95, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """Product-limit survival function with a log(-log) band from Greenwood's variance.
+
+    Columns: timeline, removed, observed, at_risk, km_estimate, km_lower, km_upper,
+    cumulative_density. Where survival is 1 so is the band; where it is 0 the band
+    is null.
+    """
+    table = life_table(df, t, e, one_task_rows)
+    summed = running_totals(table, ["timeline"], _km_sums(), one_task_rows=one_task_rows)
+    return summed.select(*_LIFE, *_km_columns(ci))
 
 
 def median_survival(km: DataFrame) -> DataFrame:
@@ -151,6 +158,17 @@ def harmonic_difference(n: Column, m: Column) -> Column:
     return series(top, base) + (at(n) - at(m))
 
 
+def _hazard_step(ties: str) -> Column:
+    d, n = F.col("observed"), F.col("at_risk")
+    if ties == "fh":
+        step = harmonic_difference(n, n - d)
+    elif ties == "plain":
+        step = F.try_divide(d, n)
+    else:
+        raise ValueError("ties is 'fh' or 'plain'")
+    return F.when(d > 0, step).otherwise(F.lit(0.0))
+
+
 def nelson_aalen(
     df: DataFrame, t: str, e: str, ties: str = "fh", one_task_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
@@ -159,18 +177,26 @@ def nelson_aalen(
     ``ties='plain'`` adds d/n per time; ``'fh'`` counts the d events of one time
     as if they came one after the other.
     """
+    sums = {"cumulative_hazard": _hazard_step(ties)}
     table = life_table(df, t, e, one_task_rows)
-    d, n = F.col("observed"), F.col("at_risk")
-    if ties == "fh":
-        step = harmonic_difference(n, n - d)
-    elif ties == "plain":
-        step = F.try_divide(d, n)
-    else:
-        raise ValueError("ties is 'fh' or 'plain'")
-    step = F.when(d > 0, step).otherwise(F.lit(0.0))
-    return running_totals(
-        table, ["timeline"], {"cumulative_hazard": step}, one_task_rows=one_task_rows
-    ).select("timeline", "removed", "observed", "at_risk", "cumulative_hazard")
+    return running_totals(table, ["timeline"], sums, one_task_rows=one_task_rows).select(
+        *_LIFE, "cumulative_hazard"
+    )
+
+
+def survival_curves(
+    df: DataFrame,
+    t: str,
+    e: str,
+    ci: float = 0.95,
+    ties: str = "fh",
+    one_task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
+    """``kaplan_meier`` and ``nelson_aalen`` side by side, from one life table."""
+    sums = {**_km_sums(), "cumulative_hazard": _hazard_step(ties)}
+    table = life_table(df, t, e, one_task_rows)
+    summed = running_totals(table, ["timeline"], sums, one_task_rows=one_task_rows)
+    return summed.select(*_LIFE, *_km_columns(ci), "cumulative_hazard")
 
 
 def curve_at(curve: DataFrame, times: Sequence[float], value: str, exact: bool = False) -> DataFrame:
@@ -212,4 +238,6 @@ def cohort(
     since = members.where(F.col(year) >= since_year)
     kept = semi_filter(transactions, since, key)
     starts = since.select(key, as_col(registered).alias(date))
-    return full_join_detail(kept, starts, [key, date])
+    # Only members of the cohort can meet a start, so all transactions may be asked.
+    known = transactions.select(key, date).distinct()
+    return union_by_name(kept, starts.join(known, [key, date], "left_anti"))

@@ -228,10 +228,7 @@ def survival_table(cohort: DataFrame, key: str, keep_single: bool = False) -> Da
 
 def survival_curves(table: DataFrame, ci: float = 0.95) -> DataFrame:
     """Survival function and cumulative hazard of a survival table, per month."""
-    rows = materialize(table, "survival")
-    km = survival.kaplan_meier(rows, "month", LABEL, ci)
-    hazard = survival.nelson_aalen(rows, "month", LABEL)
-    return km.join(hazard.select("timeline", "cumulative_hazard"), "timeline")
+    return survival.survival_curves(table, "month", LABEL, ci)
 
 
 def churn_by_registration(members: DataFrame) -> DataFrame:

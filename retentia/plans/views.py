@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import date_int
 from retentia.plans import reports
+from retentia.sources.tables import materialize
 
 KEY = "user_id"
 COHORT_YEAR = 1996
@@ -137,9 +138,10 @@ def clean_members(spark, sf_dir) -> DataFrame:
 
 
 def cohort_transactions(spark, sf_dir) -> DataFrame:
-    return reports.cohort_transactions(
-        labelled_transactions(spark, sf_dir), clean_members(spark, sf_dir), COHORT_YEAR, KEY
-    )
+    # Both inputs are outputs of earlier steps, read from written tables.
+    labelled = materialize(labelled_transactions(spark, sf_dir), "labelled")
+    cleaned = materialize(clean_members(spark, sf_dir), "members")
+    return reports.cohort_transactions(labelled, cleaned, COHORT_YEAR, KEY)
 
 
 def survival(spark, sf_dir) -> DataFrame:
