@@ -22,7 +22,8 @@ def encoded(s, d):
 
 
 def wide(s, d):
-    return reports.wide_features(encoded(s, d), v.logs(s, d), K)
+    features = activity.activity_features(v.logs(s, d), K, "date")
+    return reports.wide_features(encoded(s, d), [features], K)
 
 
 def activity_table(s, d):

@@ -112,6 +112,9 @@ def nearest_rows(
 ) -> DataFrame:
     """The k rows of ``train`` nearest to each distinct point: points' ``cols``, ``rank``,
     ``distance``, the row's ``key`` and ``carry``. Equal distances go by ``key``.
+
+    Exact for any data, but boxes tell little in many dimensions: there every cell
+    is a candidate. Meant for a handful of columns.
     """
     cols = list(cols)
     # Of equal rows only the k first by key can be among the neighbours of anything.
@@ -166,20 +169,25 @@ def nearest_rows(
         pool = pool.sort_values(key, kind="stable")
         base = pool[cols].to_numpy(float)
         out = []
-        if len(pool) and len(targets):
-            for start in range(0, len(targets), 512):
-                batch = targets.iloc[start : start + 512]
-                x = batch[cols].to_numpy(float)
-                d = np.zeros((len(x), len(base)))
-                for i in range(len(cols)):
-                    d += (x[:, i : i + 1] - base[:, i]) ** 2
-                best = d.argsort(axis=1, kind="stable")[:, :k]
-                width = best.shape[1]
-                found = batch[cols].loc[batch.index.repeat(width)].reset_index(drop=True)
-                found["distance"] = np.take_along_axis(d, best, axis=1).ravel()
-                found[key] = pool[key].to_numpy()[best.ravel()]
-                found[carry] = pool[carry].to_numpy()[best.ravel()]
-                out.append(found)
+        # Bounds the matrix of distances to some tens of megabytes.
+        step = max(1, 4_000_000 // max(1, len(base)))
+        for start in range(0, len(targets) if len(base) else 0, step):
+            batch = targets.iloc[start : start + step]
+            x = batch[cols].to_numpy(float)
+            d = np.zeros((len(x), len(base)))
+            for i in range(len(cols)):
+                d += (x[:, i : i + 1] - base[:, i]) ** 2
+            reach = min(k, len(base)) - 1
+            point, row = np.nonzero(d <= np.partition(d, reach, axis=1)[:, reach : reach + 1])
+            order = np.lexsort((row, d[point, row], point))
+            point, row = point[order], row[order]
+            place = np.arange(len(point)) - np.searchsorted(point, point)
+            point, row = point[place <= reach], row[place <= reach]
+            found = batch[cols].iloc[point].reset_index(drop=True)
+            found["distance"] = d[point, row]
+            found[key] = pool[key].to_numpy()[row]
+            found[carry] = pool[carry].to_numpy()[row]
+            out.append(found)
         if out:
             return pd.concat(out, ignore_index=True)
         return pd.DataFrame(columns=[*cols, "distance", key, carry])

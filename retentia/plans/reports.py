@@ -24,7 +24,7 @@ from retentia.functions.columns import (
     text_or,
     valid_or,
 )
-from retentia.operators import activity, models, quality, sampling, selection, survival
+from retentia.operators import models, quality, sampling, selection, survival
 from retentia.operators.joins import (
     full_join,
     full_join_detail,
@@ -159,23 +159,16 @@ def encoded_members(
 
 
 def wide_features(
-    encoded: DataFrame, logs: DataFrame, key: str, log_key: str | None = None, date: str = "date"
+    encoded: DataFrame, activity: Sequence[DataFrame], key: str, date: str = "date"
 ) -> DataFrame:
-    """Encoded members with all activity features, gaps filled with -5.
+    """Encoded members left join their activity tables, with gaps filled with -5.
 
     Dates, row counts and the absolute seconds are left out.
     """
-    log_key = log_key or key
-    features = activity.activity_features(logs, log_key, date)
-    if log_key != key:
-        features = features.withColumnRenamed(log_key, key)
-    joined = left_join_all(encoded, [features], key)
-    out = [
-        c
-        for c in joined.columns
-        if not c.startswith((f"{date}_", "row_count", "abs_", "sum_abs_"))
-    ]
-    return fill_all(joined.select(*out), number=MISSING_FEATURE)
+    joined = left_join_all(encoded, activity, key)
+    left_out = (f"{date}_", "row_count", "abs_", "sum_abs_")
+    kept = [c for c in joined.columns if not c.startswith(left_out)]
+    return fill_all(joined.select(*kept), number=MISSING_FEATURE)
 
 
 def train_sample(features: DataFrame, key: str, test_pct: int = 40) -> tuple[DataFrame, DataFrame]:

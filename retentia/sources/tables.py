@@ -43,7 +43,8 @@ def read_table(
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", header).option("inferSchema", schema is None)
+        # With a declared schema the header is checked against it, not ignored.
+        reader = reader.options(header=header, inferSchema=schema is None, enforceSchema=False)
     df = reader.format(fmt).load(path)
     types = dict(df.dtypes)
     for name in dates:

@@ -18,6 +18,7 @@ def spark():
         master="local[8]",
         conf={
             "spark.sql.shuffle.partitions": "4",
+            "spark.default.parallelism": "3",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",

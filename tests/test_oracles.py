@@ -4,11 +4,24 @@ import oracle
 import pytest
 
 from retentia.checks import ORACLES, QUERIES
+from retentia.plans import views
+from retentia.sources.tables import materialize
 
 # Model fits take tens of seconds each and have their own tests on small frames.
 SLOW = {n for n in QUERIES if n not in ORACLES and n not in ("x4_feature_elimination", "m7_model_registry")}
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_views(spark, sf_dir):
+    """The views that many queries start from are made once for all of them."""
+    patch = pytest.MonkeyPatch()
+    for name in ("clean_members", "cohort_transactions", "survival"):
+        table = materialize(getattr(views, name)(spark, sf_dir), name)
+        patch.setattr(views, name, lambda s, d, table=table: table)
+    yield
+    patch.undo()
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return oracle.connect(sf_dir)
