@@ -21,14 +21,18 @@ def encoded(s, d):
     return reports.encoded_members(members, K)
 
 
+def log_features(s, d):
+    # Lifetime and recent rows are two passes over the log, so it is written first.
+    return activity.activity_features(materialize(v.logs(s, d), "logs"), K, "date")
+
+
 def wide(s, d):
-    features = activity.activity_features(v.logs(s, d), K, "date")
+    features = log_features(s, d)
     return reports.wide_features(encoded(s, d), [features], K)
 
 
 def activity_table(s, d):
-    features = activity.activity_features(v.logs(s, d), K, "date")
-    return rounded(features, *[f"sum_{c}{x}" for c in _SECS for x in ("", "_3last")])
+    return rounded(log_features(s, d), *[f"sum_{c}{x}" for c in _SECS for x in ("", "_3last")])
 
 
 add("q1_churn_target", lambda s, d: v.target(s, d), "SELECT * FROM target")

@@ -27,7 +27,8 @@ def int_date(c: ColumnLike) -> Column:
 
 def date_int(c: ColumnLike) -> Column:
     """A date as an integer ``yyyyMMdd``."""
-    return F.date_format(as_col(c), "yyyyMMdd").cast("int")
+    c = as_col(c)
+    return F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)
 
 
 def newest(old: ColumnLike, new: ColumnLike) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import date_int
@@ -69,11 +69,15 @@ def members(spark, sf_dir) -> DataFrame:
     )
 
 
-def _transactions(spark, sf_dir) -> DataFrame:
+_SECOND_FILE_FROM = "2000-01-01 00:00:00"
+
+
+def _transactions(spark, sf_dir, period: Column) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     price = F.col("o_totalprice")
     paid = F.when(F.col("o_orderstatus") == "F", price).otherwise(price - F.lit(25.0))
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").where(period)
+    return orders.select(
         F.col("o_orderkey").alias("transaction_id"),
         F.col("o_custkey").alias(KEY),
         date_int(day).alias("transaction_date"),
@@ -84,11 +88,11 @@ def _transactions(spark, sf_dir) -> DataFrame:
 
 
 def transactions_a(spark, sf_dir) -> DataFrame:
-    return _transactions(spark, sf_dir).where(F.col("transaction_date") < 20000101)
+    return _transactions(spark, sf_dir, F.col("o_orderdate") < _SECOND_FILE_FROM)
 
 
 def transactions_b(spark, sf_dir) -> DataFrame:
-    return _transactions(spark, sf_dir).where(F.col("transaction_date") >= 20000101)
+    return _transactions(spark, sf_dir, F.col("o_orderdate") >= _SECOND_FILE_FROM)
 
 
 def transactions(spark, sf_dir) -> DataFrame:
@@ -130,7 +134,8 @@ def logs_b(spark, sf_dir) -> DataFrame:
 
 def labelled_transactions(spark, sf_dir) -> DataFrame:
     parts = [transactions_a(spark, sf_dir), transactions_b(spark, sf_dir)]
-    return reports.labelled_transactions(target(spark, sf_dir), parts, KEY)
+    labels = materialize(target(spark, sf_dir), "target")
+    return reports.labelled_transactions(labels, parts, KEY)
 
 
 def clean_members(spark, sf_dir) -> DataFrame:
