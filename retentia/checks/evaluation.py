@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retentia.checks.registry import add, r6, rounded
+from retentia.checks.registry import add, r6, rounded, slot
 from retentia.functions.columns import fill_all
 from retentia.operators import metrics, models, neighbors, selection, survival
 from retentia.plans import reports
@@ -77,7 +77,28 @@ add(
 )
 add("m3_nearest_neighbours_scaled", _scored("knn"))
 add("m4_random_forest", _scored("random_forest"))
-add("m5_naive_bayes", _scored("naive_bayes"))
+# The posterior does not change when a feature is shifted and scaled, so the SQL does
+# without the scaling.
+_FEATURES_SQL = f"""features AS (SELECT user_id, is_churn_final AS label,
+        coalesce(registered_via_woe, -5) AS a, CAST(coalesce(bd, -5) AS DOUBLE) AS b,
+        coalesce(city_woe, -5) AS c, {slot('user_id')} < 60 AS is_train FROM encoded),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY label
+        ORDER BY md5(CAST(user_id AS VARCHAR)), user_id) AS rn FROM features WHERE is_train),
+    train AS (SELECT * FROM numbered
+        WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM numbered GROUP BY label)))"""
+add(
+    "m5_naive_bayes",
+    lambda s, d: rounded(_scored("naive_bayes")(s, d), "p", digits=5),
+    f"""WITH {_FEATURES_SQL},
+    stats AS (SELECT label AS y, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc,
+        var_pop(a) AS va, var_pop(b) AS vb, var_pop(c) AS vc FROM train GROUP BY 1),
+    logs_of AS (SELECT user_id, label, y, -(ln(va * vb * vc) + (a - ma) ^ 2 / va + (b - mb) ^ 2 / vb
+        + (c - mc) ^ 2 / vc) / 2 AS l FROM features, stats WHERE NOT is_train),
+    posterior AS (SELECT user_id, label, 1 / (1 + exp(max(l) FILTER (WHERE y = 0) - max(l) FILTER (WHERE y = 1)))
+        AS p FROM logs_of GROUP BY 1, 2)
+    SELECT 'naive_bayes' AS model, user_id, label, round(p, 5) AS p, CAST(p > 0.5 AS INTEGER) AS pred
+    FROM posterior""",
+)
 add("m6_boosted_trees", _scored("boosted_trees"))
 
 

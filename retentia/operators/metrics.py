@@ -136,7 +136,12 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = (), label: str = "label", *
     start = (
         sized.groupBy(*by)
         .agg(F.count("*").alias("_n"))
-        .select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+        .select(
+            *by,
+            F.lit(None).cast("double").alias("threshold"),
+            F.lit(0.0).alias("fpr"),
+            F.lit(0.0).alias("tpr"),
+        )
     )
     return points.unionByName(start)
 
@@ -171,7 +176,12 @@ def pr_curve(scored: DataFrame, by: Sequence[str] = (), label: str = "label", **
     end = (
         sized.groupBy(*by)
         .agg(F.count("*").alias("_n"))
-        .select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+        .select(
+            *by,
+            F.lit(None).cast("double").alias("threshold"),
+            F.lit(1.0).alias("precision"),
+            F.lit(0.0).alias("recall"),
+        )
     )
     return points.unionByName(end)
 

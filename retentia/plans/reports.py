@@ -27,7 +27,6 @@ from retentia.functions.columns import (
 from retentia.operators import models, quality, sampling, selection, survival
 from retentia.operators.joins import (
     full_join,
-    full_join_detail,
     key_presence,
     left_join_all,
     left_join_detail,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 
 import duckdb
@@ -22,11 +21,7 @@ def connect(sf_dir: str):
 
 
 def _cell(value):
-    if value is None:
-        return None
-    if isinstance(value, float):
-        return None if math.isnan(value) else repr(value + 0.0)
-    return repr(value)
+    return None if value is None else repr(value)
 
 
 def _rows(table) -> list[tuple]:

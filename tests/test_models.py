@@ -82,3 +82,17 @@ def test_comparison_has_every_model_split_and_metric(spark, planted):
 def test_unknown_model_is_refused(spark, planted):
     with pytest.raises(ValueError):
         models.fit_models(planted[0], ["a", "b"], "y", "k", names=["svm"])
+
+
+def test_logistic_weights_equal_newton_steps(spark, planted):
+    train, _ = planted
+    fitted = models.fit_models(train, ["a", "b"], "y", "k", names=["log_reg"])["log_reg"]
+    pdf = train.toPandas()
+    x = np.column_stack([pdf.a, pdf.b, np.ones(len(pdf))])
+    y, w, ridge = pdf.y.to_numpy(), np.zeros(3), np.diag([1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + ridge @ w)
+    got = [*fitted.coefficients.toArray(), fitted.intercept]
+    np.testing.assert_allclose(got, w, rtol=0.02, atol=0.01)
