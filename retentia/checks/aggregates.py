@@ -182,6 +182,16 @@ add(
     ),
     _summary_sql("logs", [*COUNTS, "total_secs"]),
 )
+add(
+    "a17_describe",
+    lambda s, d: rounded(quality.summary_long(v.logs(s, d), percentiles=()), "mean", "stddev"),
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, "
+        f"round(stddev_samp({c}), 6) AS stddev, CAST(min({c}) AS DOUBLE) AS min, "
+        f"CAST(max({c}) AS DOUBLE) AS max FROM logs"
+        for c in ["user_id", *COUNTS, "total_secs"]
+    ),
+)
 add(
     "a17_summary_in_ranges",
     lambda s, d: rounded(

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import key_hash
 from retentia.sources.tables import materialize
 
+# The histogram of hash ranges is broadcast up to this many rows.
+BROADCAST_RANGES = 1_000_000
+
 
 def hash_split(df: DataFrame, key: str, test_pct: int = 40, salt: str = "") -> DataFrame:
     """Adds ``split`` (train/test); all rows of one key fall on the same side."""
@@ -48,7 +51,7 @@ def _drawn(df: DataFrame, label: str, key: str, quota: Column, salt: str) -> Dat
     upto = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
         ranges.withColumn("_upto", F.sum("_n").over(upto))
-        .join(F.broadcast(sizes), label)
+        .join(sizes, label)
         .select(
             label,
             "_range",
@@ -62,8 +65,9 @@ def _drawn(df: DataFrame, label: str, key: str, quota: Column, salt: str) -> Dat
             ),
         )
     )
-    # At most 65,536 rows per class.
-    placed = hashed.join(F.broadcast(cut), [label, "_range"])
+    # At most 65,536 rows per class; classes are few, but that is counted too.
+    few = ranges.count() <= BROADCAST_RANGES
+    placed = hashed.join(F.broadcast(cut) if few else cut, [label, "_range"])
     in_order = Window.partitionBy(label).orderBy("_hash", key)
     ranked = (
         placed.where("_cut")

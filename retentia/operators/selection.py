@@ -131,11 +131,11 @@ def drop_adjacent_collinear(
     while rounds is None or done < rounds:
         neighbours = kept.withColumn("feature_a", F.lag("feature").over(by_rank))
         excluded = neighbours.join(
-            F.broadcast(both.withColumnRenamed("feature_b", "feature")),
+            both.withColumnRenamed("feature_b", "feature"),
             ["feature_a", "feature"],
             "left_semi",
         ).select("feature")
-        kept = materialize(kept.join(F.broadcast(excluded), "feature", "left_anti"), "rank")
+        kept = materialize(kept.join(excluded, "feature", "left_anti"), "rank")
         done += 1
         now = kept.count()
         if now == size:
