@@ -21,6 +21,8 @@ def connect(sf_dir: str):
 
 
 def _cell(value):
+    if isinstance(value, float):
+        return repr(value + 0.0)  # 0.0 and -0.0 are the same value
     return None if value is None else repr(value)
 
 
