@@ -1,3 +1,8 @@
-"""Retentia: subscription and churn analytics as Spark DataFrame functions."""
+"""Subscription and churn analytics on Spark, and operators for training-data pipelines."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
