@@ -221,10 +221,9 @@ def fit(
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, _classes()))
+    classes = _classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, classes = shared.value
         for batch in slices(batches, "text", 1 << 20):
             x, owner = encode(batch.column("text").to_pylist(), classes)
             p = model.bags(x, owner)
@@ -241,11 +240,10 @@ def keep_good(
     bound: int = BOUND,
 ) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with all their columns and without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, id_col, text_col, bound=bound), _classes()))
+    model, classes = fit(docs, labels, id_col, text_col, bound=bound), _classes()
     whole = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, classes = shared.value
         for batch in slices(batches, text_col, 1 << 20):
             x, owner = encode([t or "" for t in batch.column(text_col).to_pylist()], classes)
             yield batch.filter(pa.array(model.bags(x, owner) >= threshold))
