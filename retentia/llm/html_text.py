@@ -79,14 +79,16 @@ class Place:
             self.block = name
         elif name == "a":
             self.linked = "a"
-        self.article = name in ("article", "main") or (parent is not None and parent.article)
+        # 2 within an article of the page's own marking, 1 within what is named like one.
+        above = parent.article if parent else 0
+        self.article = 2 if name in ("article", "main") else max(above, int(kind == "+"))
 
     def at(self) -> tuple[str, str, str]:
         return self.section, self.block, self.linked
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(type, what, text, outside, in an article): type ``w`` words with their place, ``t`` a tag with its name."""
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool, int]]:
+    """(type, what, text, outside, in an article: 0 to 2): type ``w`` words with their place, ``t`` a tag with its name."""
     stack: list[Place] = []
     opened: Counter = Counter()
     at = 0
@@ -95,7 +97,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         if not raw.strip():
             return None
         place = ">".join(stack[-1].at() if stack else ("body", "", ""))
-        article = bool(stack) and stack[-1].article
+        article = stack[-1].article if stack else 0
         return "w", place, entities.unescape(raw), bool(stack) and stack[-1].outside, article
 
     for m in TOKEN.finditer(page):
@@ -106,7 +108,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         if not name:
             continue
         outside = bool(stack) and stack[-1].outside
-        article = bool(stack) and stack[-1].article
+        article = stack[-1].article if stack else 0
         if m[2]:
             while opened[name]:
                 opened[gone := stack.pop().name] -= 1
@@ -137,7 +139,7 @@ def count(page: str) -> Counter:
         return Counter()
     out: Counter = Counter()
     for kind, what, text, outside, article in tokens(page):
-        out[kind, what, article and not outside] += len(text.split()) if kind == "w" else 1
+        out[kind, what, article == 2 and not outside] += len(text.split()) if kind == "w" else 1
     return out
 
 
@@ -166,11 +168,14 @@ def extract(page: str, weights: dict[tuple[str, str], float]) -> str:
     """The main text of one page."""
     found = list(tokens(page))
     best, total, start, region = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, what, text, _, _) in enumerate(found):
-        if kind == "w":
-            total += (weights[kind, what] if (kind, what) in weights else prior(what)) * len(text.split())
-        else:
-            total += weights.get((kind, what), -0.5)
+    for i, (kind, what, text, _, article) in enumerate(found):
+        weight = weights.get((kind, what))
+        if weight is None:
+            weight = prior(what) if kind == "w" else -0.1 if what in BLOCKS else -0.5
+        if article:
+            # An advert or a form within an article must not cut it in two.
+            weight = max(weight, -0.05)
+        total += weight * len(text.split()) if kind == "w" else weight
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:

@@ -180,13 +180,7 @@ class Finder:
         while held:
             lo, hi = held.pop()
             pairs = align(template, plain[lo:hi])
-            # What lies further from its neighbours than the template is long belongs to another place.
-            runs: list[list[tuple[int, int]]] = [[]]
-            for i, j in pairs:
-                if runs[-1] and j - runs[-1][-1][1] > len(template):
-                    runs.append([])
-                runs[-1].append((i, j))
-            best = max(runs, key=len)
+            best = self._dense(pairs, len(template))
             cover = len(best) / len(template)
             if cover >= self.threshold:
                 a, b = lo + best[0][1], lo + best[-1][1]
@@ -202,6 +196,25 @@ class Finder:
                             held.append((a, b))
         return out
 
+    @staticmethod
+    def _dense(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+        """The longest run without a wide insertion, with its neighbours as long as they hold more words than the insertion."""
+        if not pairs:
+            return []
+        runs, gaps = [[pairs[0]]], []
+        for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False):
+            if (extra := (m - j) - (k - i)) > n // 10 + 2:
+                runs.append([])
+                gaps.append(extra)
+            runs[-1].append((k, m))
+        at = max(range(len(runs)), key=lambda k: len(runs[k]))
+        first = last = at
+        while first and len(runs[first - 1]) >= gaps[first - 1]:
+            first -= 1
+        while last + 1 < len(runs) and len(runs[last + 1]) >= gaps[last]:
+            last += 1
+        return [p for run in runs[first : last + 1] for p in run]
+
     @staticmethod
     def _best(found: list) -> list:
         out: list = []
