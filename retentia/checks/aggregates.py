@@ -239,11 +239,11 @@ add(
 add(
     "a21_histogram",
     lambda s, d: rounded(quality.histogram(v.survival(s, d), "month", 10), "low", "high"),
-    """SELECT CAST(least(floor((month - lo) / w), 9) AS INTEGER) AS bin,
-        round(lo + least(floor((month - lo) / w), 9) * w, 6) AS low,
-        round(lo + (least(floor((month - lo) / w), 9) + 1) * w, 6) AS high, count(*) AS n
-    FROM survival, (SELECT min(month) AS lo, (max(month) - min(month)) / 10 AS w FROM survival)
-    WHERE month IS NOT NULL GROUP BY 1, 2, 3""",
+    """SELECT CAST(bin AS INTEGER) AS bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high,
+        count(month) AS n
+    FROM range(10) b(bin), (SELECT min(month) AS lo, (max(month) - min(month)) / 10 AS w FROM survival)
+    LEFT JOIN survival ON bin = least(floor((month - lo) / w), 9)
+    GROUP BY 1, 2, 3""",
 )
 add(
     "a22_counts_per_category",
@@ -279,6 +279,14 @@ add(
     lambda s, d: activity.last_n_wide(v.logs(s, d), K, "date", activity.activity_measures()),
     "SELECT * FROM log_wide",
 )
+add(
+    "w3_previous_event_null_tie",
+    lambda s, d: activity.gaps(v.dated_rows(s, d), K, "day", "transaction_id"),
+    f"""SELECT transaction_id, user_id, day, prev AS prev_day,
+        {months_between('day', 'prev')} AS months_since_prev
+    FROM (SELECT *, lag(day) OVER (PARTITION BY user_id ORDER BY day, transaction_id NULLS FIRST) AS prev
+        FROM dated_rows)""",
+)
 add(
     "w3_previous_event",
     lambda s, d: activity.gaps(

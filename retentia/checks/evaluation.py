@@ -23,7 +23,8 @@ def _samples(s, d):
     members = materialize(v.clean_members(s, d), "members")
     encoded = reports.encoded_members(members, K)
     table = materialize(
-        fill_all(encoded.select(K, LABEL, *COLS), number=reports.MISSING_FEATURE), "features"
+        fill_all(encoded.select(K, LABEL, *COLS), number=reports.MISSING_FEATURE, except_=(K, LABEL)),
+        "features",
     )
     train, test = reports.train_sample(table, K)
     train = materialize(train, "train")
@@ -182,6 +183,43 @@ add(
     "SELECT round(p, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / positives, 6) AS recall "
     "FROM curve UNION ALL SELECT NULL, 1, 0",
 )
+_BY = ["grp"]
+for _suffix, _rows in (("", {}), ("_in_ranges", {"one_task_rows": 0})):
+    add(
+        f"v4_roc_auc_by_group{_suffix}",
+        lambda s, d, kw=_rows: metrics.roc_auc(v.grouped_scores(s, d), by=_BY, **kw),
+        """SELECT grp, round(sum(neg * (tp - pos / 2)) / (any_value(positives)::DOUBLE * any_value(negatives)), 6)
+            AS roc_auc FROM grouped_curve GROUP BY grp""",
+    )
+    add(
+        f"v5_roc_curve_by_group{_suffix}",
+        lambda s, d, kw=_rows: rounded(
+            metrics.roc_curve(v.grouped_scores(s, d), by=_BY, **kw), "threshold", "fpr", "tpr"
+        ),
+        "SELECT grp, round(p, 6) AS threshold, round(fp / negatives, 6) AS fpr, round(tp / positives, 6) AS tpr "
+        "FROM grouped_curve UNION ALL SELECT DISTINCT grp, NULL, 0, 0 FROM grouped_curve",
+    )
+    add(
+        f"v6_pr_curve_by_group{_suffix}",
+        lambda s, d, kw=_rows: rounded(
+            metrics.pr_curve(v.grouped_scores(s, d), by=_BY, **kw), "threshold", "precision", "recall"
+        ),
+        "SELECT grp, round(p, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, "
+        "round(tp / positives, 6) AS recall FROM grouped_curve "
+        "UNION ALL SELECT DISTINCT grp, NULL, 1, 0 FROM grouped_curve",
+    )
+add(
+    "v3_threshold_sweep_by_group",
+    lambda s, d: rounded(
+        metrics.threshold_sweep(v.grouped_scores(s, d), _CUTS, by=_BY), "accuracy", "precision", "recall"
+    ),
+    f"SELECT grp, threshold, tp, fp, tn, fn, {_rates('accuracy', 'precision', 'recall')} FROM ("
+    + " UNION ALL ".join(
+        f"SELECT grp, {t}::DOUBLE AS threshold, {_CELLS.format(hat=f'p > {t}')} FROM grouped_scores GROUP BY grp"
+        for t in _CUTS
+    )
+    + ")",
+)
 add(
     "v7_pr_auc",
     lambda s, d: metrics.pr_auc(v.scores(s, d)),

@@ -148,6 +148,16 @@ VIEWS = {
     "scores": """SELECT c_custkey AS user_id, CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS label,
         (c_acctbal + 1000) / 11000 AS p,
         CAST((c_acctbal + 1000) / 11000 > 0.5 AS INTEGER) AS pred FROM customer""",
+    "grouped_scores": """SELECT s.*, CAST(nullif(c_nationkey % 5, 0) AS INTEGER) AS grp
+        FROM scores s JOIN customer ON c_custkey = user_id""",
+    "grouped_curve": """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+        sum(pos) OVER g AS positives, sum(neg) OVER g AS negatives
+    FROM (SELECT grp, p, count(*) FILTER (WHERE label = 1) AS pos,
+            count(*) FILTER (WHERE label = 0) AS neg FROM grouped_scores GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY grp ORDER BY p DESC), g AS (PARTITION BY grp)""",
+    "dated_rows": """SELECT o_orderkey AS transaction_id, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day FROM orders
+        UNION ALL SELECT NULL, o_custkey, CAST(min(CAST(o_orderdate AS DATE)) + INTERVAL 200 DAY AS DATE)
+        FROM orders GROUP BY o_custkey""",
     "tagged": f"SELECT *, CASE WHEN {slot('user_id')} < 60 THEN 'train' ELSE 'test' END AS split FROM clean",
     "woe_counts": 'SELECT variable, value, count(*) AS "all", count(*) FILTER (WHERE y = 0) AS good, '
     f"count(*) FILTER (WHERE y = 1) AS bad FROM ({_CELLS}) GROUP BY 1, 2",

@@ -62,8 +62,9 @@ def text_or(c: ColumnLike, default: str) -> Column:
 
 
 def log_ratio(a: ColumnLike, b: ColumnLike) -> Column:
-    """ln(a / b), with 0 where the ratio or its log is infinite."""
-    return F.coalesce(F.log(F.try_divide(as_col(a), as_col(b))), F.lit(0.0))
+    """ln(a / b), with 0 where the ratio or its log is infinite; null where a or b is."""
+    a, b = as_col(a), as_col(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.log(F.try_divide(a, b)), F.lit(0.0)))
 
 
 def map_groups(c: ColumnLike, groups: Mapping[int, Sequence], default: int) -> Column:
@@ -92,12 +93,15 @@ def fill_sentinels(df: DataFrame, mapping: Mapping[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in mapping.items()})
 
 
-def fill_all(df: DataFrame, text: str | None = None, number: float | None = None) -> DataFrame:
-    """Null fill of the whole frame: one sentinel for text, one for numbers."""
+def fill_all(
+    df: DataFrame, text: str | None = None, number: float | None = None, except_: Sequence[str] = ()
+) -> DataFrame:
+    """Null fill of the whole frame but ``except_``: one sentinel for text, one for numbers."""
+    filled = [c for c in df.columns if c not in except_]
     if text is not None:
-        df = df.na.fill(text)
+        df = df.na.fill(text, filled)
     if number is not None:
-        df = df.na.fill(number)
+        df = df.na.fill(number, filled)
     return df
 
 

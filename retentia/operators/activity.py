@@ -7,11 +7,13 @@ expressions, so cleaning (clamp, abs) is part of the same pass.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import clamp0
+from retentia.operators.joins import join_by
 
 # Column names of an activity log (fixed values).
 COUNT_COLUMNS = ("num_25", "num_50", "num_75", "num_985", "num_100", "num_unq")
@@ -93,12 +95,18 @@ def last_n_wide(
     return rows.groupBy(*_keys(key)).agg(*_wide_columns([order, *measures], suffixes))
 
 
+def _rows(key: str | Sequence[str]) -> Column:
+    """The rows of a group whose key is known."""
+    known = [F.col(c).isNotNull() for c in _keys(key)]
+    return F.count_if(reduce(lambda a, b: a & b, known))
+
+
 def lifetime_sums(
     df: DataFrame, key: str | Sequence[str], measures: Mapping[str, Column], suffix: str = ""
 ) -> DataFrame:
-    """Row count and sum of every measure per key."""
+    """Row count and sum of every measure per key; a null key counts 0 rows, as it names no user."""
     return df.groupBy(*_keys(key)).agg(
-        F.count("*").alias(f"row_count{suffix}"),
+        _rows(key).alias(f"row_count{suffix}"),
         *[F.sum(c).alias(f"sum_{name}{suffix}") for name, c in measures.items()],
     )
 
@@ -138,10 +146,10 @@ def activity_features(
     rows = recent_rows(df, keys, order, k, tie).select(
         *keys, "recency", order, *[c.alias(name) for name, c in measures.items()]
     )
-    full = F.count("*") == k
+    full = _rows(keys) == k
     recent = rows.groupBy(*keys).agg(
         *_wide_columns([order, *measures], suffixes),
-        F.when(full, F.count("*")).alias(f"row_count_{k}last"),
+        F.when(full, _rows(keys)).alias(f"row_count_{k}last"),
         *[F.when(full, F.sum(name)).alias(f"sum_{name}_{k}last") for name in measures],
     )
     return lifetime_sums(df, keys, measures).join(recent, keys, "left")
@@ -152,18 +160,20 @@ def gaps(
 ) -> DataFrame:
     """Every row with the date of the previous row of its key and the months between.
 
-    Rows are ordered by ``date`` and then ``tie``, which must be unique among the
-    rows of one key and date. The previous date is looked up among the distinct
+    Rows are ordered by ``date`` and then ``tie`` (null first), which must be unique
+    among the rows of one key and date; rows with a null key form one group. The previous date is looked up among the distinct
     dates of the key (no more than days in the calendar), so that a key with very
     many rows is never sorted in one task.
     """
     keys = _keys(key)
-    days = df.where(F.col(date).isNotNull()).groupBy(*keys, date).agg(F.min(tie).alias("_first"))
+    # A null tie ranks before all others, and is compared as a value.
+    rank = F.struct(F.col(tie).isNotNull().alias("known"), F.col(tie).alias("tie"))
+    days = df.where(F.col(date).isNotNull()).groupBy(*keys, date).agg(F.min(rank).alias("_first"))
     by_day = Window.partitionBy(*keys).orderBy(date)
     days = days.withColumn("_earlier", F.lag(date).over(by_day))
-    previous = F.when(F.col(tie) == F.col("_first"), F.col("_earlier")).otherwise(F.col(date))
+    previous = F.when(F.col(tie).eqNullSafe(F.col("_first.tie")), F.col("_earlier")).otherwise(F.col(date))
     return (
-        df.join(days, [*keys, date], "left")
+        join_by(df, days, [*keys, date], "left")
         .withColumn(f"prev_{date}", previous)
         .withColumn(out, F.months_between(date, f"prev_{date}"))
         .select(*df.columns, f"prev_{date}", out)

@@ -17,13 +17,19 @@ from retentia.sources.tables import materialize
 
 # A lookup is broadcast only up to this many rows (checked, not assumed).
 LOOKUP_ROWS = 100_000
-SALTS = 32
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def join_by(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``by`` where a null equals a null; the columns of ``left``, then the others of ``right``."""
+    right = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [left[c].eqNullSafe(right[f"_by_{c}"]) for c in by]
+    return left.join(right, reduce(lambda a, b: a & b, same), how).drop(*[f"_by_{c}" for c in by])
+
+
 def full_join(a: DataFrame, b: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Full outer join of two tables that are both unique by ``keys``."""
     return a.join(b, _keys(keys), "full")
@@ -118,14 +124,13 @@ def lookup_join(
     lookup: DataFrame,
     key: str | Sequence[str],
     max_rows: int = LOOKUP_ROWS,
-    salts: int = SALTS,
     rows: int | None = None,
 ) -> DataFrame:
     """Left join to a lookup table that is unique by ``key``.
 
     The lookup is counted first. Up to ``max_rows`` it is broadcast and ``df``
-    is not shuffled. A larger one is joined by shuffle with each key of ``df``
-    spread over ``salts`` partitions, as one key may hold most of the rows.
+    is not shuffled. A larger one is joined by shuffle; one key may hold most of
+    the rows of ``df``, which is the side of a left join that Spark can split.
     Give ``rows`` if the lookup is a written table whose size is known.
     """
     keys = _keys(key)
@@ -134,8 +139,4 @@ def lookup_join(
         rows = lookup.count()
     if rows <= max_rows:
         return df.join(F.broadcast(lookup), keys, "left")
-    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn(
-        "_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-    )
-    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    return df.join(lookup, keys, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import above
+from retentia.operators.joins import join_by
 from retentia.operators.ordered import ONE_TASK_ROWS, running_totals
 
 
@@ -115,7 +116,7 @@ def score_totals(
 def _with_class_sizes(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     sizes = totals.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     if by:
-        return totals.join(sizes, list(by))
+        return join_by(totals, sizes, list(by))
     one = F.lit(1)
     return (
         totals.withColumn("_one", one)

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retentia.operators.joins import join_by
 from retentia.sources.tables import materialize
 
 # Up to this many rows one ordinary window does the work.
@@ -34,8 +35,8 @@ def running_totals(
 ) -> DataFrame:
     """``df`` plus, per group ``by``, running sums (own row included) along ``order``.
 
-    ``order`` must be unique inside a group: aggregate by it first. ``by`` must
-    not be null. Runs a job, because the rows have to be the same for the totals
+    ``order`` must be unique inside a group: aggregate by it first. Rows whose ``by``
+    is null form groups like any other. Runs a job, because the rows have to be the same for the totals
     of the ranges and for the sums inside them; they are therefore written once.
     """
     by, order = list(by), list(order)
@@ -71,7 +72,7 @@ def running_totals(
         )
     )
     local = ranged.select("*", *[F.sum(c).over(inside).alias(name) for name, c in sums.items()])
-    joined = local.join(offsets, [*by, "_part"])
+    joined = join_by(local, offsets, [*by, "_part"])
     return joined.select(
         *df.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums]
     )

@@ -33,8 +33,10 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Exact number of distinct non-null values of each column, as ``(column, n_distinct)``.
 
     The values are reduced as ``(column, value)`` pairs, so the work of one column
-    is spread over all tasks.
+    is spread over all tasks. Zeros of either sign are one value.
     """
+    floats = [c for c, kind in df.dtypes if c in set(cols) and kind in ("double", "float")]
+    df = df.withColumns({c: F.col(c) + F.lit(0.0) for c in floats})
     pairs = _long(df, cols, "string").where(F.col("value").isNotNull()).distinct()
     counted = pairs.groupBy("column").agg(F.count("*").alias("n_distinct"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
@@ -179,7 +181,7 @@ def summary_long(
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Rows per equal-width bin between minimum and maximum (the last bin is closed)."""
+    """Rows per equal-width bin between minimum and maximum (the last bin is closed); empty bins count 0."""
     low, high = df.agg(
         F.min(F.col(col)).cast("double"), F.max(F.col(col)).cast("double")
     ).first()
@@ -187,10 +189,11 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n bigint")
     width = (high - low) / bins or 1.0
     bin_of = F.least(F.floor((F.col(col) - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+    counted = df.where(F.col(col).isNotNull()).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
-        df.where(F.col(col).isNotNull())
-        .groupBy(bin_of.alias("bin"))
-        .agg(F.count("*").alias("n"))
+        every.join(counted, "bin", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
         .select(
             "bin",
             (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"),

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import key_hash
 from retentia.sources.tables import materialize
 
-# The histogram of hash ranges is broadcast up to this many rows.
-BROADCAST_RANGES = 1_000_000
-
 
 def hash_split(df: DataFrame, key: str, test_pct: int = 40, salt: str = "") -> DataFrame:
     """Adds ``split`` (train/test); all rows of one key fall on the same side."""
@@ -25,61 +22,56 @@ def random_split(df: DataFrame, test_pct: int = 40, seed: int = 19) -> tuple[Dat
 
 
 def _drawn(df: DataFrame, label: str, key: str, quota: Column, salt: str) -> DataFrame:
-    """``df`` plus ``_quota`` and ``_in``: whether the row is among its class's ``_quota``
-    rows of lowest key hash.
+    """The labelled rows of ``df`` plus ``_size`` and ``_max``, the sizes of their class and of the largest,
+    and ``_in``: whether the row is among its class's quota of rows of lowest key hash.
 
-    ``quota`` may use the class size ``_size`` and the smallest and largest class
-    size ``_min`` and ``_max``. ``key`` must be unique. The cut is found on a
-    histogram of 65,536 hash ranges per class, which is made at once in a job of
-    its own; only the one range that holds the cut is ranked.
+    ``quota`` may use ``_size``, ``_max`` and the smallest class size ``_min``. ``key`` must be
+    unique. The cut, one hash and key per class, is found at once: a histogram of 65,536 hash
+    ranges per class names the range that holds it, and only that range is ranked.
+    Reads ``df`` three times.
     """
-    hashed = df.withColumn("_hash", key_hash(key, salt)).withColumn(
-        "_range", F.substring("_hash", 1, 4)
-    )
-    ranges = materialize(
-        hashed.where(F.col(label).isNotNull()).groupBy(label, "_range").agg(F.count("*").alias("_n")),
-        "ranges",
-    )
+    hashed = df.where(F.col(label).isNotNull()).withColumn("_hash", key_hash(key, salt))
+    hashed = hashed.withColumn("_range", F.substring("_hash", 1, 4))
+    ranges = materialize(hashed.groupBy(label, "_range").agg(F.count("*").alias("_n")), "ranges")
     everything = Window.partitionBy()  # over one row per class
     sizes = (
         ranges.groupBy(label)
         .agg(F.sum("_n").alias("_size"))
         .withColumn("_min", F.min("_size").over(everything))
         .withColumn("_max", F.max("_size").over(everything))
-        .select(label, quota.cast("bigint").alias("_quota"), "_size", "_max")
+        .withColumn("_quota", quota.cast("bigint"))
     )
     upto = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
+    before = F.col("_upto") - F.col("_n")
+    holds = (F.col("_quota") > before) & (F.col("_quota") <= F.col("_upto"))
+    cut = materialize(
         ranges.withColumn("_upto", F.sum("_n").over(upto))
-        .join(sizes, label)
-        .select(
-            label,
-            "_range",
-            "_quota",
-            "_size",
-            "_max",
-            (F.col("_upto") <= F.col("_quota")).alias("_in"),
-            (F.col("_quota") - (F.col("_upto") - F.col("_n"))).alias("_room"),
-            ((F.col("_upto") > F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))).alias(
-                "_cut"
-            ),
-        )
+        .join(sizes.select(label, "_quota"), label)
+        .where(holds)
+        .select(F.col(label).alias("_class"), F.col("_range").alias("_at"), (F.col("_quota") - before).alias("_room")),
+        "cut",
     )
-    # At most 65,536 rows per class; classes are few, but that is counted too.
-    few = ranges.count() <= BROADCAST_RANGES
-    placed = hashed.join(F.broadcast(cut) if few else cut, [label, "_range"])
-    in_order = Window.partitionBy(label).orderBy("_hash", key)
-    ranked = (
-        placed.where("_cut")
-        .withColumn("_rank", F.row_number().over(in_order))
-        .withColumn("_in", F.col("_rank") <= F.col("_room"))
-        .drop("_rank")
+    # One row per class, as in ``classes``: Spark sees the sizes of both and broadcasts them if they are small.
+    same = (F.col(label) == F.col("_class")) & (F.col("_range") == F.col("_at"))
+    inside = hashed.join(cut, same).select("_class", "_room", "_hash", F.col(key).alias("_key"))
+    in_order = Window.partitionBy("_class").orderBy("_hash", "_key")
+    last = (
+        inside.withColumn("_rank", F.row_number().over(in_order))
+        .where(F.col("_rank") == F.col("_room"))
+        .select("_class", F.struct("_hash", "_key").alias("_last"))
     )
-    return placed.where(~F.col("_cut")).unionByName(ranked)
+    classes = sizes.withColumnRenamed(label, "_of").join(last, F.col("_of") == F.col("_class"), "left")
+    classes = materialize(classes.select("_of", "_size", "_max", "_last"), "cuts")
+    placed = hashed.join(classes, F.col(label) == F.col("_of"))
+    here = F.struct(F.col("_hash"), F.col(key).alias("_key"))
+    return placed.withColumn("_in", F.coalesce(here <= F.col("_last"), F.lit(False)))
 
 
 def undersample(df: DataFrame, label: str, key: str, salt: str = "") -> DataFrame:
-    """As many rows of every class as the smallest class has, lowest key hash first."""
+    """As many rows of every class as the smallest class has, lowest key hash first.
+
+    Rows without a label belong to no class and are left out.
+    """
     drawn = _drawn(df, label, key, F.col("_min"), salt)
     return drawn.where("_in").select(*df.columns)
 
@@ -88,7 +80,7 @@ def oversample(df: DataFrame, label: str, key: str, salt: str = "") -> DataFrame
     """Rows of smaller classes repeated until every class has as many as the largest.
 
     Each row is kept and repeated equally often; the remainder goes to the rows
-    of lowest key hash.
+    of lowest key hash. Rows without a label belong to no class and are left out.
     """
     drawn = _drawn(df, label, key, F.col("_max") % F.col("_size"), salt)
     copies = F.floor(F.col("_max") / F.col("_size")) + F.col("_in").cast("bigint")

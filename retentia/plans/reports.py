@@ -25,6 +25,7 @@ from retentia.functions.columns import (
     valid_or,
 )
 from retentia.operators import models, quality, sampling, selection, survival
+from retentia.operators.activity import RECENCY_SUFFIXES
 from retentia.operators.joins import (
     full_join,
     key_presence,
@@ -37,6 +38,8 @@ from retentia.operators.woe import woe_apply, woe_fit
 from retentia.sources.tables import materialize
 
 LABEL = "is_churn_final"
+# The absolute seconds among the activity measures (fixed value).
+ABSOLUTE = "abs_total_secs"
 
 # Sentinels for what is missing, and the ages taken as valid.
 UNKNOWN_CODE = "999"
@@ -162,12 +165,15 @@ def wide_features(
 ) -> DataFrame:
     """Encoded members left join their activity tables, with gaps filled with -5.
 
-    Dates, row counts and the absolute seconds are left out.
+    The activity tables' dates, row counts and absolute seconds are left out. Key and
+    label are not filled: a missing label is no class.
     """
     joined = left_join_all(encoded, activity, key)
-    left_out = (f"{date}_", "row_count", "abs_", "sum_abs_")
-    kept = [c for c in joined.columns if not c.startswith(left_out)]
-    return fill_all(joined.select(*kept), number=MISSING_FEATURE)
+    k = len(RECENCY_SUFFIXES)
+    left_out = {f"{c}_{s}" for c in (date, ABSOLUTE) for s in RECENCY_SUFFIXES}
+    left_out |= {f"{c}{s}" for c in ("row_count", f"sum_{ABSOLUTE}") for s in ("", f"_{k}last")}
+    kept = [c for c in joined.columns if c not in left_out]
+    return fill_all(joined.select(*kept), number=MISSING_FEATURE, except_=(key, LABEL))
 
 
 def train_sample(features: DataFrame, key: str, test_pct: int = 40) -> tuple[DataFrame, DataFrame]:

@@ -153,6 +153,24 @@ def survival(spark, sf_dir) -> DataFrame:
     return reports.survival_table(cohort_transactions(spark, sf_dir), KEY)
 
 
+def grouped_scores(spark, sf_dir) -> DataFrame:
+    """``scores`` with a group that is null for some customers."""
+    group = F.expr("nullif(c_nationkey % 5, 0)").cast("int").alias("grp")
+    groups = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(KEY), group)
+    return scores(spark, sf_dir).join(groups, KEY)
+
+
+def dated_rows(spark, sf_dir) -> DataFrame:
+    """Orders and, between them, one row without an order number per customer: 200 days after the first order."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("transaction_id"),
+        F.col("o_custkey").alias(KEY),
+        F.col("o_orderdate").cast("date").alias("day"),
+    )
+    extra = orders.groupBy(KEY).agg(F.date_add(F.min("day"), 200).alias("day"))
+    return orders.unionByName(extra, allowMissingColumns=True)
+
+
 def scores(spark, sf_dir) -> DataFrame:
     """A scored frame: the account balance, scaled to 0..1, as score of one market segment."""
     p = (F.col("c_acctbal") + F.lit(1000.0)) / F.lit(11000.0)

@@ -77,6 +77,9 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+_OWN: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -84,9 +87,10 @@ def _shared_folder(spark: SparkSession) -> str:
         return named
     if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="retentia-")
-    context.setCheckpointDir(own)
-    return own
+    # A local session without a folder of its own gets one that goes with the process.
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.TemporaryDirectory(prefix="retentia-")
+    return _OWN[context.applicationId].name
 
 
 def scratch_path(spark: SparkSession, label: str = "table") -> str:

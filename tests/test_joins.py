@@ -29,7 +29,7 @@ def test_lookup_join_small_and_large_agree(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"))
     lookup = spark.range(0, 2000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     small = joins.lookup_join(df, lookup, "k")
-    large = joins.lookup_join(df, lookup, "k", max_rows=10, salts=8)
+    large = joins.lookup_join(df, lookup, "k", max_rows=10)
     assert rows(small.select("id", "k", "v")) == rows(large.select("id", "k", "v"))
     assert large.count() == 2000
     assert "Broadcast" in small._jdf.queryExecution().toString()

@@ -61,7 +61,7 @@ def test_joins(spark, events):
     users = spark.range(-1, 800).select(F.col("id").alias("u"), (F.col("id") * 3).alias("v"))
     assert differing(joins.left_join_detail(users, events, "u"), users.join(events, "u", "left")) == 0
     assert differing(joins.full_join_detail(events, users, "u"), events.join(users, "u", "full")) == 0
-    looked_up = joins.lookup_join(events, users, "u", max_rows=100, salts=4)
+    looked_up = joins.lookup_join(events, users, "u", max_rows=100)
     assert differing(looked_up, events.join(users, "u", "left")) == 0
 
 
