@@ -121,6 +121,43 @@ def m8(s, d):
 
 add("m8_batch_scoring", m8)
 
+
+def m1_gradient(s, d):
+    """The slope of the penalised loss at the fitted weights, which is zero for every feature at the optimum."""
+    train, _ = _samples(s, d)
+    train = materialize(train, "scaled")
+    fit = models.fit_models(train, COLS, LABEL, K, ["log_reg"])["log_reg"]
+    weights = dict(models.coefficients(fit, COLS))
+    margin = sum((F.col(c) * F.lit(w) for c, w in weights.items()), F.lit(float(fit.intercept)))
+    miss = 1 / (1 + F.exp(-margin)) - F.col(LABEL)
+    slopes = [F.struct(F.lit(c).alias("feature"), (F.avg(miss * F.col(c)) + F.lit(w) / F.count("*")).alias("slope")) for c, w in weights.items()]
+    rows = train.agg(F.array(*slopes).alias("all")).select(F.explode("all").alias("one")).select("one.*")
+    return rows.select("feature", (F.abs("slope") < 1e-5).alias("is_zero"))
+
+
+def _bounded(name):
+    """Every row to score once, with a probability and the cut that belongs to it."""
+
+    def run(s, d):
+        scored = _scored(name)(s, d) if name else m8(s, d)
+        return scored.select(
+            "model", K, "label", F.col("p").between(0, 1).alias("p_in_range"), (F.col("pred") == (F.col("p") > 0.5).cast("int")).alias("pred_is_cut")
+        )
+
+    return run
+
+
+add(
+    "m1_logistic_gradient",
+    m1_gradient,
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS is_zero" for c in COLS),
+)
+_SCORED_SQL = """SELECT {names} AS model, user_id, is_churn_final AS label, true AS p_in_range, true AS pred_is_cut
+    FROM tagged WHERE split = 'test'"""
+for _query, _name in (("m1_logistic", "log_reg"), ("m2_tree", "decision_tree"), ("m3_scaled_neighbours", "knn"), ("m4_forest", "random_forest"), ("m6_boosted", "boosted_trees")):
+    add(f"{_query}_rows", _bounded(_name), _SCORED_SQL.format(names=f"'{_name}'"))
+add("m8_batch_rows", _bounded(None), _SCORED_SQL.format(names="unnest(['log_reg', 'naive_bayes'])"))
+
 # Evaluation
 
 _CELLS = (

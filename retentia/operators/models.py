@@ -3,7 +3,8 @@
 All but the neighbour vote are Spark ML estimators. The settings follow the
 usual single-machine defaults where Spark has them (logistic penalty C = 1, 100
 forest trees, 100 boosting rounds of depth 3 and rate 0.1, 5 neighbours). Trees
-are cut at depth 10 instead of unlimited, since a fitted tree lives on the driver.
+are cut at depth 10 instead of unlimited, since a fitted tree lives on the driver;
+features of more than ``max_bins`` distinct values are cut at that many quantiles.
 """
 
 from __future__ import annotations
@@ -50,24 +51,24 @@ class Neighbours:
     k: int
 
 
-def _estimator(name: str, rows: int, seed: int, depth: int, trees: int, rounds: int):
+def _estimator(name: str, rows: int, seed: int, depth: int, trees: int, rounds: int, bins: int):
     if name == "log_reg":
         # A summed loss with C = 1 is a mean loss with penalty 1/rows.
         return LogisticRegression(
-            maxIter=100,
-            tol=1e-4,
+            maxIter=200,
+            tol=1e-9,
             regParam=1.0 / rows,
             elasticNetParam=0.0,
             standardization=False,
         )
     if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=depth, seed=seed)
+        return DecisionTreeClassifier(maxDepth=depth, maxBins=bins, seed=seed)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed)
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian")
     if name == "boosted_trees":
-        return GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)
+        return GBTClassifier(maxIter=rounds, maxDepth=3, maxBins=bins, stepSize=0.1, seed=seed)
     raise ValueError(f"no such model: {name}")
 
 
@@ -82,8 +83,9 @@ def fit_models(
     depth: int = 10,
     trees: int = 100,
     rounds: int = 100,
+    max_bins: int = 256,
 ) -> dict[str, Model | Neighbours]:
-    """Fits every named model on the same, once written, training rows."""
+    """Fits every named model on the same, once written, training rows; a fit that does not converge is an error."""
     rows = materialize(train.select(key, *cols, label), "train")
     vectors = features_and_label(rows, cols, label)
     size = rows.count()
@@ -92,7 +94,10 @@ def fit_models(
         if name == "knn":
             fitted[name] = Neighbours(rows, label, key, k)
         else:
-            fitted[name] = _estimator(name, size, seed, depth, trees, rounds).fit(vectors)
+            estimator = _estimator(name, size, seed, depth, trees, rounds, max_bins)
+            fitted[name] = estimator.fit(vectors)
+            if name == "log_reg" and fitted[name].summary.totalIterations >= estimator.getMaxIter():
+                raise RuntimeError("the logistic regression did not converge")
     return fitted
 
 

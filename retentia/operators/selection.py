@@ -97,7 +97,10 @@ def rfe_rank(
     left, dropped = list(cols), []
     while len(left) > 1:
         vectors = features_and_label(table, left, "label").persist()
-        weight = fitter.fit(vectors).coefficients.toArray() ** 2
+        fitted = fitter.fit(vectors)
+        if fitted.summary.numIterations >= max_iter:
+            raise RuntimeError(f"the elimination fit on {left} did not converge in {max_iter} rounds")
+        weight = fitted.coefficients.toArray() ** 2
         vectors.unpersist()
         dropped.append(left.pop(int(weight.argmin())))
     ranked = left + dropped[::-1]
