@@ -33,7 +33,7 @@ from retentia.llm.common import slices, text_of
 #: Fixed value: the pattern that cuts a text into words before the merges of this kind of vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of text whose tokens one task remembers, and the longest piece that it remembers.
-REMEMBERED, LONGEST = 300_000, 256
+REMEMBERED, LONGEST = 150_000, 256
 #: Bytes of a word up to which exact merging runs on many words at once.
 SHORT = 48
 #: A space that does not begin a word.
