@@ -96,9 +96,9 @@ def test_coverage(spark):
 def test_histogram_holds_every_value(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 9, 10]] + [(None,)], "x double")
     got = {r["bin"]: r["n"] for r in quality.histogram(df, "x", 5).collect()}
-    assert got == {0: 2, 1: 1, 4: 2}
+    assert got == {0: 2, 1: 1, 2: 0, 3: 0, 4: 2}
     same = spark.createDataFrame([(2.0,), (2.0,)], "x double")
-    assert [r["n"] for r in quality.histogram(same, "x", 3).collect()] == [2]
+    assert [r["n"] for r in quality.histogram(same, "x", 3).orderBy("bin").collect()] == [2, 0, 0]
 
 
 def test_label_table_is_unique(spark, sf_dir):
