@@ -1,9 +1,9 @@
 """Exact k nearest neighbours without comparing all pairs.
 
-Training rows are cut into cells of near-equal size. From the box and the row
-count of every cell follows, for a point, a radius that surely holds k rows;
-only cells whose box touches that radius can hold one of its neighbours. Points
-meet the rows of just those cells, and the k best per cell are merged.
+Training rows are cut into cells of near-equal size by a tree. From the box and the
+row count of every node follows, for a point, a radius that surely holds k rows;
+only nodes whose box touches that radius are walked into. Points meet the rows of
+just the cells reached, and the k best per cell are merged.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from retentia.operators.joins import lookup_join
 from retentia.sources.tables import materialize
 
 CELL_ROWS = 512
-MAX_DEPTH = 13  # at most 8,192 cells, so the table of boxes stays small
-SAMPLE_ROWS = 100_000
+MAX_DEPTH = 16  # at most 65,536 cells, so the table of boxes stays at a few megabytes
+SAMPLE_ROWS = 200_000
 POINTS_PER_TASK = 20_000
 
 
@@ -70,32 +70,55 @@ def _add_cells(df: DataFrame, cols: Sequence[str], tree: np.ndarray) -> DataFram
     return df.mapInPandas(assign, _with_cell(df))
 
 
+def _heap(boxes: pd.DataFrame, d: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, lower and upper corner of every node of the tree, from those of its cells."""
+    n = np.zeros(2 ** (depth + 1), dtype=np.int64)
+    low, high = np.full((len(n), d), np.inf), np.full((len(n), d), -np.inf)
+    cell = boxes["_cell"].to_numpy()
+    n[cell] = boxes["n"]
+    low[cell] = boxes[[f"lo{i}" for i in range(d)]]
+    high[cell] = boxes[[f"hi{i}" for i in range(d)]]
+    for level in range(depth - 1, -1, -1):
+        node = np.arange(2**level, 2 ** (level + 1))
+        n[node] = n[2 * node] + n[2 * node + 1]
+        low[node] = np.minimum(low[2 * node], low[2 * node + 1])
+        high[node] = np.maximum(high[2 * node], high[2 * node + 1])
+    return n, low, high
+
+
 def _candidate_cells(
-    points: DataFrame, cols: Sequence[str], boxes: pd.DataFrame, k: int
+    points: DataFrame, cols: Sequence[str], boxes: pd.DataFrame, k: int, depth: int
 ) -> DataFrame:
-    """Each point once per cell that may hold one of its k nearest rows."""
+    """Each point once per cell that may hold one of its k nearest rows.
+
+    Walks down the tree: a node with k rows bounds the distance of the k-th nearest by
+    that of its farthest corner, and nodes beyond the bound are not entered.
+    """
     cols = list(cols)
-    low, high = boxes[[f"lo{i}" for i in range(len(cols))]].to_numpy(), boxes[
-        [f"hi{i}" for i in range(len(cols))]
-    ].to_numpy()
-    cells, rows = boxes["_cell"].to_numpy(), boxes["n"].to_numpy()
+    n, low, high = _heap(boxes, len(cols), depth)
+
+    def walk(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        radius = np.full(len(x), np.inf)
+        point, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
+        for level in range(depth + 1):
+            at, lo, hi = x[point], low[node], high[node]
+            nearest = (np.maximum(np.maximum(lo - at, at - hi), 0) ** 2).sum(axis=1)
+            farthest = (np.maximum(np.abs(at - lo), np.abs(at - hi)) ** 2).sum(axis=1)
+            sure = n[node] >= k
+            np.minimum.at(radius, point[sure], farthest[sure])
+            # A little slack: the two distances are rounded differently.
+            keep = (n[node] > 0) & (nearest <= radius[point] * (1 + 1e-9))
+            point, node = point[keep], node[keep]
+            if level < depth:
+                point, node = np.repeat(point, 2), (2 * node[:, None] + [0, 1]).ravel()
+        return point, node
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for start in range(0, len(whole), 64):
-                batch = whole.iloc[start : start + 64]
-                x = batch[cols].to_numpy(float)[:, None, :]
-                nearest = (np.maximum(np.maximum(low - x, x - high), 0) ** 2).sum(axis=2)
-                farthest = (np.maximum(np.abs(x - low), np.abs(x - high)) ** 2).sum(axis=2)
-                order = farthest.argsort(axis=1)
-                enough = (rows[order].cumsum(axis=1) >= k).argmax(axis=1)
-                if rows.sum() < k:
-                    enough[:] = len(rows) - 1
-                line = np.arange(len(batch))
-                radius = farthest[line, order[line, enough]]
-                # A little slack: the two distances are rounded differently.
-                point, cell = np.nonzero(nearest <= radius[:, None] * (1 + 1e-9))
-                yield batch.iloc[point].assign(_cell=cells[cell])
+            for start in range(0, len(whole), 256):
+                batch = whole.iloc[start : start + 256]
+                point, node = walk(batch[cols].to_numpy(float))
+                yield batch.iloc[point].assign(_cell=node)
 
     return points.mapInPandas(spread, _with_cell(points))
 
@@ -114,7 +137,9 @@ def nearest_rows(
     ``distance``, the row's ``key`` and ``carry``. Equal distances go by ``key``.
 
     Exact for any data, but boxes tell little in many dimensions: there every cell
-    is a candidate. Meant for a handful of columns.
+    is a candidate, at a cost of points x rows. Meant for a handful of columns. The tree is
+    shaped by at most ``2 * SAMPLE_ROWS`` rows and has at most ``2 ** MAX_DEPTH`` cells, so
+    beyond some 30 million distinct rows the cells grow.
     """
     cols = list(cols)
     # Of equal rows only the k first by key can be among the neighbours of anything.
@@ -150,7 +175,7 @@ def nearest_rows(
         .toPandas()  # one row per cell
     )
     wanted = materialize(
-        _candidate_cells(points.select(*cols).distinct(), cols, boxes, k), "candidates"
+        _candidate_cells(points.select(*cols).distinct(), cols, boxes, k, depth), "candidates"
     )
     # A crowded cell is searched by several tasks, each with a part of the points.
     parts = wanted.groupBy("_cell").agg(

@@ -32,17 +32,20 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     one_task_rows: int = ONE_TASK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """``df`` plus, per group ``by``, running sums (own row included) along ``order``.
 
     ``order`` must be unique inside a group: aggregate by it first. Rows whose ``by``
     is null form groups like any other. Runs a job, because the rows have to be the same for the totals
-    of the ranges and for the sums inside them; they are therefore written once.
+    of the ranges and for the sums inside them; they are therefore written once. Give
+    ``rows`` if the number of rows is known from a count: few rows are then not written.
     """
     by, order = list(by), list(order)
-    table = materialize(df, "ordered")
+    known_small = rows is not None and rows <= one_task_rows
+    table = df if known_small else materialize(df, "ordered")
     ordering = _ordering(order, descending)
-    if table.count() <= one_task_rows:
+    if known_small or (rows is None and table.count() <= one_task_rows):
         upto = Window.partitionBy(*by).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
         return table.select("*", *[F.sum(c).over(upto).alias(name) for name, c in sums.items()])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import as_col
 from retentia.operators.joins import semi_filter, union_by_name
 from retentia.operators.ordered import ONE_TASK_ROWS, running_totals
+from retentia.sources.tables import materialize
 
 
 def tenure(
@@ -58,13 +59,8 @@ def tenure(
 _LIFE = ("timeline", "removed", "observed", "at_risk")
 
 
-def life_table(
-    df: DataFrame, t: str, e: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """``(timeline, removed, observed, at_risk)`` per distinct time, from time 0 on.
-
-    Rows without a duration or an event flag are left out.
-    """
+def _time_counts(df: DataFrame, t: str, e: str) -> tuple[DataFrame, int]:
+    """``(timeline, removed, observed)`` per distinct time as a written table, and its number of rows."""
     known = df.where(F.col(t).isNotNull() & F.col(e).isNotNull())
     counts = known.groupBy(F.col(t).cast("double").alias("timeline")).agg(
         F.count("*").alias("removed"), F.count_if(F.col(e) == 1).alias("observed")
@@ -77,12 +73,37 @@ def life_table(
         .groupBy("timeline")
         .agg(F.sum("removed").alias("removed"), F.sum("observed").alias("observed"))
     )
+    written = materialize(counts, "times")
+    return written, written.count()
+
+
+def _at_risk(counts: DataFrame, rows: int, one_task_rows: int) -> DataFrame:
+    sums = {"at_risk": F.col("removed")}
     left = running_totals(
-        counts, ["timeline"], {"at_risk": F.col("removed")}, descending=True, one_task_rows=one_task_rows
+        counts, ["timeline"], sums, descending=True, one_task_rows=one_task_rows, rows=rows
     )
     return left.select(*_LIFE)
 
 
+def life_table(
+    df: DataFrame, t: str, e: str, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """``(timeline, removed, observed, at_risk)`` per distinct time, from time 0 on.
+
+    Rows without a duration or an event flag are left out.
+    """
+    return _at_risk(*_time_counts(df, t, e), one_task_rows)
+
+
+def _summed(
+    df: DataFrame, t: str, e: str, sums: dict[str, Column], one_task_rows: int
+) -> DataFrame:
+    """The life table with running sums over time; ``df`` is read once."""
+    counts, rows = _time_counts(df, t, e)
+    table = _at_risk(counts, rows, one_task_rows)
+    return running_totals(table, ["timeline"], sums, one_task_rows=one_task_rows, rows=rows)
+
+
 def _km_sums() -> dict[str, Column]:
     """What has to be summed over time for the survival function and its variance."""
     d, n = F.col("observed"), F.col("at_risk")
@@ -121,8 +142,7 @@ def kaplan_meier(
     cumulative_density. Where survival is 1 so is the band; where it is 0 the band
     is null.
     """
-    table = life_table(df, t, e, one_task_rows)
-    summed = running_totals(table, ["timeline"], _km_sums(), one_task_rows=one_task_rows)
+    summed = _summed(df, t, e, _km_sums(), one_task_rows)
     return summed.select(*_LIFE, *_km_columns(ci))
 
 
@@ -178,10 +198,7 @@ def nelson_aalen(
     as if they came one after the other.
     """
     sums = {"cumulative_hazard": _hazard_step(ties)}
-    table = life_table(df, t, e, one_task_rows)
-    return running_totals(table, ["timeline"], sums, one_task_rows=one_task_rows).select(
-        *_LIFE, "cumulative_hazard"
-    )
+    return _summed(df, t, e, sums, one_task_rows).select(*_LIFE, "cumulative_hazard")
 
 
 def survival_curves(
@@ -194,8 +211,7 @@ def survival_curves(
 ) -> DataFrame:
     """``kaplan_meier`` and ``nelson_aalen`` side by side, from one life table."""
     sums = {**_km_sums(), "cumulative_hazard": _hazard_step(ties)}
-    table = life_table(df, t, e, one_task_rows)
-    summed = running_totals(table, ["timeline"], sums, one_task_rows=one_task_rows)
+    summed = _summed(df, t, e, sums, one_task_rows)
     return summed.select(*_LIFE, *_km_columns(ci), "cumulative_hazard")
 
 
@@ -233,11 +249,12 @@ def cohort(
     """Transactions of members registered from ``since_year`` on, plus their registrations.
 
     A registration is added as a row of its own, with only key and date, unless
-    the member has a transaction on that day.
+    the member has a transaction on that day. Reads the transactions twice, the second
+    time only their key and date.
     """
     since = members.where(F.col(year) >= since_year)
     kept = semi_filter(transactions, since, key)
     starts = since.select(key, as_col(registered).alias(date))
-    # Only members of the cohort can meet a start, so all transactions may be asked.
-    known = transactions.select(key, date).distinct()
+    # Reduced to the starts before the distinct, so at most one date a member is left.
+    known = semi_filter(transactions.select(key, date), starts, [key, date]).distinct()
     return union_by_name(kept, starts.join(known, [key, date], "left_anti"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +77,14 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-_OWN: dict[str, tempfile.TemporaryDirectory] = {}
+# Paths made by the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, so that any storage Spark can write can also be cleaned."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -87,15 +94,37 @@ def _shared_folder(spark: SparkSession) -> str:
         return named
     if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    # A local session without a folder of its own gets one that goes with the process.
-    if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = tempfile.TemporaryDirectory(prefix="retentia-")
-    return _OWN[context.applicationId].name
+    # A local session without a folder of its own gets one in its warehouse that goes with the JVM.
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{context.applicationId}"
+    path, files = _hadoop_path(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``."""
-    return f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables made inside it.
+
+    Results that are still to be computed from them must be written before that.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            path, files = _hadoop_path(spark, path)
+            files.delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
