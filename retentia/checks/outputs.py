@@ -52,6 +52,20 @@ add(
         max(n) AS max_repeats FROM n""",
 )
 add("q4_cohort_transactions", lambda s, d: v.cohort_transactions(s, d), "SELECT * FROM cohort")
+add(
+    "q5_log_checks",
+    lambda s, d: reports.log_checks(v.logs_a(s, d), v.logs_b(s, d), K),
+    """SELECT count(*) FILTER (WHERE a > 0) AS keys_a, count(*) FILTER (WHERE b > 0) AS keys_b,
+        count(*) FILTER (WHERE a > 0 AND b > 0) AS keys_both, count(*) AS keys_all,
+        count(*) FILTER (WHERE a > 0 AND b > 0) = 0 AS disjoint,
+        CAST(sum(a) AS BIGINT) AS rows_a, CAST(sum(b) AS BIGINT) AS rows_b,
+        CAST(sum(a + b) AS BIGINT) AS row_count, count(*) FILTER (WHERE a + b <> 1) AS repeated_keys,
+        CAST(sum(na) AS BIGINT) AS negatives_a, CAST(sum(nb) AS BIGINT) AS negatives_b
+    FROM (SELECT user_id, date, count(*) FILTER (WHERE f = 0) AS a, count(*) FILTER (WHERE f = 1) AS b,
+            count(*) FILTER (WHERE f = 0 AND total_secs < 0) AS na,
+            count(*) FILTER (WHERE f = 1 AND total_secs < 0) AS nb
+        FROM (SELECT *, 0 AS f FROM logs_a UNION ALL SELECT *, 1 AS f FROM logs_b) GROUP BY 1, 2)""",
+)
 add(
     "q5_consolidated_logs",
     lambda s, d: reports.consolidated_logs(v.logs_a(s, d), v.logs_b(s, d), v.target(s, d), K),

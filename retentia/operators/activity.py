@@ -61,14 +61,22 @@ def nth_last_row(
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """The n-th most recent row per key, its columns named with ``suffix``."""
-    return (
-        recent_rows(df, key, order, n, tie)
-        .where(F.col("recency") == n)
-        .select(
-            *_keys(key),
-            F.col(order).alias(f"{order}_{suffix}"),
-            *[c.alias(f"{name}_{suffix}") for name, c in measures.items()],
-        )
+    return nth_of_recent(recent_rows(df, key, order, n, tie), key, order, n, measures, suffix)
+
+
+def nth_of_recent(
+    recent: DataFrame,
+    key: str | Sequence[str],
+    order: str,
+    n: int,
+    measures: Mapping[str, Column],
+    suffix: str,
+) -> DataFrame:
+    """``nth_last_row`` from rows that ``recent_rows`` has found."""
+    return recent.where(F.col("recency") == n).select(
+        *_keys(key),
+        F.col(order).alias(f"{order}_{suffix}"),
+        *[c.alias(f"{name}_{suffix}") for name, c in measures.items()],
     )
 
 
@@ -121,8 +129,19 @@ def last_k_sums(
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """Sums over the k most recent rows; with ``require_k`` only for keys that have k."""
+    return sums_of_recent(recent_rows(df, key, order, k, tie), key, k, measures, require_k)
+
+
+def sums_of_recent(
+    recent: DataFrame,
+    key: str | Sequence[str],
+    k: int,
+    measures: Mapping[str, Column],
+    require_k: bool = True,
+) -> DataFrame:
+    """``last_k_sums`` from rows that ``recent_rows`` has found."""
     suffix = f"_{k}last"
-    sums = lifetime_sums(recent_rows(df, key, order, k, tie), key, measures, suffix)
+    sums = lifetime_sums(recent.where(F.col("recency") <= k), key, measures, suffix)
     return sums.where(F.col(f"row_count{suffix}") == k) if require_k else sums
 
 

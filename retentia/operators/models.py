@@ -137,17 +137,28 @@ def coefficients(model, cols: Sequence[str]) -> list[tuple[str, float]]:
     return [(c, float(w)) for c, w in zip(cols, model.coefficients.toArray(), strict=True)]
 
 
-def compare_models(
+def score_splits(
     models: Mapping[str, Model | Neighbours],
     splits: Mapping[str, DataFrame],
     cols: Sequence[str],
     label: str,
     key: str,
 ) -> DataFrame:
-    """``(model, split, metric, value)`` for every model on every named frame."""
+    """``(split, model, key, label, p, pred)``: the named frames, scored by every model."""
     tagged = None
     for split, df in splits.items():
         part = df.select(key, *cols, label).withColumn("split", F.lit(split))
         tagged = part if tagged is None else tagged.unionByName(part)
-    scored = score(models, tagged, cols, label, key, keep=["split"])
+    return score(models, tagged, cols, label, key, keep=["split"])
+
+
+def compare_models(
+    models: Mapping[str, Model | Neighbours],
+    splits: Mapping[str, DataFrame],
+    cols: Sequence[str],
+    label: str,
+    key: str,
+) -> DataFrame:
+    """``(model, split, metric, value)`` for every model on every named frame."""
+    scored = score_splits(models, splits, cols, label, key)
     return model_report(scored, by=["model", "split"]).select("model", "split", "metric", "value")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
@@ -72,6 +73,27 @@ def collinear_pairs(corr: DataFrame, limit: float = 0.5) -> DataFrame:
     return corr.where(F.abs("corr") > limit)
 
 
+def _fit_c1(vectors: DataFrame, start: float, max_iter: int, tol: float) -> tuple[np.ndarray, float]:
+    """Weights of the logistic regression with C = 1 of a summed loss, and the penalty that gave them.
+
+    The iteratively reweighted fit takes its penalty per weight p(1 - p), so the right one is
+    one over their sum, which depends on the fit: it is found by fitting again, from ``start``.
+    """
+    penalty = start
+    for _ in range(10):
+        fitted = GeneralizedLinearRegression(
+            family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=penalty
+        ).fit(vectors)
+        if fitted.summary.numIterations >= max_iter:
+            raise RuntimeError(f"an elimination fit did not converge in {max_iter} rounds")
+        p = F.col("prediction")
+        right = 1.0 / fitted.transform(vectors).agg(F.sum(p * (1 - p))).first()[0]
+        if abs(right / penalty - 1) < 1e-3:
+            return fitted.coefficients.toArray(), right
+        penalty = right
+    raise RuntimeError("the penalty of an elimination fit did not settle")
+
+
 def rfe_rank(
     df: DataFrame, cols: Sequence[str], label: str, max_iter: int = 25, tol: float = 1e-6
 ) -> DataFrame:
@@ -79,10 +101,9 @@ def rfe_rank(
 
     Each round fits a logistic regression on what is left and drops the feature
     with the smallest squared coefficient. Expects scaled columns and balanced
-    classes. The fit is the iteratively reweighted one, which reads the rows about
-    six times a round where a gradient method takes fifty. Its penalty is per
-    weight p(1 - p), at most a quarter per row, so 4/rows stands for a summed
-    loss with C = 1.
+    classes. The fit, with C = 1 of a summed loss, is the iteratively reweighted one,
+    which reads the rows about six times where a gradient method takes fifty; the
+    penalty of one round is the first try of the next.
     """
     table = materialize(
         df.select(
@@ -91,18 +112,12 @@ def rfe_rank(
         ),
         "rfe",
     )
-    fitter = GeneralizedLinearRegression(
-        family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=4.0 / table.count()
-    )
-    left, dropped = list(cols), []
+    left, dropped, penalty = list(cols), [], 4.0 / max(1, table.count())
     while len(left) > 1:
         vectors = features_and_label(table, left, "label").persist()
-        fitted = fitter.fit(vectors)
-        if fitted.summary.numIterations >= max_iter:
-            raise RuntimeError(f"the elimination fit on {left} did not converge in {max_iter} rounds")
-        weight = fitted.coefficients.toArray() ** 2
+        weight, penalty = _fit_c1(vectors, penalty, max_iter, tol)
         vectors.unpersist()
-        dropped.append(left.pop(int(weight.argmin())))
+        dropped.append(left.pop(int((weight**2).argmin())))
     ranked = left + dropped[::-1]
     return df.sparkSession.createDataFrame(
         list(enumerate(ranked, start=1)), "rank int, feature string"

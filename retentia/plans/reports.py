@@ -24,8 +24,8 @@ from retentia.functions.columns import (
     text_or,
     valid_or,
 )
-from retentia.operators import models, quality, sampling, selection, survival
-from retentia.operators.activity import RECENCY_SUFFIXES
+from retentia.operators import metrics, models, quality, sampling, selection, survival
+from retentia.operators.activity import RECENCY_SUFFIXES, SECONDS_COLUMN
 from retentia.operators.joins import (
     full_join,
     key_presence,
@@ -59,7 +59,9 @@ CITY_GROUPS = {
 }
 OTHER_CITY_GROUP = 6
 
+# The categorical features, and the columns that models are fitted on.
 CATEGORICAL = ("city", "gender", "registered_via", "reg_month", "reg_day_of_week")
+MODEL_COLUMNS = ("registered_via_woe", "bd", "city_woe")
 
 
 def churn_target(first: DataFrame, update: DataFrame, key: str) -> DataFrame:
@@ -110,6 +112,29 @@ def cohort_transactions(
     )
 
 
+def log_checks(
+    first: DataFrame, second: DataFrame, key: str, date: str = "date", seconds: str = SECONDS_COLUMN
+) -> DataFrame:
+    """One row: rows of the two log files, users and days that repeat, in a file or in both, and
+    rows with negative seconds. One pass over each file."""
+    sides = {"a": first, "b": second}
+    tagged = union_by_name(
+        *[df.select(key, date, F.lit(side).alias("_side"), (F.col(seconds) < 0).alias("_neg")) for side, df in sides.items()]
+    )
+    per_day = tagged.groupBy(key, date).agg(
+        *[F.count_if(F.col("_side") == side).alias(f"n_{side}") for side in sides],
+        *[F.count_if((F.col("_side") == side) & F.col("_neg")).alias(f"neg_{side}") for side in sides],
+    )
+    repeats = F.col("n_a") + F.col("n_b")
+    return per_day.agg(
+        *overlap_counts(),
+        *[F.sum(f"n_{side}").alias(f"rows_{side}") for side in sides],
+        F.sum(repeats).alias("row_count"),
+        F.count_if(repeats != 1).alias("repeated_keys"),
+        *[F.sum(f"neg_{side}").alias(f"negatives_{side}") for side in sides],
+    )
+
+
 def consolidated_logs(
     first: DataFrame, second: DataFrame, target: DataFrame, key: str, date: str = "date"
 ) -> DataFrame:
@@ -154,9 +179,22 @@ def encoded_members(
 
     Train and test rows get the same encoding, so both are encoded in one pass.
     """
+    return encode(members, encoding_table(members, key, features, test_pct), key, features)
+
+
+def encoding_table(
+    members: DataFrame, key: str, features: Sequence[str] = CATEGORICAL, test_pct: int = 40
+) -> DataFrame:
+    """The weight of evidence of every category, fitted on the train split."""
     table = sampling.hash_split(members, key, test_pct)
-    fitted = woe_fit(table.where(F.col("split") == "train"), features, LABEL)
-    encoded = woe_apply(table, fitted, features)
+    return woe_fit(table.where(F.col("split") == "train"), features, LABEL)
+
+
+def encode(
+    members: DataFrame, fitted: DataFrame, key: str, features: Sequence[str] = CATEGORICAL
+) -> DataFrame:
+    """Members, also new ones, with the categories of a fitted encoding table."""
+    encoded = woe_apply(members, fitted, features)
     return encoded.select(key, LABEL, *[f"{f}_woe" for f in features], "bd", "reg_year")
 
 
@@ -199,24 +237,36 @@ def reduced_features(
     return table.select(*names, key, LABEL)
 
 
-def model_comparison(
+def scored_models(
     features: DataFrame,
     key: str,
-    cols: Sequence[str] = ("registered_via_woe", "bd", "city_woe"),
+    cols: Sequence[str] = MODEL_COLUMNS,
     names: Sequence[str] = models.MODEL_NAMES,
     **settings,
 ) -> DataFrame:
-    """``(model, split, metric, value)``: every model on the balanced train and the test part."""
+    """``(split, model, key, label, p, pred)``: the balanced train and the test part, scored by every model."""
     cols = list(cols)
     table = materialize(
         features.where(F.col(LABEL).isNotNull()).select(key, LABEL, *cols), "features"
     )
-    train, test = train_sample(fill_all(table, number=MISSING_FEATURE), key)
+    train, test = train_sample(fill_all(table, number=MISSING_FEATURE, except_=(key, LABEL)), key)
     train = materialize(train, "train")
     scaler = materialize(selection.scale_fit(train, cols), "scaler")
     train, test = selection.scale_apply(train, scaler), selection.scale_apply(test, scaler)
     fitted = models.fit_models(train, cols, LABEL, key, names, **settings)
-    return models.compare_models(fitted, {"train": train, "test": test}, cols, LABEL, key)
+    return models.score_splits(fitted, {"train": train, "test": test}, cols, LABEL, key)
+
+
+def model_comparison(
+    features: DataFrame,
+    key: str,
+    cols: Sequence[str] = MODEL_COLUMNS,
+    names: Sequence[str] = models.MODEL_NAMES,
+    **settings,
+) -> DataFrame:
+    """``(model, split, metric, value)``: every model on the balanced train and the test part."""
+    scored = scored_models(features, key, cols, names, **settings)
+    return metrics.model_report(scored, by=["model", "split"])
 
 
 def survival_table(cohort: DataFrame, key: str, keep_single: bool = False) -> DataFrame:
