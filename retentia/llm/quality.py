@@ -8,7 +8,7 @@ covers every word of every document.
 
 Null texts count as empty; a text without words is one passage without content, and gets the score the
 model gives that. Without labels of both classes every document scores the share of label 1 (0.5
-without any). An id that is labelled more than once counts with its mean label. Null ids and null
+without any). An id that is labelled more than once counts with its mean label, one that several rows have with its least text. Null ids and null
 labels are never learned from. An empty table gives an empty result. Only id and text are read,
 so that no other column can be an input.
 """
@@ -77,10 +77,12 @@ def encode(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     owner = np.repeat(np.arange(len(texts)), count)
     out = np.zeros((n, FEATURES), np.float32)
     if len(start):
-        # White space belongs to the word before it; a text's leading white space to nothing.
-        at = np.repeat(passage, np.diff(np.r_[start, len(code)]))
+        # White space belongs to the word before it in the same text; a text's leading white space to nothing.
+        spans = np.diff(np.r_[start, len(code)])
+        at, text = np.repeat(passage, spans), np.repeat(np.arange(len(texts)), size)[start[0] :]
+        inside = text == np.repeat(doc, spans)
         own = kind[start[0] :].astype(np.int64)
-        chars = np.bincount(at * CLASSES + own, minlength=n * CLASSES).reshape(n, CLASSES)
+        chars = np.bincount(at[inside] * CLASSES + own[inside], minlength=n * CLASSES).reshape(n, CLASSES)
         total = np.maximum(chars.sum(axis=1, keepdims=True), 1)
         out[:, :CLASSES] = chars / total
         held = np.maximum(np.bincount(passage, minlength=n), 1)[:, None]
@@ -104,7 +106,8 @@ def encode(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
         out[:, at_word + 7] = distinct / held[:, 0]
         low = np.where((code >= 65) & (code <= 90), code + 32, code).astype(np.uint32)[start[0] :]
         two = (low[:-1] * np.uint32(2654435761) + low[1:] * np.uint32(40503)) >> np.uint32(7)
-        grams = np.bincount(at[:-1] * BIGRAMS + (two % BIGRAMS).astype(np.int64), minlength=n * BIGRAMS)
+        pair = inside[:-1] & (text[1:] == text[:-1])
+        grams = np.bincount(at[:-1][pair] * BIGRAMS + (two[pair] % BIGRAMS).astype(np.int64), minlength=n * BIGRAMS)
         out[:, at_word + 8 :] = grams.reshape(n, BIGRAMS) / total
     return out, owner
 
@@ -208,8 +211,8 @@ def fit(
             )
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    # At most ``bound`` rows of an id and a label.
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
+    # At most ``bound`` rows of an id and a label; an id that many rows repeat is learned from once.
+    rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(run, "doc_id bigint, y double, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     if not got:

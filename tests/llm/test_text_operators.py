@@ -104,6 +104,25 @@ def test_quality_edge_cases(spark, odd):
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_features_do_not_depend_on_the_other_texts():
+    classes = quality._classes()
+    texts = [" \n lead", "", "One two, THREE!  ", "\t x 1 ", "   ", "a b " * 150, "end", "\u65e5\u672c \U0001f600"]
+    for some in (texts, texts[::-1]):
+        x, owner = quality.encode(some, classes)
+        for k, text in enumerate(some):
+            assert np.array_equal(x[owner == k], quality.encode([text], classes)[0])
+
+
+def test_quality_of_an_id_that_repeats_is_learned_once(spark):
+    rows = [(1, "b"), (1, "a"), (1, "b"), (2, "words and more words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id bigint, quality int")
+    once = docs.filter("text != 'b'")
+    want = [r.score for r in quality.score(once, quality.fit(once, labels)).orderBy("doc_id").collect()]
+    got = quality.score(once, quality.fit(docs, labels)).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], want)
+
+
 def test_quality_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     owner = np.repeat(np.arange(80), 3)
