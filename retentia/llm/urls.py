@@ -7,7 +7,7 @@ longest rule that fits wins. Names count as they are written; there is no percen
 
 The trees are fitted on labelled URLs: a table of ``url`` and ``label`` (1 blocks). Where the caller has none, URLs
 whose host holds one of a few telling names (``SEEDS``) are labelled 1 and all others 0, on a sample of about
-``BOUND`` rows taken by the hash of the URL. The names themselves are not features, so unlisted hosts
+``BOUND`` rows taken by the hash of the URL, each URL once. The names themselves are not features, so unlisted hosts
 built alike are blocked too. With labels of one class only, everything gets that class (allow without any).
 Repeated rows each get their own verdict. An empty table gives an empty result; other columns are not looked at.
 """
@@ -109,7 +109,8 @@ def label_by_names(urls: DataFrame, url_col: str = "url", bound: int = BOUND) ->
     """About ``bound`` of the URLs, taken by hash, labelled by the telling names in their hosts."""
     hosts = urls.select(F.col(url_col).cast("string").alias("url")).filter("url IS NOT NULL")
     share = min(1.0, bound / max(1, hosts.count()))
-    chosen = hosts.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20))
+    # Rows of one URL fall into the sample together; once is enough, and keeps the sample bounded.
+    chosen = hosts.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
     pattern = rf"(^|[.-])({'|'.join(map(re.escape, SEEDS))})([.-]|$)"
     return chosen.withColumn("label", host_of("url").rlike(pattern).cast("int"))
 
