@@ -15,8 +15,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import tiktoken
@@ -75,10 +76,14 @@ class Scanner:
     def random(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Runs with few characters per token outside the matches of the patterns."""
         out = []
+        # The farthest end of the matches up to each one, so that overlaps are found by bisection.
+        starts = [s for s, _, _ in base]
+        reach = list(accumulate((e for _, _, e in base), max))
         for m in self.run.finditer(text):
             run = m[0]
             a, b = m.span()
-            if any(s < b and a < e for s, _, e in base):
+            before = bisect_left(starts, b)
+            if before and reach[before - 1] > a:
                 continue
             body = run.rstrip("=")
             if KNOWN.fullmatch(run) or len(body) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", body):
