@@ -36,6 +36,11 @@ HEADLINE = [
     "m3_nearest_neighbours",
     "v4_roc_auc",
     "v8_metric_report",
+    "x4_feature_elimination",
+    "m1_logistic_regression",
+    "m4_random_forest",
+    "q14_reduced_features",
+    "q15_model_comparison",
 ]
 
 
