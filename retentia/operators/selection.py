@@ -6,6 +6,7 @@ correlation matrix, a ranking), never of the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -77,10 +78,11 @@ def _fit_c1(vectors: DataFrame, start: float, max_iter: int, tol: float) -> tupl
     """Weights of the logistic regression with C = 1 of a summed loss, and the penalty that gave them.
 
     The iteratively reweighted fit takes its penalty per weight p(1 - p), so the right one is
-    one over their sum, which depends on the fit: it is found by fitting again, from ``start``.
+    one over their sum, which depends on the fit: it is found by fitting again, from ``start``,
+    with secant steps on its logarithm.
     """
-    penalty = start
-    for _ in range(10):
+    penalty, before = start, None
+    for _ in range(20):
         fitted = GeneralizedLinearRegression(
             family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=penalty
         ).fit(vectors)
@@ -88,9 +90,13 @@ def _fit_c1(vectors: DataFrame, start: float, max_iter: int, tol: float) -> tupl
             raise RuntimeError(f"an elimination fit did not converge in {max_iter} rounds")
         p = F.col("prediction")
         right = 1.0 / fitted.transform(vectors).agg(F.sum(p * (1 - p))).first()[0]
-        if abs(right / penalty - 1) < 1e-3:
-            return fitted.coefficients.toArray(), right
-        penalty = right
+        here, miss = math.log(penalty), math.log(right / penalty)
+        if abs(miss) < 1e-3:
+            return fitted.coefficients.toArray(), penalty
+        # A larger penalty always asks for a smaller one, so the slope is below -1.
+        slope = (miss - before[1]) / (here - before[0]) if before else -1.0
+        before = here, miss
+        penalty = math.exp(here - miss / min(slope, -1.0))
     raise RuntimeError("the penalty of an elimination fit did not settle")
 
 
