@@ -278,3 +278,27 @@ def test_common_subsequence_on_bits():
         a, b = random.choices(range(12), k=random.randint(1, 90)), random.choices(range(12), k=random.randint(0, 120))
         mask = decontaminate.Items._mask(np.array(a, np.uint64))
         assert decontaminate.Items._common(mask, len(a), b) == common(a, b)
+
+
+def test_decontamination_finds_items_between_repeated_words(spark):
+    d = "/root/testdata/sf0.01"
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    items = bench.collect()
+    rows = [(20_000 + i, " ".join([f"erheing{i}"] * 300 + [r.text] + [f"erheing{i}"] * 300)) for i, r in enumerate(items)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.item_ids for r in decontaminate.report(both, bench).collect()}
+    assert [r.item_id for i, r in enumerate(items) if r.item_id not in got[20_000 + i]] == []
+
+
+def test_windows_count_a_word_once():
+    random.seed(9)
+    b = np.array(random.choices(range(40), k=700))
+    bounds = np.array([0, 3, 3, 300, 700])
+    start, text = decontaminate.blocks(bounds)
+    projection = np.r_[np.random.default_rng(2).normal(size=(decontaminate.BUCKETS, 4)), np.zeros((1, 4))].astype(np.float32)
+    sums = decontaminate.layers(b, start, bounds[1:][text], text, projection)
+    for width in decontaminate.WIDTHS:
+        got = decontaminate.windows(sums, text, width)
+        for i, s in enumerate(start):
+            held = np.unique(b[s : min(s + width * decontaminate.STEP, bounds[1:][text[i]])])
+            assert np.allclose(got[i], projection[held].sum(axis=0), atol=1e-4)
