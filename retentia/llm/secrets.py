@@ -1,10 +1,11 @@
 """Secrets in texts: three patterns, and random strings found by token efficiency.
 
 Ordinary words and names come out of a tokenizer as few long tokens, random strings as
-many short ones. Every run of key characters that mixes digits and letters and has few characters
-per token is reported, unless it is a known digest (hexadecimal of a usual digest length), a UUID, a
-number, a date or a version. The patterns' matches are always reported; a random string
-that overlaps one of them is not reported again.
+many short ones. Every run of key characters with few characters per token is reported, fewer if it has
+no digit, unless it is a known digest (hexadecimal of a usual digest length), a UUID, a
+number, a date or a version. The patterns' matches are always reported; of a run
+that overlaps them what is left is looked at. A run that is not random as a whole is looked at again without the
+readable words at its ends, then part by part between its separators.
 
 Offsets are code points, the end is exclusive. Null texts are empty and have no spans. Repeated
 rows each get their own result. An empty table gives an empty result; other columns are not looked at.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -33,13 +34,17 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 18, False),
     "hex": (r"[0-9a-f]+", 16, False),
 }
-#: A run of key characters that may be random, its least length, and the most characters per token.
+#: A run of key characters that may be random, its least length, and the most characters per token, with and without digits.
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
-LEAST, RATIO = 20, 2.0
+LEAST, RATIO, PLAIN = 16, 2.0, 1.85
+HEX = re.compile(r"[0-9a-fA-F]+")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: A part that may be a word or a number.
+READABLE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")
 DIGESTS = (32, 40, 48, 56, 64, 96, 128)
+UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
 KNOWN = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9_+=/-]+"  # numbers, dates, rulers
+    r"[0-9_+=/-]+"  # numbers, dates, rulers
     r"|(https?|ftp)?/?/[a-z0-9/_-]+"  # paths
 )
 
@@ -53,9 +58,9 @@ def ranks(path: str) -> dict[bytes, int]:
 class Scanner:
     """Finds the spans of one text."""
 
-    def __init__(self, mergeable: dict[bytes, int], least: int = LEAST, ratio: float = RATIO):
+    def __init__(self, mergeable: dict[bytes, int], least: int = LEAST, ratio: float = RATIO, plain: float = PLAIN):
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=mergeable, special_tokens={})
-        self.ratio = ratio
+        self.least, self.ratio, self.plain = least, ratio, min(plain, ratio)
         self.assign = re.compile(KINDS["assign"][0], re.ASCII | re.IGNORECASE)
         # With a least length in the pattern only whole runs can match, as runs end where the class ends.
         self.access = re.compile(r"AKIA[A-Z0-9]{%d,}" % (KINDS["access"][1] - 4))
@@ -73,6 +78,31 @@ class Scanner:
         out += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return sorted(out)
 
+    def dense(self, run: str, ratio: float) -> bool:
+        return len(run) <= ratio * len(self.encoding.encode_ordinary(run))
+
+    def key(self, run: str) -> bool:
+        """Whether a run is long and random as a whole."""
+        if len(run) < self.least or KNOWN.fullmatch(run):
+            return False
+        if re.search(r"[0-9]", run):
+            return self.dense(run, self.ratio)
+        # Spelled-out letters (a-b-c) are no key.
+        return any(2 * len(p) >= self.least for p in PART.findall(run)) and self.dense(run, self.plain)
+
+    def keys(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """The random strings in a run: all of it, or without the readable parts at its ends, or single parts."""
+        if b - a < self.least:
+            return []
+        if self.key(text[a:b]):
+            return [(a, b)]
+        parts = [m.span() for m in PART.finditer(text, a, b)]
+        whole = [self.key(text[x:y]) for x, y in parts]
+        odd = [k for k, (x, y) in enumerate(parts) if whole[k] or not (READABLE.fullmatch(text, x, y) or not self.dense(text[x:y], self.ratio))]
+        if odd and (inner := (parts[odd[0]][0], parts[odd[-1]][1])) != (a, b) and self.key(text[slice(*inner)]):
+            return [inner]
+        return [span for span, is_key in zip(parts, whole, strict=True) if is_key]
+
     def random(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Runs with few characters per token outside the matches of the patterns."""
         out = []
@@ -80,18 +110,16 @@ class Scanner:
         starts = [s for s, _, _ in base]
         reach = list(accumulate((e for _, _, e in base), max))
         for m in self.run.finditer(text):
-            run = m[0]
             a, b = m.span()
-            before = bisect_left(starts, b)
-            if before and reach[before - 1] > a:
-                continue
-            body = run.rstrip("=")
-            if KNOWN.fullmatch(run) or len(body) in DIGESTS and re.fullmatch(r"[0-9a-fA-F]+", body):
-                continue
-            if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)):
-                continue
-            if len(run) <= self.ratio * len(self.encoding.encode_ordinary(run)):
-                out.append((a, 3, b))
+            taken = [u.span() for u in UUID.finditer(text, a, b)]
+            taken += [d.span() for d in PART.finditer(text, a, b) if len(d[0]) in DIGESTS and HEX.fullmatch(d[0])]
+            # Matches that reach into the run: from the first whose reach passes its start.
+            taken += [(s, e) for s, _, e in base[bisect_right(reach, a) : bisect_left(starts, b)]]
+            for s, e in sorted(taken):
+                if s > a:
+                    out += [(x, 3, y) for x, y in self.keys(text, a, s)]
+                a = max(a, e)
+            out += [(x, 3, y) for x, y in self.keys(text, a, b)]
         return out
 
 
