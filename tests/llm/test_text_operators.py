@@ -324,9 +324,36 @@ def test_windows_count_a_word_once():
     bounds = np.array([0, 3, 3, 300, 700])
     start, text = decontaminate.blocks(bounds)
     projection = np.r_[np.random.default_rng(2).normal(size=(decontaminate.BUCKETS, 4)), np.zeros((1, 4))].astype(np.float32)
-    sums = decontaminate.layers(b, start, bounds[1:][text], text, projection)
+    block, _, gap = decontaminate.repeats(b, start, text)
+    sums = decontaminate.layers(b, block, gap, start, bounds[1:][text], projection)
     for width in decontaminate.WIDTHS:
         got = decontaminate.windows(sums, text, width)
         for i, s in enumerate(start):
             held = np.unique(b[s : min(s + width * decontaminate.STEP, bounds[1:][text[i]])])
             assert np.allclose(got[i], projection[held].sum(axis=0), atol=1e-4)
+
+
+def test_decontamination_finds_rewordings_that_its_rule_accepts(spark):
+    d = "/root/testdata/sf0.1"
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    prose = [w for r in docs.select("text").collect() if len(w := (r.text or "").split()) > 300]
+    random.seed(11)
+    want, rows = set(), []
+    for i, r in enumerate(bench.collect()):
+        *body, answer = [s.split() for s in decontaminate.SENTENCE.split(r.text.strip()) if s]
+        for j, share in enumerate((0.35, 0.38)):
+            words, host = sum(body, []), random.choice(prose)
+            for k in random.sample(range(len(words)), min(len(words), int(share * (len(words) + len(answer))))):
+                words[k] = random.choice(random.choice(prose))
+            at = random.randrange(len(host))
+            doc = 30_000 + 10 * i + j
+            rows.append((doc, " ".join(host[:at] + words + answer + host[at:])))
+            # The rule itself, by brute force around the place of the item.
+            item, near = normal(r.text), normal(" ".join(host[max(0, at - 60) : at] + words + answer + host[at : at + 60]))
+            share, last = common(item, near) / len(item), normal(" ".join(answer))
+            if share >= 0.8 or share >= 0.6 and common(last, near) >= 0.8 * len(last):
+                want.add((doc, r.item_id))
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {(r.doc_id, k) for r in decontaminate.report(both, bench).collect() for k in r.item_ids}
+    assert len(want) > 300
+    assert len(found & want) >= 0.98 * len(want), (len(found & want), len(want))
