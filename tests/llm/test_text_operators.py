@@ -357,3 +357,33 @@ def test_decontamination_finds_rewordings_that_its_rule_accepts(spark):
     found = {(r.doc_id, k) for r in decontaminate.report(both, bench).collect() for k in r.item_ids}
     assert len(want) > 300
     assert len(found & want) >= 0.98 * len(want), (len(found & want), len(want))
+
+
+def test_decontamination_finds_short_items_and_items_without_spaces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = [
+        (1, "Who wrote Zarquon?"),
+        (2, "水の沸点は何度ですか。百度です。"),
+        (3, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศอะไร ประเทศไทย"),
+        (4, "Blorptastic"),
+        (5, "中国的首都是哪一座城市，它位于哪一条大河的旁边，人口有多少万？答案是北京，人口两千多万。"),
+        (6, "\U00020000\U00020001\U00020002"),
+        (7, "?!"),
+    ]
+    filler = "Quite ordinary prose stands before and after it, for many lines. " * 20
+    rows = [(40_000 + i, filler + text + " " + filler) for i, text in items]
+    rows += [
+        (40_100, "这是前面的文字" + items[1][1] + "后面还有很多别的文字"),
+        (40_101, items[4][1].replace("哪一座", "那座").replace("旁边", "边上")),
+        (40_102, "Who, he said, wrote Zarquon? Zarquon wrote. Who"),
+        (40_103, "Who wrote"),
+        (40_104, "Zarquon"),
+        (40_105, "水の流れ、沸点、何度"),
+        (40_106, "\U00020000\U00020001\U00020001"),
+    ]
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.report(both, bench).collect() if r.doc_id >= 40_000 or r.contaminated}
+    want = {40_000 + i: [i] for i in range(1, 7)} | {40_100: [2], 40_101: [5]}
+    assert got == {i: want.get(i, []) for i, _ in rows}
+    assert decontaminate.keep_clean(both, bench).count() == both.count() - len(want)
