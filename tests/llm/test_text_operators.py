@@ -387,3 +387,13 @@ def test_decontamination_finds_short_items_and_items_without_spaces(spark, sf_di
     want = {40_000 + i: [i] for i in range(1, 7)} | {40_100: [2], 40_101: [5]}
     assert got == {i: want.get(i, []) for i, _ in rows}
     assert decontaminate.keep_clean(both, bench).count() == both.count() - len(want)
+
+
+def test_decontamination_fits_on_enough_texts_among_many_copies(spark, sf_dir):
+    bench = table(spark, sf_dir, "benchmark")
+    texts = [w for r in table(spark, sf_dir, "documents").collect() if len(w := (r.text or "").split()) > 100][:40]
+    items = bench.collect()
+    rows = [(i, " ".join([*w[:50], r.text, *w[50:]])) for i, (r, w) in enumerate(zip(items, texts, strict=False))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").crossJoin(spark.range(300).select()).repartition(8)
+    got = {(r.doc_id, tuple(r.item_ids)) for r in decontaminate.report(docs, bench, sample=50).collect()}
+    assert sum(items[i].item_id in found for i, found in got) >= 0.9 * len(rows)
