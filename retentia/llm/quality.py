@@ -196,6 +196,8 @@ def fit(
         .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.avg("y").alias("y"))
+        # The bound counts labels of documents at hand only.
+        .join(docs.select(F.col(id_col).cast("bigint").alias("doc_id")), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )

@@ -397,3 +397,14 @@ def test_decontamination_fits_on_enough_texts_among_many_copies(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").crossJoin(spark.range(300).select()).repartition(8)
     got = {(r.doc_id, tuple(r.item_ids)) for r in decontaminate.report(docs, bench, sample=50).collect()}
     assert sum(items[i].item_id in found for i, found in got) >= 0.9 * len(rows)
+
+
+def test_quality_bound_counts_labels_of_the_documents_at_hand(spark):
+    rows = [(i, ("good plain words of prose " if i % 2 else "xx 11 @@ || xx ") * 30) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    few = quality.fit(docs, labels.filter("doc_id < 60"), bound=100)
+    many = quality.fit(docs, labels, bound=100)
+    x, owner = quality.encode([t for _, t in rows], quality._classes())
+    assert few.bags(x, owner).std() > 0.01
+    assert np.allclose(few.bags(x, owner), many.bags(x, owner), atol=1e-3)
