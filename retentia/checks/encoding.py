@@ -6,11 +6,13 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from retentia.checks.registry import CATEGORICAL, MEASURES, add, rounded
+from retentia.checks import fits
+from retentia.checks.registry import CATEGORICAL, MEASURES, add, rounded, slot
 from retentia.checks.relational import fitted, tagged
-from retentia.operators import activity, sampling, selection, woe
+from retentia.operators import activity, logistic, sampling, selection, woe
 from retentia.plans import reports
 from retentia.plans import views as v
+from retentia.sources.tables import materialize
 
 K = v.KEY
 LABEL = reports.LABEL
@@ -192,7 +194,10 @@ add(
 )
 
 
-def x4(s, d):
+_ELIMINATED = ["bd", "reg_year", "month_length", "is_male", "city"]
+
+
+def _elimination_sample(s, d, cols):
     table = v.clean_members(s, d).select(
         K,
         LABEL,
@@ -202,14 +207,42 @@ def x4(s, d):
         F.when(F.col("gender") == "male", 1).otherwise(0).alias("is_male"),
         F.col("city").cast("double").alias("city"),
     )
-    cols = ["bd", "reg_year", "month_length", "is_male", "city"]
-    train, _ = reports.train_sample(table, K)
-    return selection.rfe_rank(
-        selection.scale_apply(train, selection.scale_fit(train, cols)), cols, LABEL
-    )
+    train, _ = reports.train_sample(table.select(K, LABEL, *cols), K)
+    train = materialize(train, "train")
+    return selection.scale_apply(train, selection.scale_fit(train, cols))
+
+
+_THREE = ["bd", "is_male", "city"]
+_SAMPLE_SQL = [
+    f"""sample AS (SELECT user_id, is_churn_final, bd, reg_year, length(reg_month) AS month_length,
+        CAST(gender = 'male' AS INTEGER) AS is_male, CAST(city AS DOUBLE) AS city, {slot('user_id')} < 60 AS is_train FROM clean)"""
+]
+
 
+def x4_weights(s, d):
+    train = _elimination_sample(s, d, _THREE).select(*[F.col(c).cast("double").alias(c) for c in [*_THREE, LABEL]])
+    fit = logistic.fit_logistic(materialize(train, "train"), _THREE, LABEL)
+    rows = [(c, round(float(w), 5)) for c, w in zip([*_THREE, "intercept"], [*fit.weights, fit.intercept], strict=True)]
+    return s.createDataFrame(rows, "feature string, weight double")
 
-add("x4_feature_elimination", x4)
+
+add(
+    "x4_feature_elimination",
+    lambda s, d: selection.rfe_rank(_elimination_sample(s, d, _ELIMINATED), _ELIMINATED, LABEL),
+    "WITH "
+    + ", ".join([*_SAMPLE_SQL, *fits.balanced("sample", _ELIMINATED, LABEL), *fits.elimination("train", _ELIMINATED, LABEL)])
+    + " SELECT rank, feature FROM ranks",
+)
+add(
+    "x4_newton_weights",
+    x4_weights,
+    "WITH one AS (SELECT "
+    + ", ".join(f"1 AS m{i}" for i in range(len(_THREE)))
+    + "), "
+    + ", ".join([*_SAMPLE_SQL, *fits.balanced("sample", _THREE, LABEL), *fits.newton("train", _THREE, LABEL, "fit", "one")])
+    + " "
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(w{i}, 5) AS weight FROM fit8" for i, c in enumerate([*_THREE, "intercept"])),
+)
 add(
     "x5_drop_collinear_once",
     lambda s, d: selection.drop_adjacent_collinear(

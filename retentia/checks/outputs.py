@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from retentia.checks.registry import CATEGORICAL, COUNTS, MEASURES, add, rounded
+from pyspark.sql import functions as F
+
+from retentia.checks import fits
+from retentia.checks.registry import CATEGORICAL, COUNTS, MEASURES, add, rounded, slot
 from retentia.operators import activity
 from retentia.plans import reports
 from retentia.plans import views as v
 from retentia.sources.tables import materialize
 
 K = v.KEY
+LABEL = reports.LABEL
 _SECS = ("total_secs_clean", "abs_total_secs")
 _ENCODED_SQL = "SELECT user_id, is_churn_final, bd, reg_year, " + ", ".join(
     f"round({f}_woe, 6) AS {f}_woe" for f in CATEGORICAL
@@ -130,6 +134,42 @@ add(
     "LEFT JOIN log_recent USING (user_id)",
 )
 add("q14_reduced_features", lambda s, d: reports.reduced_features(wide(s, d), K))
+
+# Three features, so that the elimination has an SQL form; a row per user and feature that is kept.
+_THREE = ["bd", "sum_num_25", "sum_num_50"]
+
+
+def _q14_of_three(s, d):
+    kept = reports.reduced_features(wide(s, d).select(K, LABEL, *_THREE), K)
+    names = [c for c in kept.columns if c in _THREE]
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names]
+    return kept.select(K, LABEL, F.explode(F.array(*cells)).alias("_cell")).select(K, LABEL, "_cell.*")
+
+
+_THREE_SQL = [
+    f"""three AS MATERIALIZED (SELECT user_id, is_churn_final, {', '.join(f'coalesce({c}, -5) AS {c}' for c in _THREE)},
+        {slot('user_id')} < 60 AS is_train FROM encoded LEFT JOIN log_totals USING (user_id))""",
+    *fits.balanced("three", _THREE, LABEL),
+    *fits.elimination("train", _THREE, LABEL),
+    "near AS (SELECT a, b FROM ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM three" for a in _THREE for b in _THREE if a != b)
+    + ") WHERE abs(r) > 0.5)",
+    "k0 AS (SELECT * FROM ranks)",
+    *[
+        f"""k{i + 1} AS (SELECT feature, rank FROM (SELECT *, lag(feature) OVER (ORDER BY rank) AS before FROM k{i}) AS x
+        WHERE NOT EXISTS (SELECT 1 FROM near WHERE a = before AND b = feature))"""
+        for i in range(3)
+    ],
+]
+add(
+    "q14_reduced_of_three",
+    _q14_of_three,
+    f"WITH {', '.join(_THREE_SQL)} "
+    + " UNION ALL ".join(
+        f"SELECT user_id, is_churn_final, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM three WHERE '{c}' IN (SELECT feature FROM k3)"
+        for c in _THREE
+    ),
+)
 add("q15_model_comparison", lambda s, d: reports.model_comparison(encoded(s, d), K))
 add("q16_survival_table", lambda s, d: v.survival(s, d), "SELECT * FROM survival")
 _CURVES = ["km_estimate", "km_lower", "km_upper", "cumulative_density", "cumulative_hazard"]

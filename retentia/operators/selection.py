@@ -6,16 +6,14 @@ correlation matrix, a ranking), never of the data.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retentia.operators.logistic import fit_logistic
 from retentia.sources.tables import materialize
 
 
@@ -74,42 +72,13 @@ def collinear_pairs(corr: DataFrame, limit: float = 0.5) -> DataFrame:
     return corr.where(F.abs("corr") > limit)
 
 
-def _fit_c1(vectors: DataFrame, start: float, max_iter: int, tol: float) -> tuple[np.ndarray, float]:
-    """Weights of the logistic regression with C = 1 of a summed loss, and the penalty that gave them.
-
-    The iteratively reweighted fit takes its penalty per weight p(1 - p), so the right one is
-    one over their sum, which depends on the fit: it is found by fitting again, from ``start``,
-    with secant steps on its logarithm.
-    """
-    penalty, before = start, None
-    for _ in range(20):
-        fitted = GeneralizedLinearRegression(
-            family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=penalty
-        ).fit(vectors)
-        if fitted.summary.numIterations >= max_iter:
-            raise RuntimeError(f"an elimination fit did not converge in {max_iter} rounds")
-        p = F.col("prediction")
-        right = 1.0 / fitted.transform(vectors).agg(F.sum(p * (1 - p))).first()[0]
-        here, miss = math.log(penalty), math.log(right / penalty)
-        if abs(miss) < 1e-3:
-            return fitted.coefficients.toArray(), penalty
-        # A larger penalty always asks for a smaller one, so the slope is below -1.
-        slope = (miss - before[1]) / (here - before[0]) if before else -1.0
-        before = here, miss
-        penalty = math.exp(here - miss / min(slope, -1.0))
-    raise RuntimeError("the penalty of an elimination fit did not settle")
-
-
-def rfe_rank(
-    df: DataFrame, cols: Sequence[str], label: str, max_iter: int = 25, tol: float = 1e-6
-) -> DataFrame:
+def rfe_rank(df: DataFrame, cols: Sequence[str], label: str, penalty: float = 1.0) -> DataFrame:
     """Recursive feature elimination: ``(rank, feature)``, rank 1 is dropped last.
 
-    Each round fits a logistic regression on what is left and drops the feature
-    with the smallest squared coefficient. Expects scaled columns and balanced
-    classes. The fit, with C = 1 of a summed loss, is the iteratively reweighted one,
-    which reads the rows about six times where a gradient method takes fifty; the
-    penalty of one round is the first try of the next.
+    Each round fits a logistic regression (C = 1 / ``penalty`` of a summed loss) on what is left
+    and drops the feature with the smallest squared weight, of equal ones the first. Expects scaled columns
+    without nulls and balanced classes. A round starts where the curvature of the round before says
+    that the weights go without the dropped feature, and so reads the rows once or twice.
     """
     table = materialize(
         df.select(
@@ -118,12 +87,12 @@ def rfe_rank(
         ),
         "rfe",
     )
-    left, dropped, penalty = list(cols), [], 4.0 / max(1, table.count())
+    left, dropped, start = list(cols), [], None
     while len(left) > 1:
-        vectors = features_and_label(table, left, "label").persist()
-        weight, penalty = _fit_c1(vectors, penalty, max_iter, tol)
-        vectors.unpersist()
-        dropped.append(left.pop(int((weight**2).argmin())))
+        fit = fit_logistic(table, left, "label", penalty, start)
+        least = int((fit.weights**2).argmin())
+        start = fit.without(least)
+        dropped.append(left.pop(least))
     ranked = left + dropped[::-1]
     return df.sparkSession.createDataFrame(
         list(enumerate(ranked, start=1)), "rank int, feature string"

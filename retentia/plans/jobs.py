@@ -133,7 +133,13 @@ OUTPUTS: dict[str, Callable[[Job], DataFrame]] = {
     "wide_features": lambda j: reports.wide_features(
         j.read("encoded_members"), [j.read(name) for name in ACTIVITY], j.key, j.date
     ),
-    "reduced_features": lambda j: reports.reduced_features(j.read("wide_features"), j.key),
+    "feature_ranking": lambda j: reports.feature_ranking(j.read("wide_features"), j.key),
+    "reduced_features": lambda j: reports.reduced_features(
+        j.read("wide_features"), j.key, ranked=j.read("feature_ranking")
+    ),
+    "model_coefficients": lambda j: reports.model_coefficients(
+        j.read("reduced_features"), j.key, _model_columns(j.read("reduced_features"))
+    ),
     "model_scores": _scored_models,
     "model_comparison": lambda j: metrics.model_report(j.read("model_scores"), by=BY_MODEL),
     "model_roc_curves": lambda j: metrics.roc_curve(j.read("model_scores"), by=BY_MODEL),

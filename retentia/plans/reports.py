@@ -34,6 +34,7 @@ from retentia.operators.joins import (
     overlap_counts,
     union_by_name,
 )
+from retentia.operators.logistic import fit_logistic
 from retentia.operators.woe import woe_apply, woe_fit
 from retentia.sources.tables import materialize
 
@@ -221,22 +222,42 @@ def train_sample(features: DataFrame, key: str, test_pct: int = 40) -> tuple[Dat
     return sampling.undersample(train, LABEL, key), tagged.where(F.col("split") == "test").drop("split")
 
 
+def feature_columns(wide: DataFrame, key: str) -> list[str]:
+    return [c for c in wide.columns if c not in (key, LABEL)]
+
+
+def feature_ranking(wide: DataFrame, key: str) -> DataFrame:
+    """``(rank, feature)`` of the wide table's features by elimination on a balanced, scaled train part."""
+    cols = feature_columns(wide, key)
+    table = materialize(wide.where(F.col(LABEL).isNotNull()), "labelled")
+    train = materialize(train_sample(table, key)[0], "train")
+    scaled = selection.scale_apply(train, selection.scale_fit(train, cols))
+    return selection.rfe_rank(scaled, cols, LABEL)
+
+
 def reduced_features(
-    wide: DataFrame, key: str, limit: float = 0.5, rounds: int | None = None
+    wide: DataFrame, key: str, limit: float = 0.5, rounds: int | None = None, ranked: DataFrame | None = None
 ) -> DataFrame:
-    """The wide table without features collinear with a better ranked neighbour."""
+    """The wide table without features collinear with a better ranked neighbour; ``ranked`` is its ranking, if made."""
     table = materialize(wide, "wide")
-    cols = [c for c in table.columns if c not in (key, LABEL)]
-    train, _ = train_sample(table.where(F.col(LABEL).isNotNull()), key)
-    train = materialize(train, "train")
-    scaled = selection.scale_apply(train, selection.scale_fit(train, cols))
-    ranked = selection.rfe_rank(scaled, cols, LABEL)
-    pairs = selection.collinear_pairs(selection.corr_long(table, cols), limit)
+    ranked = feature_ranking(table, key) if ranked is None else ranked
+    pairs = selection.collinear_pairs(selection.corr_long(table, feature_columns(table, key)), limit)
     kept = selection.drop_adjacent_collinear(ranked, pairs, rounds)
     names = [r["feature"] for r in kept.collect()]  # feature names
     return table.select(*names, key, LABEL)
 
 
+def model_coefficients(features: DataFrame, key: str, cols: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
+    """``(feature, weight)`` of the logistic regression on the balanced, scaled train part, and its ``intercept``."""
+    table = fill_all(features.where(F.col(LABEL).isNotNull()).select(key, LABEL, *cols), number=MISSING_FEATURE, except_=(key, LABEL))
+    train = materialize(train_sample(materialize(table, "features"), key)[0], "train")
+    scaled = selection.scale_apply(train, selection.scale_fit(train, list(cols)))
+    doubles = [F.col(c).cast("double").alias(c) for c in (*cols, LABEL)]
+    fit = fit_logistic(materialize(scaled.select(*doubles), "scaled"), list(cols), LABEL)
+    rows = [(c, float(w)) for c, w in zip(cols, fit.weights, strict=True)]
+    return features.sparkSession.createDataFrame([*rows, ("intercept", fit.intercept)], "feature string, weight double")
+
+
 def scored_models(
     features: DataFrame,
     key: str,

@@ -38,11 +38,15 @@ def test_all_outputs_are_written_and_match_the_queries(spark, sf_dir, tmp_path):
     j = job(spark, sf_dir, tmp_path)
     before = list(OUTPUTS)
     after = before[before.index("reduced_features") + 1 :]
-    paths = run(j, before[: before.index("reduced_features")])
-    # The elimination has a test of its own.
+    paths = run(j, before[: before.index("reduced_features") + 1])
+    ranked = j.read("feature_ranking").toPandas().sort_values("rank")
+    assert list(ranked["rank"]) == list(range(1, len(j.read("wide_features").columns) - 1))
+    assert set(j.read("reduced_features").columns) - {v.KEY, reports.LABEL} <= set(ranked.feature)
+    # The models are given their columns whatever the elimination kept.
     j.write("reduced_features", j.read("wide_features").select(v.KEY, reports.LABEL, *reports.MODEL_COLUMNS))
     paths |= run(job(spark, sf_dir, tmp_path), after)
-    assert len(paths) == len(OUTPUTS) - 1
+    assert len(paths) == len(OUTPUTS)
+    assert {r["feature"] for r in j.read("model_coefficients").collect()} == {*reports.MODEL_COLUMNS, "intercept"}
     for output, query in {
         "churn_target": "q1_churn_target",
         "cohort_transactions": "q4_cohort_transactions",
