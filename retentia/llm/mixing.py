@@ -38,7 +38,7 @@ from retentia.sources.tables import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of all sources that a lot holds on average, and lots that meet in a round (as bits).
-LOT = 4096
+LOT = 512
 STEP = 5
 #: Documents are rounded in turns, those above so many times their source's mean size first.
 TURNS = (2.0, 0.25, 0.0)
