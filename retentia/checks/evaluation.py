@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from retentia.checks import fits
 from retentia.checks.registry import add, r6, rounded, slot
 from retentia.functions.columns import fill_all
-from retentia.operators import metrics, models, neighbors, selection, survival
+from retentia.operators import metrics, models, neighbors, selection, survival, trees
 from retentia.plans import reports
 from retentia.plans import views as v
 from retentia.sources.tables import materialize
@@ -44,7 +45,7 @@ def _scored(name):
 def m1_coefficients(s, d):
     train, _ = _samples(s, d)
     fit = models.fit_models(train, COLS, LABEL, K, ["log_reg"])["log_reg"]
-    return s.createDataFrame(models.coefficients(fit, COLS), "feature string, weight double")
+    return s.createDataFrame(models.coefficients(fit), "feature string, weight double")
 
 
 add("m1_logistic_regression", _scored("log_reg"))
@@ -127,7 +128,7 @@ def m1_gradient(s, d):
     train, _ = _samples(s, d)
     train = materialize(train, "scaled")
     fit = models.fit_models(train, COLS, LABEL, K, ["log_reg"])["log_reg"]
-    weights = dict(models.coefficients(fit, COLS))
+    weights = dict(models.coefficients(fit))
     margin = sum((F.col(c) * F.lit(w) for c, w in weights.items()), F.lit(float(fit.intercept)))
     miss = 1 / (1 + F.exp(-margin)) - F.col(LABEL)
     slopes = [F.struct(F.lit(c).alias("feature"), (F.avg(miss * F.col(c)) + F.lit(w) / F.count("*")).alias("slope")) for c, w in weights.items()]
@@ -135,28 +136,145 @@ def m1_gradient(s, d):
     return rows.select("feature", (F.abs("slope") < 1e-5).alias("is_zero"))
 
 
-def _bounded(name):
-    """Every row to score once, with a probability and the cut that belongs to it."""
+add(
+    "m1_logistic_gradient",
+    m1_gradient,
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS is_zero" for c in COLS),
+)
+
+
+def _rounded_members(s, d):
+    # Categories with equal shares differ in the last digit of their weight, each engine its own way; rounded
+    # weights tie in both, which cuts, neighbours and the areas under the curves depend on.
+    members = materialize(v.clean_members(s, d), "members")
+    encoded = rounded(reports.encoded_members(members, K), "registered_via_woe", "city_woe", digits=9)
+    return materialize(encoded, "encoded")
+
+
+def _rounded_samples(s, d):
+    """As ``_samples``, with features that are the same numbers in both engines."""
+    filled = fill_all(_rounded_members(s, d).select(K, LABEL, *COLS), number=reports.MISSING_FEATURE, except_=(K, LABEL))
+    train, test = reports.train_sample(filled, K)
+    train = materialize(train, "train")
+    scaler = selection.scale_fit(train, COLS)
+    return tuple(rounded(selection.scale_apply(part, scaler), *COLS) for part in (train, test))
+
+
+_ROUNDED_SQL = _FEATURES_SQL
+for _c in ("registered_via_woe", "city_woe"):
+    _ROUNDED_SQL = _ROUNDED_SQL.replace(f"coalesce({_c}, -5)", f"round(coalesce({_c}, -5), 9)")
+_SCALED_SQL = f"""{_ROUNDED_SQL},
+    scale AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, coalesce(nullif(stddev_pop(a), 0), 1) AS sa,
+        coalesce(nullif(stddev_pop(b), 0), 1) AS sb, coalesce(nullif(stddev_pop(c), 0), 1) AS sc FROM train),
+    parts AS (SELECT true AS is_train, user_id, label, a, b, c FROM train
+        UNION ALL SELECT false, user_id, label, a, b, c FROM features WHERE NOT is_train),
+    samples AS MATERIALIZED (SELECT is_train, user_id, label, round((a - ma) / sa, 6) AS a, round((b - mb) / sb, 6) AS b,
+        round((c - mc) / sc, 6) AS c FROM parts, scale)"""
+
+
+def _by_value(fit, name, on_train=False, digits=6):
+    """Scores of one model on the test (or the train) part, rounded."""
 
     def run(s, d):
-        scored = _scored(name)(s, d) if name else m8(s, d)
-        return scored.select(
-            "model", K, "label", F.col("p").between(0, 1).alias("p_in_range"), (F.col("pred") == (F.col("p") > 0.5).cast("int")).alias("pred_is_cut")
-        )
+        train, test = (materialize(part, "sample") for part in _rounded_samples(s, d))
+        scored = models.score({name: fit(train)}, train if on_train else test, COLS, LABEL, K)
+        return rounded(scored, "p", digits=digits)
 
     return run
 
 
+def _one(name):
+    return lambda train: models.fit_models(train, COLS, LABEL, K, [name])[name]
+
+
+def _scores_sql(name, steps, p, source, where="NOT is_train", digits=6):
+    return (
+        f"WITH {_SCALED_SQL}, {', '.join(steps)} SELECT '{name}' AS model, user_id, label, round(p, {digits}) AS p, "
+        f"CAST(p > 0.5 AS INTEGER) AS pred FROM (SELECT user_id, label, {p} AS p FROM {source} WHERE {where})"
+    )
+
+
+_ABC = ["a", "b", "c"]
+_ONES = "every AS (SELECT 1 AS m0, 1 AS m1, 1 AS m2)"
+_NEWTON = [_ONES, "fit_on AS (SELECT * FROM samples WHERE is_train)", *fits.newton("fit_on", _ABC, "label", "fit", "every")]
+_LOGISTIC = "1 / (1 + exp(-(w0 * a + w1 * b + w2 * c + w3)))"
+_GINI = fits.tree(
+    "(SELECT *, 1.0::DOUBLE - label AS s0, CAST(label AS DOUBLE) AS s1 FROM samples)", _ABC, 2,
+    "({0} * {0} + {1} * {1}) / ({0} + {1})", "{0} + {1} > 0", "{0} > 0 AND {1} > 0", "true",
+)
+add("m1_logistic_rows", _by_value(_one("log_reg"), "log_reg"), _scores_sql("log_reg", _NEWTON, _LOGISTIC, "samples, fit8"))
 add(
-    "m1_logistic_gradient",
-    m1_gradient,
-    " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS is_zero" for c in COLS),
+    "m2_tree_rows",
+    _by_value(lambda train: trees.fit_trees(train, COLS, LABEL, K, depth=2), "decision_tree"),
+    _scores_sql("decision_tree", _GINI, "t1 / (t0 + t1)", "fitted"),
+)
+# The levels above small nodes, which take another way to the same tree.
+add(
+    "m2_tree_in_levels",
+    _by_value(lambda train: trees.fit_trees(train, COLS, LABEL, K, depth=2, small=1), "decision_tree"),
+    _scores_sql("decision_tree", _GINI, "t1 / (t0 + t1)", "fitted"),
+)
+_PURE_SQL = ["alike AS (SELECT *, avg(label) OVER (PARTITION BY a, b, c) AS mean FROM samples WHERE is_train)"]
+# Leaves are pure or hold rows that agree in all features.
+add(
+    "m2_pure_tree",
+    _by_value(_one("decision_tree"), "decision_tree", on_train=True),
+    _scores_sql("decision_tree", _PURE_SQL, "mean", "alike", "true"),
+)
+add(
+    "m3_scaled_neighbours_rows",
+    _by_value(_one("knn"), "knn"),
+    _scores_sql(
+        "knn",
+        ["""near AS (SELECT t.user_id, t.label, r.label AS vote, row_number() OVER (PARTITION BY t.user_id
+            ORDER BY (t.a - r.a) * (t.a - r.a) + (t.b - r.b) * (t.b - r.b) + (t.c - r.c) * (t.c - r.c), r.user_id) AS place
+        FROM samples t, samples r WHERE NOT t.is_train AND r.is_train)""",
+        "votes AS (SELECT user_id, label, avg(vote) AS mean FROM near WHERE place <= 5 GROUP BY 1, 2)"],
+        "mean", "votes", "true",
+    ),
+)
+# Without a bootstrap every tree has pure leaves, whichever features its nodes drew.
+add(
+    "m4_forest_rows",
+    _by_value(lambda train: trees.fit_trees(train, COLS, LABEL, K, trees=5, share=1), "random_forest", on_train=True),
+    _scores_sql("random_forest", _PURE_SQL, "mean", "alike", "true"),
+)
+
+
+def _boosted_sql(depth: int) -> list[str]:
+    return fits.tree(
+        "(SELECT *, 0.5::DOUBLE - label AS s0, 0.25::DOUBLE AS s1 FROM samples)", _ABC, depth,
+        "{0} * {0} / ({1} + 1)", "{1} >= 1", "{1} >= 2", "quality - whole > 1e-6",
+    )
+
+
+for _query, _depth, _small in (("m6_boosted_stump", 1, trees.SMALL), ("m6_boosted_rows", 2, trees.SMALL), ("m6_boosted_in_passes", 2, 1)):
+    add(
+        _query,
+        _by_value(lambda train, n=_depth, small=_small: trees.fit_boosted(train, COLS, LABEL, K, rounds=1, depth=n, small=small), "boosted_trees"),
+        _scores_sql("boosted_trees", _boosted_sql(_depth), "1 / (1 + exp(0.1::DOUBLE * t0 / (t1 + 1)))", "fitted"),
+    )
+
+
+def _batch(s, d):
+    train, test = (materialize(part, "sample") for part in _rounded_samples(s, d))
+    fitted = models.fit_models(train, COLS, LABEL, K, ["log_reg", "naive_bayes"])
+    return rounded(models.score(fitted, test, COLS, LABEL, K), "p", digits=5)
+
+
+_BAYES = """stats AS (SELECT label AS y, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc,
+        var_pop(a) AS va, var_pop(b) AS vb, var_pop(c) AS vc FROM samples WHERE is_train GROUP BY 1),
+    logs_of AS (SELECT user_id, label, y, -(ln(va * vb * vc) + (a - ma) ^ 2 / va + (b - mb) ^ 2 / vb
+        + (c - mc) ^ 2 / vc) / 2 AS l FROM samples, stats WHERE NOT is_train),
+    bayes AS (SELECT user_id, label, 1 / (1 + exp(max(l) FILTER (WHERE y = 0) - max(l) FILTER (WHERE y = 1))) AS p
+        FROM logs_of GROUP BY 1, 2)"""
+add(
+    "m8_batch_rows",
+    _batch,
+    f"WITH {_SCALED_SQL}, {', '.join(_NEWTON)}, {_BAYES} SELECT model, user_id, label, round(p, 5) AS p, "
+    "CAST(p > 0.5 AS INTEGER) AS pred FROM (SELECT 'naive_bayes' AS model, user_id, label, p FROM bayes "
+    f"UNION ALL SELECT 'log_reg', user_id, label, {_LOGISTIC} FROM samples, fit8 WHERE NOT is_train)",
 )
-_SCORED_SQL = """SELECT {names} AS model, user_id, is_churn_final AS label, true AS p_in_range, true AS pred_is_cut
-    FROM tagged WHERE split = 'test'"""
-for _query, _name in (("m1_logistic", "log_reg"), ("m2_tree", "decision_tree"), ("m3_scaled_neighbours", "knn"), ("m4_forest", "random_forest"), ("m6_boosted", "boosted_trees")):
-    add(f"{_query}_rows", _bounded(_name), _SCORED_SQL.format(names=f"'{_name}'"))
-add("m8_batch_rows", _bounded(None), _SCORED_SQL.format(names="unnest(['log_reg', 'naive_bayes'])"))
 
 _CELLS = (
     "count(*) FILTER (WHERE label = 1 AND {hat}) AS tp, count(*) FILTER (WHERE label = 0 AND {hat}) AS fp, "
@@ -175,7 +293,7 @@ def _rates(*names: str, digits: int = 6) -> str:
 
 
 # Every metric of the one model whose scores have an SQL form, on both parts.
-_REPORT_SQL = f"""WITH {_FEATURES_SQL},
+_REPORT_SQL = f"""WITH {_ROUNDED_SQL},
     stats AS (SELECT label AS y, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc,
         var_pop(a) AS va, var_pop(b) AS vb, var_pop(c) AS vc FROM train GROUP BY 1),
     parts AS (SELECT 'train' AS split, user_id, label, a, b, c FROM train
@@ -197,18 +315,6 @@ _REPORT_SQL = f"""WITH {_FEATURES_SQL},
         UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1, roc_auc, pr_auc))"""
 
 
-# Categories with equal shares differ in the last digit of their weight, each engine its own way; rounded
-# weights tie in both, which the areas under the curves depend on.
-_REPORT_SQL = _REPORT_SQL.replace("coalesce(registered_via_woe, -5)", "round(coalesce(registered_via_woe, -5), 9)")
-_REPORT_SQL = _REPORT_SQL.replace("coalesce(city_woe, -5)", "round(coalesce(city_woe, -5), 9)")
-
-
-def _rounded_members(s, d):
-    members = materialize(v.clean_members(s, d), "members")
-    encoded = rounded(reports.encoded_members(members, K), "registered_via_woe", "city_woe", digits=9)
-    return materialize(encoded, "encoded")
-
-
 def _registry_report(s, d):
     filled = fill_all(_rounded_members(s, d).select(K, LABEL, *COLS), number=reports.MISSING_FEATURE, except_=(K, LABEL))
     train, test = reports.train_sample(filled, K)

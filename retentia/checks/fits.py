@@ -73,3 +73,44 @@ def balanced(source: str, cols: Sequence[str], label: str, scaled: bool = True)
         f"""train AS MATERIALIZED (SELECT user_id, {label}, {', '.join(scale if scaled else cols)} FROM numbered
         WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM numbered GROUP BY {label})))""",
     ]
+
+
+def tree(rows: str, cols: Sequence[str], depth: int, part: str, valid: str, opened: str, gains: str) -> list[str]:
+    """Common table expressions of a tree of ``depth`` over ``rows`` (is_train, s0, s1 and ``cols``), trying every cut.
+
+    ``part``, ``valid`` and ``opened`` are SQL over the sums {0} and {1}; ``gains`` may use quality and whole. The
+    last, ``node{depth}``, has every row with its node and the sums t0 and t1 of the node's training rows.
+    """
+
+    def over(text: str, a: str, b: str) -> str:
+        return text.format(a, b)
+
+    out = [f"node0 AS MATERIALIZED (SELECT *, 1 AS node FROM {rows})"]
+    for k in range(depth):
+        out.append(
+            f"""cells{k} AS (SELECT node, f, v, sum(s0) AS s0, sum(s1) AS s1 FROM (
+            SELECT node, s0, s1, unnest(range(0, {len(cols)})) AS f, unnest([{', '.join(cols)}]) AS v FROM node{k} WHERE is_train) GROUP BY 1, 2, 3)"""
+        )
+        out.append(
+            f"""cuts{k} AS (SELECT *, CASE WHEN {over(valid, 'l0', 'l1')} AND {over(valid, '(t0 - l0)', '(t1 - l1)')}
+            THEN {over(part, 'l0', 'l1')} + {over(part, '(t0 - l0)', '(t1 - l1)')} END AS quality, {over(part, 't0', 't1')} AS whole FROM (
+            SELECT node, f, v + (lead(v) OVER w - v) / 2 AS t, sum(s0) OVER w AS l0, sum(s1) OVER w AS l1,
+                sum(s0) OVER (PARTITION BY node, f) AS t0, sum(s1) OVER (PARTITION BY node, f) AS t1
+            FROM cells{k} WINDOW w AS (PARTITION BY node, f ORDER BY v)) WHERE t IS NOT NULL AND {over(opened, 't0', 't1')})"""
+        )
+        out.append(
+            f"""split{k} AS MATERIALIZED (SELECT node, f, t FROM (
+            SELECT *, max(quality) OVER (PARTITION BY node) AS top FROM cuts{k} WHERE quality IS NOT NULL)
+            WHERE quality >= top - 1e-10 * abs(top) AND ({gains})
+            QUALIFY row_number() OVER (PARTITION BY node ORDER BY f, t) = 1)"""
+        )
+        side = "CASE WHEN ([" + ", ".join(cols) + "])[f + 1] < t THEN 0 ELSE 1 END"
+        out.append(
+            f"""node{k + 1} AS MATERIALIZED (SELECT n.* EXCLUDE (node), CASE WHEN t IS NULL THEN n.node ELSE 2 * n.node + {side} END AS node
+            FROM node{k} n LEFT JOIN split{k} s ON s.node = n.node)"""
+        )
+    out.append(
+        f"""fitted AS (SELECT n.*, t0, t1 FROM node{depth} n
+        JOIN (SELECT node, sum(s0) AS t0, sum(s1) AS t1 FROM node{depth} WHERE is_train GROUP BY node) USING (node))"""
+    )
+    return out

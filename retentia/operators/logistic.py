@@ -42,7 +42,7 @@ def _sums(cols: Sequence[str], label: str, weights: np.ndarray) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*cols, label)]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in (*cols, label)]
             y = columns.pop()
             x = np.column_stack([*columns, np.ones(len(y))])
             margin = x @ weights

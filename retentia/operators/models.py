@@ -1,34 +1,29 @@
 """Classifiers: one registry to fit them, one long frame of scores.
 
-All but the neighbour vote are Spark ML estimators. The settings follow the
-usual single-machine defaults where Spark has them (logistic penalty C = 1, 100
-forest trees, 100 boosting rounds of depth 3 and rate 0.1, 5 neighbours). Trees
-are cut at depth 10 instead of unlimited, since a fitted tree lives on the driver;
-features of more than ``max_bins`` distinct values are cut at that many quantiles.
+Naive Bayes is a Spark ML estimator; the others are this package's. The settings follow the usual single-machine defaults
+(logistic penalty C = 1, trees grown until their leaves are pure, 100 forest trees that look at the
+square root of the features per node, 100 boosting rounds of depth 3 and rate 0.1, 5 neighbours).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import above
+from retentia.operators.logistic import fit_logistic
 from retentia.operators.metrics import model_report
 from retentia.operators.neighbors import knn_score
 from retentia.operators.selection import features_and_label
+from retentia.operators.trees import MAX_BINS, TreeModel, fit_boosted, fit_trees
 from retentia.sources.tables import materialize
 
 MODEL_NAMES = (
@@ -51,25 +46,22 @@ class Neighbours:
     k: int
 
 
-def _estimator(name: str, rows: int, seed: int, depth: int, trees: int, rounds: int, bins: int):
-    if name == "log_reg":
-        # A summed loss with C = 1 is a mean loss with penalty 1/rows.
-        return LogisticRegression(
-            maxIter=200,
-            tol=1e-9,
-            regParam=1.0 / rows,
-            elasticNetParam=0.0,
-            standardization=False,
-        )
-    if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=depth, maxBins=bins, seed=seed)
-    if name == "random_forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed)
-    if name == "naive_bayes":
-        return NaiveBayes(modelType="gaussian")
-    if name == "boosted_trees":
-        return GBTClassifier(maxIter=rounds, maxDepth=3, maxBins=bins, stepSize=0.1, seed=seed)
-    raise ValueError(f"no such model: {name}")
+@dataclass(frozen=True)
+class Linear:
+    """Weights per feature and an intercept."""
+
+    cols: list[str]
+    weights: list[float]
+    intercept: float
+
+    def score(self, df: DataFrame, name: str) -> DataFrame:
+        margin = F.lit(self.intercept)
+        for c, w in zip(self.cols, self.weights, strict=True):
+            margin = margin + F.col(c).cast("double") * F.lit(w)
+        return df.withColumn(name, 1 / (1 + F.exp(-margin)))
+
+
+Fitted = Model | Neighbours | Linear | TreeModel
 
 
 def fit_models(
@@ -80,29 +72,40 @@ def fit_models(
     names: Sequence[str] = MODEL_NAMES,
     seed: int = 19,
     k: int = 5,
-    depth: int = 10,
+    depth: int | None = None,
     trees: int = 100,
     rounds: int = 100,
-    max_bins: int = 256,
-) -> dict[str, Model | Neighbours]:
-    """Fits every named model on the same, once written, training rows; a fit that does not converge is an error."""
+    max_bins: int = MAX_BINS,
+) -> dict[str, Fitted]:
+    """Fits every named model on the same, once written, training rows; a fit that does not converge is an error.
+
+    ``depth`` cuts the tree and the forest; boosted trees have depth 3.
+    """
+    cols = list(cols)
     rows = materialize(train.select(key, *cols, label), "train")
-    vectors = features_and_label(rows, cols, label)
-    size = rows.count()
-    fitted: dict[str, Model | Neighbours] = {}
+    fitted: dict[str, Fitted] = {}
     for name in names:
         if name == "knn":
             fitted[name] = Neighbours(rows, label, key, k)
+        elif name == "decision_tree":
+            fitted[name] = fit_trees(rows, cols, label, key, depth=depth, seed=seed, max_bins=max_bins)
+        elif name == "random_forest":
+            share = max(1, math.isqrt(len(cols)))
+            fitted[name] = fit_trees(rows, cols, label, key, trees, True, share, depth, seed, max_bins=max_bins)
+        elif name == "boosted_trees":
+            fitted[name] = fit_boosted(rows, cols, label, key, rounds, max_bins=max_bins)
+        elif name == "log_reg":
+            fit = fit_logistic(rows, cols, label)
+            fitted[name] = Linear(cols, [float(w) for w in fit.weights], fit.intercept)
+        elif name == "naive_bayes":
+            fitted[name] = NaiveBayes(modelType="gaussian").fit(features_and_label(rows, cols, label))
         else:
-            estimator = _estimator(name, size, seed, depth, trees, rounds, max_bins)
-            fitted[name] = estimator.fit(vectors)
-            if name == "log_reg" and fitted[name].summary.totalIterations >= estimator.getMaxIter():
-                raise RuntimeError("the logistic regression did not converge")
+            raise ValueError(f"no such model: {name}")
     return fitted
 
 
 def score(
-    models: Mapping[str, Model | Neighbours],
+    models: Mapping[str, Fitted],
     df: DataFrame,
     cols: Sequence[str],
     label: str,
@@ -110,11 +113,11 @@ def score(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Long frame ``(keep..., model, key, label, p, pred)`` with a row per model and row of
-    ``df``; the Spark ML models all score in one pass."""
+    ``df``; all models but the neighbour vote and trees too large to send score in one pass."""
     base = df.select(*keep, key, *cols, F.col(label).alias("label"))
     out = VectorAssembler(inputCols=list(cols), outputCol="features").transform(base)
     for name, model in models.items():
-        if isinstance(model, Neighbours):
+        if not isinstance(model, Model):
             continue
         raw = model.copy().setPredictionCol(f"_hat_{name}").setProbabilityCol(f"_prob_{name}")
         raw = raw.setRawPredictionCol(f"_raw_{name}")
@@ -122,7 +125,9 @@ def score(
         out = out.drop(f"_hat_{name}", f"_prob_{name}", f"_raw_{name}")
     out = out.drop("features")
     for name, model in models.items():
-        if isinstance(model, Neighbours):
+        if isinstance(model, Linear | TreeModel):
+            out = model.score(out, f"p_{name}")
+        elif isinstance(model, Neighbours):
             out = knn_score(model.train, out, cols, model.label, model.key, model.k)
             out = out.withColumnRenamed("p", f"p_{name}")
     cells = [F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("p")) for m in models]
@@ -132,13 +137,13 @@ def score(
     )
 
 
-def coefficients(model, cols: Sequence[str]) -> list[tuple[str, float]]:
+def coefficients(model: Linear) -> list[tuple[str, float]]:
     """Feature and weight of a fitted logistic regression."""
-    return [(c, float(w)) for c, w in zip(cols, model.coefficients.toArray(), strict=True)]
+    return list(zip(model.cols, model.weights, strict=True))
 
 
 def score_splits(
-    models: Mapping[str, Model | Neighbours],
+    models: Mapping[str, Fitted],
     splits: Mapping[str, DataFrame],
     cols: Sequence[str],
     label: str,
@@ -153,7 +158,7 @@ def score_splits(
 
 
 def compare_models(
-    models: Mapping[str, Model | Neighbours],
+    models: Mapping[str, Fitted],
     splits: Mapping[str, DataFrame],
     cols: Sequence[str],
     label: str,
