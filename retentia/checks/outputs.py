@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retentia.checks import fits
 from retentia.checks.registry import CATEGORICAL, COUNTS, MEASURES, add, rounded, slot
-from retentia.operators import activity
+from retentia.operators import activity, neighbors
 from retentia.plans import reports
 from retentia.plans import views as v
 from retentia.sources.tables import materialize
@@ -170,6 +170,27 @@ add(
         for c in _THREE
     ),
 )
+_TWENTY = [f"{c}_{x}" for x in activity.RECENCY_SUFFIXES for c in COUNTS] + ["sum_num_25", "sum_num_50"]
+
+
+def m3_wide(s, d):
+    train, test = (materialize(part, "sample") for part in reports.train_sample(wide(s, d).select(K, LABEL, *_TWENTY), K))
+    return rounded(neighbors.knn_score(train, test, _TWENTY, LABEL, K, k=5), "p").select(K, "p")
+
+
+# Twenty columns: counts, whose distances are exact in both engines.
+add(
+    "m3_nearest_neighbours_wide",
+    m3_wide,
+    "WITH points AS MATERIALIZED (SELECT user_id, is_churn_final, "
+    + ", ".join(f"CAST(coalesce({c}, -5) AS DOUBLE) AS {c}" for c in _TWENTY)
+    + f", {slot('user_id')} < 60 AS is_train FROM encoded LEFT JOIN log_totals USING (user_id) LEFT JOIN log_wide USING (user_id)), "
+    + ", ".join(fits.balanced("points", _TWENTY, LABEL, scaled=False))
+    + ", near AS (SELECT t.user_id, r.is_churn_final AS vote, row_number() OVER (PARTITION BY t.user_id ORDER BY "
+    + " + ".join(f"(t.{c} - r.{c}) * (t.{c} - r.{c})" for c in _TWENTY)
+    + ", r.user_id) AS rank FROM points t, train r WHERE NOT t.is_train) "
+    "SELECT user_id, round(avg(vote), 6) AS p FROM near WHERE rank <= 5 GROUP BY 1",
+)
 add("q15_model_comparison", lambda s, d: reports.model_comparison(encoded(s, d), K))
 add("q16_survival_table", lambda s, d: v.survival(s, d), "SELECT * FROM survival")
 _CURVES = ["km_estimate", "km_lower", "km_upper", "cumulative_density", "cumulative_hazard"]

@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from retentia.operators.joins import lookup_join
+from retentia.operators.pivots import nearest_by_pivots
 from retentia.sources.tables import materialize
 
 CELL_ROWS = 512
 MAX_DEPTH = 16  # at most 65,536 cells, so the table of boxes stays at a few megabytes
 SAMPLE_ROWS = 200_000
 POINTS_PER_TASK = 20_000
+#: Columns up to which boxes are searched; beyond, pivots.
+TREE_COLUMNS = 5
 
 
 def _splits(sample: np.ndarray, depth: int) -> np.ndarray:
@@ -136,8 +139,8 @@ def nearest_rows(
     """The k rows of ``train`` nearest to each distinct point: points' ``cols``, ``rank``,
     ``distance``, the row's ``key`` and ``carry``. Equal distances go by ``key``.
 
-    Exact for any data, but boxes tell little in many dimensions: there every cell
-    is a candidate, at a cost of points x rows. Meant for a handful of columns. The tree is
+    Exact for any data, but boxes tell little in many dimensions, where every cell would be
+    a candidate: ``knn_score`` takes pivots there. The tree is
     shaped by at most ``2 * SAMPLE_ROWS`` rows and has at most ``2 ** MAX_DEPTH`` cells, so
     beyond some 30 million distinct rows the cells grow.
     """
@@ -244,6 +247,7 @@ def knn_score(
     cols = list(cols)
     doubles = {c: F.col(c).cast("double") for c in cols}
     train, test = train.withColumns(doubles), test.withColumns(doubles)
-    nearest = nearest_rows(train, test, cols, key, label, k, **kw)
+    search = nearest_rows if len(cols) <= TREE_COLUMNS else nearest_by_pivots
+    nearest = search(train, test, cols, key, label, k, **kw)
     votes = nearest.groupBy(*cols).agg(F.avg(label).alias("p"))
     return lookup_join(test, votes, cols)

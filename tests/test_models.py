@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from retentia.operators import metrics, models, neighbors
+from retentia.operators import metrics, models, neighbors, pivots
 
 
 def brute(train, points, cols, k):
@@ -36,6 +36,48 @@ def test_neighbours_equal_brute_force(spark, shape, k, cell_rows, per_task):
     np.testing.assert_allclose(got.p, brute(train, test, ["a", "b"], k))
 
 
+def wide_points(shape, n, d=20):
+    rng = np.random.default_rng(12)
+    if shape == "clusters":
+        centres = rng.normal(size=(12, d)) * 10
+        return centres[rng.integers(0, 12, n)] + rng.normal(size=(n, d))
+    if shape == "plane":
+        return rng.normal(size=(n, 2)) @ rng.normal(size=(2, d)) + 0.01 * rng.normal(size=(n, d))
+    # Few distinct points, one of them a third of all rows, and ties everywhere.
+    return np.where(rng.random((n, 1)) < 0.33, 2, rng.integers(0, 2, (n, d))).astype(float)
+
+
+@pytest.mark.parametrize("shape", ["clusters", "plane", "crowded"])
+@pytest.mark.parametrize(("k", "count", "per_task"), [(5, None, 5000), (7, 40, 9)])
+def test_neighbours_in_many_columns_equal_brute_force(spark, shape, k, count, per_task):
+    x, cols = wide_points(shape, 700), [f"c{i}" for i in range(20)]
+    rng = np.random.default_rng(13)
+    both = pd.DataFrame(x, columns=cols)
+    train = both[:500].assign(key=rng.permutation(500), y=rng.integers(0, 2, 500))
+    test = both[500:].reset_index(drop=True).assign(id=np.arange(200))
+    got = neighbors.knn_score(
+        spark.createDataFrame(train), spark.createDataFrame(test), cols, "y", "key", k, pivots=count, points_per_task=per_task
+    ).toPandas().sort_values("id")
+    assert len(got) == 200
+    np.testing.assert_allclose(got.p, brute(train, test, cols, k))
+
+
+def test_pivots_compare_few_pairs(spark):
+    x, cols = wide_points("clusters", 3000), [f"c{i}" for i in range(20)]
+    both = pd.DataFrame(x, columns=cols)
+    train = spark.createDataFrame(both[:2500].assign(key=np.arange(2500), y=0.0))
+    found = pivots.found_rows(train, spark.createDataFrame(both[2500:]), cols, "key", "y")
+    pairs = found.groupBy(*cols, "_cell").agg(F.max("_pairs").alias("n")).agg(F.sum("n")).first()[0]
+    assert pairs < 0.2 * 500 * 2500
+
+
+def test_pivots_with_fewer_rows_than_k(spark):
+    cols = [f"c{i}" for i in range(6)]
+    train = spark.createDataFrame([(1, *[0.0] * 6, 1), (2, *[5.0] * 6, 0)], ["key", *cols, "y"])
+    test = spark.createDataFrame([(*[9.0] * 6,)], cols)
+    assert neighbors.knn_score(train, test, cols, "y", "key", 5).first()["p"] == 0.5
+
+
 def test_neighbours_with_fewer_rows_than_k(spark):
     train = spark.createDataFrame([(1, 0.0, 1), (2, 5.0, 0)], "key int, a double, y int")
     test = spark.createDataFrame([(9.0,)], "a double")
