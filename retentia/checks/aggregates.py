@@ -195,9 +195,7 @@ add(
 add(
     "a17_summary_in_ranges",
     lambda s, d: rounded(
-        quality.summary_long(
-            v.transactions(s, d), ["plan_list_price", "transaction_date"], one_task_rows=0
-        ),
+        quality.summary_long(v.transactions(s, d), ["plan_list_price", "transaction_date"]),
         "mean",
         "stddev",
         "p25",

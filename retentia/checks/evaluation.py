@@ -375,6 +375,17 @@ add(
     "SELECT round(p, 6) AS threshold, round(fp / negatives, 6) AS fpr, round(tp / positives, 6) AS tpr FROM curve "
     "UNION ALL SELECT NULL, 0, 0",
 )
+# Points within a run of equal steps are left out, the first and the last score stay.
+for _suffix, _rows in (("", {}), ("_in_ranges", {"one_task_rows": 0})):
+    add(
+        f"v5_roc_corners{_suffix}",
+        lambda s, d, kw=_rows: rounded(metrics.roc_curve(v.grouped_scores(s, d), by=["grp"], thin=True, **kw), "threshold", "fpr", "tpr"),
+        """WITH steps AS (SELECT *, lead(pos) OVER w AS pos1, lead(neg) OVER w AS neg1, lag(p) OVER w AS p0, lead(p) OVER w AS p1
+            FROM grouped_curve WINDOW w AS (PARTITION BY grp ORDER BY p DESC))
+        SELECT grp, round(p, 6) AS threshold, round(fp / negatives, 6) AS fpr, round(tp / positives, 6) AS tpr FROM steps
+        WHERE p0 IS NULL OR p1 IS NULL OR pos <> pos1 OR neg <> neg1
+        UNION ALL SELECT DISTINCT grp, NULL, 0, 0 FROM grouped_curve""",
+    )
 add(
     "v6_pr_curve",
     lambda s, d: rounded(metrics.pr_curve(v.scores(s, d)), "threshold", "precision", "recall"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retentia.checks import fits
-from retentia.checks.registry import CATEGORICAL, COUNTS, MEASURES, add, rounded, slot
-from retentia.operators import activity, neighbors
+from retentia.checks.registry import CATEGORICAL, COUNTS, MEASURES, VIEWS, add, rounded, slot
+from retentia.operators import activity, log_state, neighbors
 from retentia.plans import reports
 from retentia.plans import views as v
-from retentia.sources.tables import materialize
+from retentia.sources.tables import materialize, scratch_path
 
 K = v.KEY
 LABEL = reports.LABEL
@@ -111,6 +111,39 @@ add(
     activity_table,
     "SELECT * FROM log_totals LEFT JOIN log_wide USING (user_id) LEFT JOIN log_recent USING (user_id)",
 )
+
+
+def log_files(s, d):
+    """The logs as an old and a new file: some days of some users come late, and one day comes twice."""
+    logs = materialize(v.logs(s, d), "logs")
+    new = F.col("date") >= F.lit("2024-01-16").cast("date")
+    late = (F.col("user_id") % 5 == 0) & (F.col("date") < F.lit("2024-01-08").cast("date"))
+    twice = F.col("date") == F.lit("2024-01-15").cast("date")
+    return logs.where(~new & ~late), logs.where(new | late | twice)
+
+
+def updated_features(s, d):
+    folder = scratch_path(s, "log-state")
+    old, new = log_files(s, d)
+    log_state.update(s, folder, old, "old", K, "date")
+    log_state.update(s, folder, new, "new", K, "date")
+    # A file that is delivered again changes nothing.
+    state = log_state.update(s, folder, new, "new", K, "date")
+    return rounded(log_state.features_of(state, K, "date"), *[f"sum_{c}{x}" for c in _SECS for x in ("", "_3last")])
+
+
+_ALL_FILES = """all_files AS (SELECT * FROM logs UNION ALL SELECT * FROM logs WHERE date = DATE '2024-01-15'
+        AND NOT (user_id % 5 = 0 AND date < DATE '2024-01-08'))"""
+add(
+    "q10_updated_features",
+    updated_features,
+    f"""WITH {_ALL_FILES},
+    ranked_files AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC) AS rn FROM all_files),
+    totals AS ({VIEWS['log_totals'].replace('FROM logs', 'FROM all_files')}),
+    latest AS ({VIEWS['log_wide'].replace('ranked_logs', 'ranked_files')}),
+    three AS ({VIEWS['log_recent'].replace('ranked_logs', 'ranked_files')})
+    SELECT * FROM totals LEFT JOIN latest USING (user_id) LEFT JOIN three USING (user_id)""",
+)
 add("q11_clean_members", lambda s, d: v.clean_members(s, d), "SELECT * FROM clean")
 add(
     "q12_encoded_members",

@@ -30,9 +30,35 @@ def join_by(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     return left.join(right, reduce(lambda a, b: a & b, same), how).drop(*[f"_by_{c}" for c in by])
 
 
+def checked_unique(df: DataFrame, keys: str | Sequence[str], name: str = "table") -> DataFrame:
+    """``df``, whose rows have known ``keys``, reduced to a row per key; a key that repeats is an error that names it.
+
+    The reduction runs in the map tasks too, so a key that repeats very often is no burden before it is
+    found. The check is a filter of the plan, which Spark never leaves out.
+    """
+    keys = _keys(keys)
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(1).alias("_none"))
+    reduced = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(row).alias("_row"))
+    message = F.concat(F.lit(f"{name}: a key repeats in a join that needs unique keys: "), F.to_json(F.struct(*keys)))
+    once = F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return reduced.where(once).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def full_join(a: DataFrame, b: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """Full outer join of two tables that are both unique by ``keys``."""
-    return a.join(b, _keys(keys), "full")
+    """Full outer join of two tables that are both unique by ``keys``; a repeated key raises when the rows are made.
+
+    Spark cannot split a full join, so both sides are reduced to a row per key first, which is
+    also where the check is. Rows with a null among their keys meet nothing and are added as they are.
+    """
+    keys = _keys(keys)
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in keys])
+    left, right = (checked_unique(df.where(known), keys, name) for df, name in ((a, "first table"), (b, "second table")))
+    joined = left.join(right, keys, "full")
+    for df in (a, b):
+        if any(f.nullable for f in df.schema if f.name in keys):
+            joined = joined.unionByName(df.where(~known), allowMissingColumns=True)
+    return joined
 
 
 def full_join_detail(detail: DataFrame, unique: DataFrame, keys: str | Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import above
 from retentia.operators.joins import join_by
-from retentia.operators.ordered import ONE_TASK_ROWS, running_totals
+from retentia.operators.ordered import ONE_TASK_ROWS, next_values, running_totals
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -125,9 +125,29 @@ def _with_class_sizes(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def roc_curve(scored: DataFrame, by: Sequence[str] = (), label: str = "label", **kw) -> DataFrame:
-    """``(threshold, fpr, tpr)`` at every distinct score, and the start (null, 0, 0)."""
-    sized = _with_class_sizes(score_totals(scored, by, label, **kw), by)
+def _corners(totals: DataFrame, by: Sequence[str], one_task_rows: int) -> DataFrame:
+    """Of the totals per score the ends, and where the step to the next point is not the same again."""
+    stepped = next_values(totals, ["p"], ["pos", "neg"], by, descending=True, one_task_rows=one_task_rows)
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+    return stepped.where(first | ~F.coalesce(same, F.lit(False))).drop("next_pos", "next_neg")
+
+
+def roc_curve(
+    scored: DataFrame,
+    by: Sequence[str] = (),
+    label: str = "label",
+    thin: bool = False,
+    one_task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
+    """``(threshold, fpr, tpr)`` at every distinct score, and the start (null, 0, 0).
+
+    With ``thin`` points within a run of equal steps are left out; the line through the others is the same.
+    """
+    totals = score_totals(scored, by, label, one_task_rows=one_task_rows)
+    sized = _with_class_sizes(totals, by)
+    if thin:
+        sized = _corners(sized, by, one_task_rows)
     points = sized.select(
         *by,
         F.col("p").alias("threshold"),

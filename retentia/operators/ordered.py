@@ -95,6 +95,40 @@ def row_positions(
     return numbered.withColumn(name, F.col(name) - 1)
 
 
+def next_values(
+    df: DataFrame,
+    order: Sequence[str],
+    cols: Sequence[str],
+    by: Sequence[str] = (),
+    descending: bool = False,
+    one_task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
+    """``df`` plus ``next_{c}``: the value of the row that follows in its group (null for the last).
+
+    ``order`` must be unique inside a group. Beyond ``one_task_rows`` rows the table is cut into ranges; the
+    last row of a range takes its value from the first one of the next range of its group.
+    """
+    by, order = list(by), list(order)
+    table, ordering = materialize(df, "ordered"), _ordering(order, descending)
+    if table.count() <= one_task_rows:
+        after = Window.partitionBy(*by).orderBy(*ordering)
+        return table.select("*", *[F.lead(c).over(after).alias(f"next_{c}") for c in cols])
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = table.repartitionByRange(parts, *[F.col(c) for c in by], *ordering)
+    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*by, "_part").orderBy(*ordering)
+    local = ranged.withColumns({f"_next_{c}": F.lead(c).over(inside) for c in cols})
+    local = local.withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
+    heads = ranged.withColumn("_place", F.row_number().over(inside)).where("_place = 1")
+    # One row per range and group in it.
+    across = Window.partitionBy(*by).orderBy("_part")
+    heads = heads.select(*by, "_part", *[F.lead(c).over(across).alias(f"_over_{c}") for c in cols])
+    joined = join_by(local, heads, [*by, "_part"])
+    return joined.select(
+        *df.columns, *[F.when(F.col("_last"), F.col(f"_over_{c}")).otherwise(F.col(f"_next_{c}")).alias(f"next_{c}") for c in cols]
+    )
+
+
 def first_rows(df: DataFrame, order: Sequence[str], n: int, tail: bool = False) -> DataFrame:
     """The first (or last) ``n`` rows in ``order``: a top-k, never a full sort."""
     return df.orderBy(*_ordering(order, tail)).limit(n)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from retentia.operators.ordered import ONE_TASK_ROWS, running_totals
+from retentia.sources.tables import materialize
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -124,64 +128,136 @@ def mean_by(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(c).alias(f"avg_{c}") for c in cols])
 
 
-def summary_long(
-    df: DataFrame,
-    cols: Sequence[str] | None = None,
-    percentiles: Sequence[int] = (25, 50, 75),
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
-    """Count, mean, standard deviation, minimum, percentiles and maximum per column.
+def known(df: DataFrame, c: str) -> Column:
+    """A column whose NaN count as null, as they do in a table that was read from text."""
+    if dict(df.dtypes)[c] in ("double", "float"):
+        return F.when(~F.isnan(c), F.col(c))
+    return F.col(c)
+
+
+def summary_long(df: DataFrame, cols: Sequence[str] | None = None, percentiles: Sequence[int] = (25, 50, 75)) -> DataFrame:
+    """Count, mean, standard deviation, minimum, percentiles and maximum per column; NaN counts as null.
 
-    The percentiles are exact, interpolated between neighbours. They are read off
-    the running count over distinct values, so no task or buffer holds a column.
+    The percentiles are exact, interpolated between neighbours, for all columns at once; ``ranked_values`` says how.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    stats = df.agg(
+    plain = df.select(*[known(df, c).alias(c) for c in cols])
+    # The counts and the passes for the percentiles must see the same rows.
+    plain = materialize(plain, "columns") if percentiles else plain
+    stats = plain.agg(
         *[F.count(F.col(c)).alias(f"count:{c}") for c in cols],
         *[F.avg(F.col(c)).alias(f"mean:{c}") for c in cols],
         *[F.stddev_samp(F.col(c)).alias(f"stddev:{c}") for c in cols],
         *[F.min(F.col(c).cast("double")).alias(f"min:{c}") for c in cols],
         *[F.max(F.col(c).cast("double")).alias(f"max:{c}") for c in cols],
     )
-    stats = _unpivot_row(stats, cols, ["count", "mean", "stddev", "min", "max"])
     if not percentiles:
-        return stats
-    counted = (
-        _long(df, cols, "double")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    ranked = running_totals(
-        counted, ["value"], {"upto": F.col("n")}, by=["column"], one_task_rows=one_task_rows
-    )
-    totals = ranked.groupBy("column").agg(F.max("upto").alias("rows"))
-    placed = ranked.join(F.broadcast(totals), "column")
-    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
-    picks = []
-    for p in percentiles:
-        at = F.lit(p / 100.0) * (F.col("rows") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.max(F.when(rank.between(first, last), F.col("value"))).alias(f"{side}{p}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"part{p}"))
-    quantiles = (
-        placed.groupBy("column")
-        .agg(*picks)
-        .select(
-            "column",
-            *[
-                (F.col(f"lo{p}") + (F.col(f"hi{p}") - F.col(f"lo{p}")) * F.col(f"part{p}")).alias(
-                    f"p{p}"
-                )
-                for p in percentiles
-            ],
+        return _unpivot_row(stats, cols, ["count", "mean", "stddev", "min", "max"])
+    stats = materialize(stats, "stats")  # one row
+    counts = stats.first()
+    wanted, parts = {}, {}
+    for i, c in enumerate(cols):
+        n = counts[f"count:{c}"]
+        for p in percentiles if n else ():
+            at = p / 100.0 * (n - 1)
+            low = math.floor(at)
+            parts[i, p] = (low, math.ceil(at), at - low)
+            wanted.setdefault(i, set()).update(parts[i, p][:2])
+    values = ranked_values(plain, cols, wanted)
+    rows = []
+    for i, c in enumerate(cols):
+        cells = []
+        for p in percentiles:
+            low, high, part = parts.get((i, p), (None, None, 0.0))
+            cells.append(None if low is None else values[i, low] + (values[i, high] - values[i, low]) * part)
+        rows.append((c, *cells))
+    fields = ", ".join(f"p{p} double" for p in percentiles)
+    quantiles = df.sparkSession.createDataFrame(rows, f"column string, {fields}")
+    return _unpivot_row(stats, cols, ["count", "mean", "stddev", "min", "max"]).join(quantiles, "column", "left")
+
+
+#: Bits of a value that one pass tells apart; three passes cover all 64.
+_PASS_BITS = (22, 21, 21)
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; zeros of both signs are one."""
+    raw = (values + 0.0).view(np.int64)
+    return raw ^ ((raw >> np.int64(63)) & np.int64(2**63 - 1))
+
+
+def _value(bits: int) -> float:
+    raw = np.array([bits], dtype=np.int64)
+    return float((raw ^ ((raw >> np.int64(63)) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def _ranges(cols: Sequence[str], open_ranges: dict[int, list[int]], seen: int, bits: int) -> Callable:
+    """Per task the rows by column and range, the first ``seen + bits`` bits, inside the ``open_ranges`` of ``seen`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, pd.DataFrame] = {}
+        for batch in batches:
+            for i, inside in open_ranges.items():
+                column = batch.column(cols[i]).drop_null()
+                v = _bits(column.to_numpy(zero_copy_only=False).astype(np.float64))
+                before = v >> np.int64(64 - seen) if seen else np.zeros(len(v), dtype=np.int64)
+                on = np.isin(before, inside)
+                v = v[on]
+                part = pd.DataFrame({"parent": before[on], "range": v >> np.int64(64 - seen - bits), "n": 1, "low": v, "high": v})
+                if i in kept:
+                    part = pd.concat([kept[i], part])
+                kept[i] = part.groupby(["parent", "range"], as_index=False).agg({"n": "sum", "low": "min", "high": "max"})
+        for i, part in kept.items():
+            part.insert(0, "place", np.full(len(part), i, dtype=np.int32))
+            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
+
+    return run
+
+
+def ranked_values(df: DataFrame, cols: Sequence[str], wanted: Mapping[int, set[int]]) -> dict[tuple[int, int], float]:
+    """The values at the ``wanted`` 0-based ranks of the non-null values per place in ``cols``: (place, rank) -> value.
+
+    A pass counts the rows of all columns by the leading bits of their values, and finds the
+    ranges that hold a wanted rank; the next pass looks only into these, at the bits that follow, until
+    a range holds one value. No task or buffer holds a column, and no order over its values is made.
+    """
+    doubles = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    names, found = [f"c{i}" for i in range(len(cols))], {}
+    # Per column and open range: the rows below it, and the ranks looked for in it.
+    open_ = {(i, 0): (0, sorted(ranks)) for i, ranks in wanted.items() if ranks}
+    seen = 0
+    for bits in _PASS_BITS:
+        if not open_:
+            break
+        inside: dict[int, list[int]] = {}
+        for i, parent in open_:
+            inside.setdefault(i, []).append(parent)
+        cells = doubles.mapInArrow(_ranges(names, inside, seen, bits), "place int, parent bigint, range bigint, n bigint, low bigint, high bigint")
+        cells = cells.groupBy("place", "parent", "range").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        looked = df.sparkSession.createDataFrame(
+            [(i, parent, below, ranks) for (i, parent), (below, ranks) in open_.items()], "place int, parent bigint, below bigint, ranks array<bigint>"
         )
-    )
-    return stats.join(quantiles, "column", "left")
+        # At most 2^bits ranges in a window.
+        upto = F.sum("n").over(Window.partitionBy("place", "parent").orderBy("range"))
+        placed = cells.join(F.broadcast(looked), ["place", "parent"]).withColumn("last", F.col("below") + upto)
+        here = F.filter("ranks", lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n")))
+        hits = placed.withColumn("here", here).where(F.size("here") > 0).collect()  # a row per wanted rank at most
+        open_ = {}
+        seen += bits
+        for row in hits:
+            if row["low"] == row["high"]:
+                found |= {(row["place"], r): _value(row["low"]) for r in row["here"]}
+            else:
+                open_[row["place"], row["range"]] = (row["last"] - row["n"], list(row["here"]))
+    return found
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Rows per equal-width bin between minimum and maximum (the last bin is closed); empty bins count 0."""
+    """Rows per equal-width bin between minimum and maximum (the last bin is closed); empty bins count 0.
+
+    NaN counts as null.
+    """
+    df = df.select(known(df, col).alias(col))
     low, high = df.agg(
         F.min(F.col(col)).cast("double"), F.max(F.col(col)).cast("double")
     ).first()

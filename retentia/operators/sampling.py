@@ -27,12 +27,14 @@ def _drawn(df: DataFrame, label: str, key: str, quota: Column, salt: str) -> Dat
 
     ``quota`` may use ``_size``, ``_max`` and the smallest class size ``_min``. ``key`` must be
     unique. The cut, one hash and key per class, is found at once: a histogram of 65,536 hash
-    ranges per class names the range that holds it, and only that range is ranked.
-    Reads ``df`` three times.
+    ranges per class names the range that holds it, and only that range is ranked. All of
+    that reads a narrow written index of class, hash and key; ``df`` itself is read twice, for the
+    index and for the rows.
     """
     hashed = df.where(F.col(label).isNotNull()).withColumn("_hash", key_hash(key, salt))
-    hashed = hashed.withColumn("_range", F.substring("_hash", 1, 4))
-    ranges = materialize(hashed.groupBy(label, "_range").agg(F.count("*").alias("_n")), "ranges")
+    index = hashed.select(F.col(label), "_hash", F.col(key).alias("_key"), F.substring("_hash", 1, 4).alias("_range"))
+    index = materialize(index, "index")
+    ranges = materialize(index.groupBy(label, "_range").agg(F.count("*").alias("_n")), "ranges")
     everything = Window.partitionBy()  # over one row per class
     sizes = (
         ranges.groupBy(label)
@@ -53,7 +55,7 @@ def _drawn(df: DataFrame, label: str, key: str, quota: Column, salt: str) -> Dat
     )
     # One row per class, as in ``classes``: Spark sees the sizes of both and broadcasts them if they are small.
     same = (F.col(label) == F.col("_class")) & (F.col("_range") == F.col("_at"))
-    inside = hashed.join(cut, same).select("_class", "_room", "_hash", F.col(key).alias("_key"))
+    inside = index.join(cut, same).select("_class", "_room", "_hash", "_key")
     in_order = Window.partitionBy("_class").orderBy("_hash", "_key")
     last = (
         inside.withColumn("_rank", F.row_number().over(in_order))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from retentia.functions.columns import int_date
 
@@ -22,6 +24,7 @@ def read_table(
     order_by: str | Sequence[str] | None = None,
     dates: Sequence[str] = (),
     header: bool = True,
+    nan_as_null: bool | None = None,
 ) -> DataFrame:
     """Scan a file, a directory of part files, or a list of either.
 
@@ -46,6 +49,8 @@ def read_table(
         # With a declared schema the header is checked against it, not ignored.
         reader = reader.options(header=header, inferSchema=schema is None, enforceSchema=False)
     df = reader.format(fmt).load(path)
+    if fmt in ("csv", "json") if nan_as_null is None else nan_as_null:
+        df = nan_to_null(df)
     types = dict(df.dtypes)
     for name in dates:
         if types[name] in ("int", "bigint"):
@@ -60,6 +65,79 @@ def read_table(
     return df
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating-point columns as null, so that counts, means and orders leave it out."""
+    floats = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
+
+
+def _part_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder, or the file itself; names that start with ``_`` or ``.`` are left out."""
+    at, files = hadoop_path(spark, path)
+    if not files.getFileStatus(at).isDirectory():
+        return [at.toString()]
+    found = [s.getPath() for s in files.listStatus(at) if s.isFile()]
+    return sorted(p.toString() for p in found if not p.getName().startswith(("_", ".")))
+
+
+def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
+    """The column names in the first line of a file, unpacked if its name says so; None for an empty file."""
+    java = spark.sparkContext._jvm.java
+    at, files = hadoop_path(spark, path)
+    stream = files.open(at)
+    try:
+        factory = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory
+        codec = factory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(at)
+        plain = codec.createInputStream(stream) if codec is not None else stream
+        line = java.io.BufferedReader(java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else None
+
+
+def read_parts(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | str | None = None,
+    dates: Sequence[str] = (),
+    readers: int = 32,
+) -> DataFrame:
+    """Scan CSV part files, each by its own header: columns are matched by name, and missing ones are null.
+
+    Only first lines are read ahead, by ``readers`` threads; files with equal headers are one scan, and
+    the scans are united by name. With ``schema`` just its columns are returned, in its order; without, the types of each scan
+    are inferred and the columns are those of all headers, in the order of their first file.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    names = [f for p in paths for f in _part_files(spark, p)]
+    with ThreadPoolExecutor(readers) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f), names))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name, header in zip(names, headers, strict=True):
+        if header is not None:
+            groups.setdefault(header, []).append(name)
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    if not groups:
+        if schema is None:
+            raise ValueError("no part file has a header")
+        return spark.createDataFrame([], schema)
+    types = {f.name: f.dataType for f in schema} if schema is not None else {}
+    united = None
+    for header, files in groups.items():
+        own = StructType([StructField(c, types.get(c, StringType()), True) for c in header]) if types else None
+        known = [c for c in dates if c in header]
+        scan = read_table(spark, files, schema=own, fmt="csv", dates=known)
+        if types:
+            scan = scan.select(*[c for c in header if c in types])
+        united = scan if united is None else united.unionByName(scan, allowMissingColumns=True)
+    if schema is None:
+        return united
+    missing = [c for c in types if c not in united.columns]
+    united = united.withColumns({c: F.lit(None).cast(DateType() if c in dates else types[c]) for c in missing}) if missing else united
+    return united.select(*types)
+
+
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", header: bool = True, mode: str = "overwrite"
 ) -> str:
@@ -81,7 +159,7 @@ def register(df: DataFrame, name: str) -> DataFrame:
 _SCOPES: list[list[str]] = []
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """The path and its file system, so that any storage Spark can write can also be cleaned."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -96,7 +174,7 @@ def _shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     # A local session without a folder of its own gets one in its warehouse that goes with the JVM.
     folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{context.applicationId}"
-    path, files = _hadoop_path(spark, folder)
+    path, files = hadoop_path(spark, folder)
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
@@ -123,7 +201,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPES.remove(made)
         for path in made:
-            path, files = _hadoop_path(spark, path)
+            path, files = hadoop_path(spark, path)
             files.delete(path, True)
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from retentia.operators import joins
@@ -8,6 +9,20 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, x) for x in r))
 
 
+def test_full_join_checks_its_keys(spark):
+    a = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (None, 5, "n"), (None, 5, "n"), (3, None, "m")], "k int, d int, x string")
+    b = spark.createDataFrame([(1, 5, 7), (4, 1, 8), (None, 5, 9)], "k int, d int, y int")
+    got = joins.full_join(a, b, ["k", "d"])
+    assert got.columns == a.join(b, ["k", "d"], "full").columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, a.join(b, ["k", "d"], "full").collect())))
+    assert rows(joins.full_join(a.select("k", "d").where("k IS NOT NULL"), b.where("k > 0"), ["k", "d"]).select("k"))
+    twice = b.unionByName(spark.createDataFrame([(4, 1, 8)] * 50, b.schema))
+    for first, second, name in ((a, twice, "second table"), (twice, a, "first table")):
+        # The key is named, also where only its columns are used.
+        with pytest.raises(Exception, match=f'{name}.*"k":4,"d":1'):
+            joins.full_join(first, second, ["k", "d"]).count()
+
+
 def test_full_join_detail_is_a_full_join(spark):
     detail = spark.createDataFrame([(1, 10, "a"), (1, 10, "b"), (2, 5, "c")], "k int, d int, x string")
     unique = spark.createDataFrame([(1, 10, 7), (3, 1, 8)], "k int, d int, y int")

@@ -41,6 +41,21 @@ def test_auc_against_all_pairs(spark, limit):
     assert math.isclose(got, want, abs_tol=1e-10)
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_corners_leave_the_curve_as_it_is(spark, limit):
+    rng = np.random.default_rng(2)
+    p = np.round(rng.random(500), 2)
+    y = (rng.random(500) < np.where(p > 0.7, 1, np.where(p < 0.3, 0, 0.5))).astype(int)
+    df = scored(spark, zip(y.tolist(), p.tolist(), strict=True))
+    every = metrics.roc_curve(df, one_task_rows=limit).toPandas().sort_values(["fpr", "tpr"])
+    thin = metrics.roc_curve(df, thin=True, one_task_rows=limit).toPandas()
+    # The rule of the usual library: second differences of both counts.
+    counts = [(int(((p == c) & (y == 1)).sum()), int(((p == c) & (y == 0)).sum())) for c in np.unique(p)[::-1]]
+    keep = [i for i in range(len(counts)) if i in (0, len(counts) - 1) or counts[i] != counts[i + 1]]
+    assert sorted(thin.threshold.dropna(), reverse=True) == [np.unique(p)[::-1][i] for i in keep]
+    assert len(thin) < len(every)
+
+
 def test_auc_of_one_class_is_null(spark):
     assert metrics.roc_auc(scored(spark, [(1, 0.3), (1, 0.4)])).first()[0] is None
 

@@ -39,20 +39,38 @@ def test_first_rows_and_tail(spark):
     assert [r[0] for r in first_rows(df, ["x"], 2, tail=True).collect()] == [3, 2]
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_summary_matches_describe(spark, limit):
+@pytest.mark.parametrize("nulls", ["null", "NaN"])
+def test_summary_matches_describe(spark, nulls):
     rng = np.random.default_rng(5)
-    pdf = pd.DataFrame({"a": rng.integers(0, 5, 401).astype(float), "b": rng.normal(size=401), "c": 1.0})
+    wide = np.where(rng.random(401) < 0.5, -1, 1) * 10.0 ** rng.integers(-300, 300, 401)
+    close = 1 + rng.integers(0, 401, 401) * 2.0**-52
+    pdf = pd.DataFrame(
+        {"a": rng.integers(0, 5, 401).astype(float), "b": rng.normal(size=401), "c": 1.0, "d": close, "e": np.round(rng.normal(size=401)) * 0.0}
+    )
     pdf.loc[::7, "b"] = np.nan
-    df = spark.createDataFrame(pdf).replace(float("nan"), None)
-    got = quality.summary_long(df, one_task_rows=limit).toPandas().set_index("column").sort_index()
+    df = spark.createDataFrame(pdf).repartition(3)
+    if nulls == "null":
+        df = df.replace(float("nan"), None)
+    got = quality.summary_long(df).toPandas().set_index("column").sort_index()
     want = pdf.describe().T.sort_index()
     for ours, theirs in zip(
         ["count", "mean", "stddev", "min", "p25", "p50", "p75", "max"],
         ["count", "mean", "std", "min", "25%", "50%", "75%", "max"],
         strict=True,
     ):
-        np.testing.assert_allclose(got[ours].astype(float), want[theirs], rtol=1e-9)
+        np.testing.assert_allclose(got[ours].astype(float), want[theirs], rtol=1e-9, atol=1e-12)
+    # Values of all magnitudes and signs, infinities among them, at any rank.
+    table = spark.createDataFrame([(float(x),) for x in [*wide, np.inf, -np.inf, 0.0]], "w double")
+    ranks = [0, 1, 7, 200, 201, 390, 402, 403]
+    values = quality.ranked_values(table, ["w"], {0: set(ranks)})
+    inorder = np.sort([*wide, np.inf, -np.inf, 0.0])
+    assert [values[0, r] for r in ranks] == [inorder[r] for r in ranks]
+
+
+def test_summary_makes_no_order_over_the_values(spark):
+    df = spark.createDataFrame([(i % 7, float(i)) for i in range(100)], "k int, x double")
+    row = quality.summary_long(df, ["x", "k"], percentiles=(0, 10, 99, 100)).where("column = 'x'").first()
+    assert (row["p0"], row["p10"], row["p99"], row["p100"]) == (0.0, pytest.approx(9.9), pytest.approx(98.01), 99.0)
 
 
 def test_summary_of_empty_column(spark):
@@ -97,6 +115,8 @@ def test_histogram_holds_every_value(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 9, 10]] + [(None,)], "x double")
     got = {r["bin"]: r["n"] for r in quality.histogram(df, "x", 5).collect()}
     assert got == {0: 2, 1: 1, 2: 0, 3: 0, 4: 2}
+    with_nan = df.unionByName(spark.createDataFrame([(float("nan"),)], "x double"))
+    assert {r["bin"]: r["n"] for r in quality.histogram(with_nan, "x", 5).collect()} == got
     same = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert [r["n"] for r in quality.histogram(same, "x", 3).orderBy("bin").collect()] == [2, 0, 0]
 
