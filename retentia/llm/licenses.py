@@ -2,10 +2,12 @@
 
 Words that occur once in both the template and a stretch of text are anchors; the longest increasing
 subsequence of anchors is aligned, and the gaps between them are aligned the same way, until nothing is
-unique; runs of equal words at the edges of a gap are matched as well. Coverage is the share of the template's words that
-are aligned, and a stretch is reported from ``threshold`` on. Wild words of a template (``*``) match any one word.
+unique; runs of equal words at the edges of a gap are matched as well. Coverage is the aligned words over the template's words and
+those inserted between them, and a stretch is reported from ``threshold`` on, if every word that names the license or its version
+(``MARKS``, and all words with digits) is aligned and none that names another one (``OTHERS``) is inserted or joined on by a hyphen.
+Wild words of a template (``*``) match any one word.
 
-The whole text is searched: every stretch that can reach the threshold holds one of the template's
+The whole text is searched: every stretch that can be reported holds a naming word of the template or, where it has none, one of its
 rarest words (as many as may be missing, and one more), so stretches are laid around those words; stretches that do not touch are aligned by
 themselves, which finds repeated notices. Words are runs of letters and digits in lower case, with version dots kept.
 
@@ -27,10 +29,54 @@ from pyspark.sql import functions as F
 
 from retentia.llm.common import slices, text_of
 
-#: Short notices by SPDX name, in public use.
-TEMPLATES = {
+#: SPDX names, and the names that short notices give them.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "MIT": ("MIT License",),
+    "ISC": ("ISC License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License"),
+    "GPL-2.0": ("GNU General Public License, version 2",),
+    "GPL-3.0": ("GNU General Public License, version 3",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3",),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3",),
+    "MPL-1.1": ("Mozilla Public License, version 1.1",),
+    "MPL-2.0": ("Mozilla Public License, version 2.0",),
+    "EPL-1.0": ("Eclipse Public License, version 1.0",),
+    "EPL-2.0": ("Eclipse Public License, version 2.0",),
+    "BSL-1.0": ("Boost Software License, version 1.0",),
+    "Zlib": ("zlib License",),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0 1.0", "Creative Commons Zero 1.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+}
+#: What stands before a name in a short notice.
+OPENINGS = ("Licensed under", "Licensed under the", "Released under the", "licensed under a", "licensed under the terms of the")
+
+#: Longer notices by SPDX name, in public use.
+_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+
+
+def _free_program(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the "
+        f"Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+
+
+NOTICES = {
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
         "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
         "applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
@@ -38,35 +84,52 @@ TEMPLATES = {
         "governing permissions and limitations under the License.",
     ),
     "MIT": (
-        "Released under the MIT License",
-        "Licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
         "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
         "this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version.",
-    ),
+    "GPL-2.0": (_free_program("General Public License", "2"),),
+    "GPL-3.0": (_free_program("General Public License", "3"),),
+    "LGPL-2.1": (_free_program("Lesser General Public License", "2.1"),),
+    "LGPL-3.0": (_free_program("Lesser General Public License", "3"),),
+    "AGPL-3.0": (_free_program("Affero General Public License", "3"),),
+    "BSD-2-Clause": (_CONDITIONS,),
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met",
+        _CONDITIONS + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
     ),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE or copy at https://www.boost.org/LICENSE_1_0.txt",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies",
     ),
 }
+TEMPLATES = {
+    name: (
+        *[f"{opening} {called}" for called in names for opening in OPENINGS],
+        f"SPDX-License-Identifier: {name}",
+        *NOTICES.get(name, ()),
+    )
+    for name, names in NAMES.items()
+}
+#: Words that name a license or its kind: where a template has them, they must be there.
+MARKS = frozenset(
+    "affero apache attribution boost bsd cc cc0 creative eclipse endorse epl gpl identifier isc lesser lgpl agpl mit mozilla mpl bsl "
+    "nc nd noncommercial noderivatives promote sa sharealike spdx unencumbered unlicense zero zlib".split()
+)
+#: Words that name another license where they stand between those of a template.
+OTHERS = MARKS | frozenset("commercial library derivatives documentation alike share".split()) - {"endorse", "promote", "identifier", "spdx"}
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 THRESHOLD = 0.8
 #: A stretch reaches so many template lengths to both sides of a rare word; longer insertions end the match.
@@ -126,6 +189,12 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _goes_on(text: str, end: int) -> bool:
+    """Whether a hyphen joins another word to the name, other than "only" or "or", which go with any version."""
+    more = re.match(r"-([^\W_]+)", text[end : end + 40])
+    return bool(more) and more[1].lower() not in ("only", "or")
+
+
 class Finder:
     """Finds the notices of one text."""
 
@@ -136,16 +205,17 @@ class Finder:
         self.templates = []
         for name, ws in listed:
             missing = len(ws) - -(-int(threshold * len(ws) * 1000) // 1000)
-            # Any stretch that reaches the threshold holds one of these.
+            marks = Counter(w for w in ws if w in MARKS or any(map(str.isdigit, w)))
+            # Any stretch that can be reported holds one of these.
             rare = sorted(set(ws), key=lambda w: (ws.count(w), -len(w), common[w], w))
             seeds, dropped = [], 0
-            for w in rare:
+            for w in sorted(marks, key=lambda w: (ws.count(w), common[w], -len(w), w))[:1] or rare:
                 seeds.append(w)
                 dropped += ws.count(w)
-                if dropped > missing:
+                if dropped > missing or marks:
                     break
-            self.templates.append((name, ws, {w: [i for i, x in enumerate(ws) if x == w] for w in seeds}))
-        self.seeds = frozenset().union(*(s for _, _, s in self.templates))
+            self.templates.append((name, ws, {w: [i for i, x in enumerate(ws) if x == w] for w in seeds}, marks))
+        self.seeds = frozenset().union(*(s for _, _, s, _ in self.templates))
 
     def find(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, name, coverage, aligned words) of the notices, by start."""
@@ -160,8 +230,11 @@ class Finder:
         if not places:
             return []
         plain = [w for w, _, _ in words]
+        present = frozenset(plain)
         found = []
-        for name, template, seeds in self.templates:
+        for name, template, seeds, marks in self.templates:
+            if any(w not in present for w in marks):
+                continue
             hits = sorted(k for w in seeds for k in places.get(w, ()))
             reach, n = REACH * len(template), len(template)
             start = 0
@@ -170,23 +243,39 @@ class Finder:
                 while stop < len(hits) and hits[stop] - hits[stop - 1] <= n:
                     stop += 1
                 lo, hi = max(0, hits[start] - reach), min(len(words), hits[stop - 1] + reach + 1)
-                found += self._within(name, template, seeds, plain, words, lo, hi)
+                found += self._within(name, template, seeds, marks, text, plain, words, lo, hi)
                 start = stop
         return self._best(found)
 
-    def _within(self, name, template, seeds, plain, words, lo, hi) -> list:
+    def _cover(self, template, best, marks, plain, lo) -> float:
+        """Aligned words over the template's and the inserted ones; 0 if a naming word is missing or another one inserted."""
+        if not best:
+            return 0.0
+        aligned = Counter(template[i] for i, _ in best)
+        if any(aligned[w] < n for w, n in marks.items()):
+            return 0.0
+        held = {j for _, j in best}
+        between = [plain[lo + j] for j in range(best[0][1], best[-1][1] + 1) if j not in held]
+        if any(w in OTHERS and w not in marks for w in between):
+            return 0.0
+        return len(best) / (len(template) + len(between))
+
+    def _within(self, name, template, seeds, marks, text, plain, words, lo, hi) -> list:
         out = []
-        held = [(lo, hi)]
+        held, seen = [(lo, hi)], set()
         while held:
             lo, hi = held.pop()
+            if (lo, hi) in seen:
+                continue
+            seen.add((lo, hi))
             pairs = align(template, plain[lo:hi])
             best = self._dense(pairs, len(template))
-            cover = len(best) / len(template)
-            if cover >= self.threshold:
+            cover = self._cover(template, best, marks, plain, lo)
+            if cover >= self.threshold and not _goes_on(text, words[lo + best[-1][1]][2]):
                 a, b = lo + best[0][1], lo + best[-1][1]
                 out.append((words[a][1], words[b][2], name, cover, len(best)))
                 held += [(lo, a), (b + 1, hi)]
-            elif hi - lo > 2 * len(template):
+            elif hi - lo > len(template) + 1:
                 # Words that repeat in a long stretch are no anchors: lay the template over each rare word.
                 n = len(template)
                 for k in range(lo, hi):

@@ -200,7 +200,7 @@ def test_random_strings_without_digits_beside_readable_parts_and_beside_matches(
 
 
 def test_licenses(spark, docs):
-    mit = licenses.TEMPLATES["MIT"][2]
+    mit = licenses.NOTICES["MIT"][0]
     rows = [
         (1, "Some text. " + mit + " More text."),
         (2, "Intro " + mit.replace("deal", "trade").replace("free", "gratis").upper() + "\n// end"),
@@ -225,6 +225,71 @@ def test_licenses(spark, docs):
         assert r.licenses == sorted(k for k, v in known.items() if v in texts[r.doc_id])
 
 
+def names_in(text):
+    return [x[2] for x in licenses.Finder(licenses.TEMPLATES, licenses.THRESHOLD).find(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under the BSD License", []),
+        ("Licensed under the Apache License", []),
+        ("Licensed under the Commercial License", []),
+        ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-ND 4.0", ["CC-BY-ND-4.0"]),
+        ("Licensed under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+        ("Licensed under the GNU Affero General Public License, version 3", ["AGPL-3.0"]),
+        ("Licensed under the GNU General Public License, version 2", ["GPL-2.0"]),
+        (licenses.NOTICES["GPL-2.0"][0], ["GPL-2.0"]),
+        (licenses.NOTICES["LGPL-2.1"][0].replace("Lesser", "Lesser"), ["LGPL-2.1"]),
+        (licenses.NOTICES["AGPL-3.0"][0], ["AGPL-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["CC-BY-4.0"]),
+        (licenses.NOTICES["BSD-2-Clause"][0], ["BSD-2-Clause"]),
+        (licenses.NOTICES["BSD-3-Clause"][0], ["BSD-3-Clause"]),
+        (licenses.NOTICES["BSD-2-Clause"][0][:120], []),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later\n", ["GPL-3.0"]),
+        ("# SPDX-License-Identifier: MIT-0", []),
+        ("SPDX-License-Identifier: MIT\nint main() {}", ["MIT"]),
+        ("Licensed under the Apache License, Version 1.1", []),
+        ("Licensed under MIT conditions of a quite different sort altogether License", []),
+    ],
+)
+def test_names_and_versions_decide(text, want):
+    assert names_in(text) == want
+    assert names_in("Some words before it. " + text + "\n Some words after it.") == want
+
+
+def test_every_template_is_its_own_license():
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert names_in(f"x y {text}; z") == [name], text
+
+
+def test_insertions_lower_the_coverage():
+    finder = licenses.Finder(licenses.TEMPLATES, licenses.THRESHOLD)
+    words = licenses.NOTICES["MIT"][0].split()
+    covers = []
+    for extra in (0, 4, 12):
+        step = len(words) // (extra + 1)
+        mixed = [w + " filler" if extra and k % step == step - 1 and k // step < extra else w for k, w in enumerate(words)]
+        covers += [x[3] for x in finder.find(" ".join(mixed))]
+    assert covers == sorted(covers, reverse=True) and covers[0] == 1.0 and len(set(covers)) == 3
+
+
+def test_mixes_of_notices_are_found_as_laid():
+    rng = random.Random(21)
+    short = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    for _ in range(60):
+        laid = [rng.choice(short) for _ in range(rng.randint(1, 4))]
+        gap = lambda: " ".join(rng.choice(["lorem", "ipsum", "the", "license", "software", "of", "under"]) for _ in range(rng.randint(30, 60)))
+        text = gap() + "".join(f". {t}. {gap()}" for _, t in laid)
+        assert names_in(text) == [n for n, _ in laid]
+
+
 def test_alignment_equals_the_longest_common_subsequence_where_words_are_unique():
     random.seed(4)
     for _ in range(200):
