@@ -1,25 +1,29 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
 Every partition turns its rows into runs: sorted by digest, one record per digest, which
-holds the best row so far and the number of rows. Runs are cut into digest ranges, and
-within a range the runs are merged in rounds of a binomial tree (``FAN_IN`` runs become
-one), so that no task meets more than a range of ``FAN_IN`` runs and a digest that a third
-of all rows share is one record per run from the start. Records are merged only if the
-SHA-256, a second 64-bit hash and the length of the normalised text all agree.
-
-Null texts are empty texts; empty texts are equal to each other. A null id ranks after all
-others. Rows that repeat an id and a text count as copies; ``keep_one`` leaves one of them.
-An empty table gives an empty result; other columns are not looked at.
+holds the best row so far and the number of rows. Runs are cut into digest ranges, and the
+partitions exchange them in rounds of a binomial tree (``FAN_IN`` runs of a range become one).
+A task lays the runs of a range beside each other and merges them multiway, in one pass over the
+least records, retaining the best row of each digest. It never holds more than one range of
+``FAN_IN`` runs, and a digest that a third of all rows share is one record per run from the
+start. Records are merged only if the SHA-256, a second 64-bit hash and the length of the
+normalised text all agree.
+
+Null texts are empty texts; empty texts are equal to each other. Ids are whole numbers; a null id ranks
+after all others. Rows that repeat an id and a text count as copies; ``keep_one`` leaves one row of each
+group: most code points, smallest id, then the text that sorts first. An empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from heapq import merge
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.llm.common import WHITE, text_of, without
@@ -78,8 +82,43 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+_MERGED = "part int, run int, sha binary, second bigint, n_bytes int, less int, no_id boolean, doc_id bigint, copies bigint"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the runs of each (part, to), which follow each other, into one run per (part, to)."""
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    names = ["part", "run", *KEY, "less", "no_id", "doc_id", "copies"]
+    place, runs = None, {}
+
+    def merged() -> Iterator[pa.RecordBatch]:
+        rows, best, copies = [], None, 0
+        # Records are (sha, second, n_bytes, less, no_id, doc_id, copies), so the best of a digest comes first.
+        for record in merge(*runs.values()):
+            if best is not None and record[:3] == best[:3]:
+                copies += record[6]
+                continue
+            if best is not None:
+                rows.append((*place, *best[:5], None if best[4] else best[5], copies))
+            best, copies = record, record[6]
+        if best is not None:
+            rows.append((*place, *best[:5], None if best[4] else best[5], copies))
+        runs.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("part", "to", "run", *KEY, "less", "no_id", "doc_id", "copies")]
+        for part, to, run, sha, second, size, less, no_id, doc_id, copies in zip(*columns, strict=True):
+            if (part, to) != place:
+                yield from merged()
+                place = (part, to)
+            runs.setdefault(run, []).append((sha, second, size, less, no_id, 0 if no_id else doc_id, copies))
+    yield from merged()
+
+
 def merge_runs(records: DataFrame) -> DataFrame:
-    """One record per digest: the row that stays and the number of rows."""
+    """One record per digest: the row that stays, its code points and the number of rows."""
     spark = records.sparkSession
     runs = max(1, records.rdd.getNumPartitions())
     width = max(runs, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -87,24 +126,18 @@ def merge_runs(records: DataFrame) -> DataFrame:
     out = records.select(
         F.spark_partition_id().alias("run"), *KEY, "n_chars", F.col("doc_id").isNull().alias("no_id"), "doc_id"
     ).mapInArrow(_runs, RECORD)
+    # The batches of a partition are runs that the first exchange sorts into one.
     # Leading bits of the digest: a range holds neighbouring digests of every run.
     lead = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("bigint")
-    out = out.withColumn("part", F.floor(lead * ranges / F.lit(2**32)).cast("int"))
-    best = F.struct((-F.col("n_chars")).alias("less"), "no_id", "doc_id")
+    out = out.withColumns({"part": F.floor(lead * ranges / F.lit(2**32)).cast("int"), "less": -F.col("n_chars")})
+    order = [*KEY, "less", "no_id", "doc_id"]
     rounds = max(1, math.ceil(math.log(runs, FAN_IN))) if runs > 1 else 1
     for k in range(rounds):
         # The last round has one run left, whatever the number of partitions came to be.
         to = F.lit(0) if k == rounds - 1 else F.floor(F.col("run") / FAN_IN).cast("int")
-        out = (
-            out.withColumn("run", to)
-            .repartition(width, "part", "run")
-            .groupBy("part", "run", *KEY)
-            .agg(F.min(best).alias("best"), F.sum("copies").alias("copies"))
-            .select(
-                "part", "run", *KEY, (-F.col("best.less")).alias("n_chars"), "best.no_id", "best.doc_id", "copies"
-            )
-        )
-    return out.select(*KEY, F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"))
+        dealt = out.withColumn("to", to).repartition(width, "part", "to").sortWithinPartitions("part", "to", "run", *order)
+        out = dealt.select("part", "to", "run", *KEY, "less", "no_id", "doc_id", "copies").mapInArrow(_merge, _MERGED)
+    return out.select(*KEY, F.col("doc_id").alias("keep_id"), (-F.col("less")).alias("keep_chars"), F.col("copies").alias("group_size"))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,8 +145,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Of equal texts the row with the most code points, then the smallest id stays.
     """
-    records = digest_table(docs, id_col, text_col)
-    return _decided(records).drop("sha")
+    return _decided(digest_table(docs, id_col, text_col)).drop("sha", "n_chars", "keep_chars")
 
 
 def _decided(records: DataFrame) -> DataFrame:
@@ -127,17 +159,24 @@ def _decided(records: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "sha",
+        "n_chars",
+        "keep_chars",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
-    records = digest_table(docs, id_col, text_col)
-    decided = materialize(_decided(records).select("doc_id", "kept", F.col("sha").alias("key")), "decided")
-    left = without(docs, decided.filter(~F.col("kept")), digest(text_col), id_col)
-    repeats = decided.filter("kept").groupBy("key").count().filter("count > 1")
+    # A row is known by its id, digest and code points: rows that repeat an id may differ in white space.
+    key = F.concat("sha", F.col("n_chars").cast("string").cast("binary")).alias("key")
+    stays = (F.col("kept") & (F.col("n_chars") == F.col("keep_chars"))).alias("stays")
+    decided = materialize(_decided(digest_table(docs, id_col, text_col)).select("doc_id", stays, key), "decided")
+    mark = F.concat(digest(text_col), F.length(text_of(text_col)).cast("string").cast("binary"))
+    left = without(docs, decided.filter(~F.col("stays")), mark, id_col)
+    repeats = decided.filter("stays").groupBy("key").count().filter("count > 1")
     if repeats.isEmpty():
         return left
-    # Rows that repeat the id of the row that stays, or stay beside it with null ids: one is left.
-    mark = "_".join(["repeat", *left.columns])
-    return left.withColumn(mark, digest(text_col)).dropDuplicates([mark]).drop(mark)
+    # Rows that repeat the id and code points of the row that stays: one is left, also among null ids.
+    name = "_".join(["repeat", *left.columns])
+    first = Window.partitionBy(name).orderBy(text_of(text_col))
+    ranked = left.withColumn(name, mark).withColumn(f"{name}_n", F.row_number().over(first))
+    return ranked.filter(F.col(f"{name}_n") == 1).drop(name, f"{name}_n")

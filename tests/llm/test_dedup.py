@@ -68,6 +68,18 @@ def test_runs_of_many_partitions_are_merged_whole(spark):
     assert sorted((r.keep_id, r.group_size) for r in merged) == [(i, 100) for i in range(40)]
 
 
+def test_repeated_ids_leave_the_longest_row_of_a_group(spark):
+    rows = [(1, "a b"), (1, "a    b      "), (1, "a     b     "), (2, "ab"), (3, "c"), (3, "c"), (None, "d "), (None, "d"), (None, " d"), (3, "a")]
+    left = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [(1, "a     b     "), (3, "c"), (None, " d"), (3, "a")]))
+
+
+def test_rounds_merge_runs_and_group_nothing(spark):
+    records = exact_dedup.digest_table(spark.createDataFrame([(i, f"t{i % 5}") for i in range(50)], "doc_id bigint, text string"))
+    plan = exact_dedup.merge_runs(records.repartition(20))._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "MapInArrow" in plan
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     assert exact_dedup.decide(none).count() == exact_dedup.keep_one(none).count() == 0
