@@ -39,6 +39,8 @@ RULES = (
 SEEDS = ("ads", "adult", "bets", "casino", "cheap", "pills", "porn", "spam", "track", "xxx")
 #: Labelled URLs that a fit reads, about.
 BOUND = 20_000
+#: Parts of the labelled URLs, by host, that learn from the suffix counts of the others.
+FOLDS = 4
 FEATURES = (
     "length host_length path_length depth labels digits host_digits entropy host_entropy hyphens host_hyphens "
     "parameters longest_label upper marks secure port suffix_share suffix_count name_share name_count"
@@ -91,15 +93,16 @@ def features(url: str, host: str, path: str, known: dict[str, tuple[int, int]])
     return [float(x) for x in out]
 
 
-def _described(rows: DataFrame, known: dict[str, tuple[int, int]]) -> DataFrame:
-    """Adds ``x``, the features, to rows of id, url, host and path."""
+def _described(rows: DataFrame, known: dict[int, dict[str, tuple[int, int]]]) -> DataFrame:
+    """Adds ``x``, the features, to rows of id, url, host and path; with a ``fold`` its own suffix counts are used."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
     names = [f.name for f in rows.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             url, host, path = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
-            x = [features(*u, shared.value) for u in zip(url, host, path, strict=True)]
+            fold = batch.column("fold").to_pylist() if "fold" in names else [-1] * len(url)
+            x = [features(u, h, p, shared.value[f]) for u, h, p, f in zip(url, host, path, fold, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
 
     return rows.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, x array<double>")
@@ -108,39 +111,26 @@ def _described(rows: DataFrame, known: dict[str, tuple[int, int]]) -> DataFrame:
 def label_by_names(urls: DataFrame, url_col: str = "url", bound: int = BOUND) -> DataFrame:
     """About ``bound`` of the URLs, taken by hash, labelled by the telling names in their hosts."""
     hosts = urls.select(F.col(url_col).cast("string").alias("url")).filter("url IS NOT NULL")
-    share = min(1.0, bound / max(1, hosts.count()))
+    # The share of distinct URLs, so that one URL on very many rows cannot crowd out the others.
+    share = min(1.0, bound / max(1, hosts.agg(F.approx_count_distinct(F.xxhash64("url"), 0.02)).first()[0]))
     # Rows of one URL fall into the sample together; once is enough, and keeps the sample bounded.
     chosen = hosts.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
     pattern = rf"(^|[.-])({'|'.join(map(re.escape, SEEDS))})([.-]|$)"
     return chosen.withColumn("label", host_of("url").rlike(pattern).cast("int"))
 
 
-def judge(
-    urls: DataFrame,
-    id_col: str = "page_id",
-    url_col: str = "url",
-    rules: Sequence[tuple[str, str, str]] = RULES,
-    labelled: DataFrame | None = None,
-    bound: int = BOUND,
-) -> DataFrame:
-    """One row per row of ``urls``: page_id, host, path, rule, verdict, score (null where a rule decides)."""
-    known_urls = label_by_names(urls, url_col, bound) if labelled is None else labelled
-    train = materialize(
-        known_urls.select(
-            F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
-            host_of("url").alias("host"),
-            path_of("url").alias("path"),
-            F.col("label").cast("double").alias("label"),
-        ).filter("label IS NOT NULL"),
-        "urls",
-    )
-    parts = F.split("host", r"\.")
-    ends = F.array_distinct(F.array(F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")))
-    counted = train.select("label", F.explode(ends).alias("suffix")).groupBy("suffix")
-    # No more suffixes than twice the labelled URLs, whose number is bounded.
-    known = {
-        r["suffix"]: (r["seen"], int(r["bad"])) for r in counted.agg(F.count("*").alias("seen"), F.sum("label").alias("bad")).collect()
-    }
+def _bounded(labelled: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` of the caller's distinct labelled URLs, taken by hash."""
+    rows = labelled.select("url", "label").filter("label IS NOT NULL")
+    share = min(1.0, bound / max(1, rows.agg(F.approx_count_distinct(F.xxhash64("url"), 0.02)).first()[0]))
+    return rows.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
+
+
+def _folds(train: DataFrame, ends: Column) -> dict[int, dict[str, tuple[int, int]]]:
+    """Per fold of the labelled URLs the counts of every suffix in the other folds; -1 has those of all."""
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    folds = _folds(train, ends)
+    known = {-1: folds[-1]}
     classes = [r["label"] for r in train.select("label").distinct().collect()]
     rows = urls.select(
         F.col(id_col).cast("bigint").alias("page_id"),
@@ -152,7 +142,9 @@ def judge(
         score = rows.withColumn("score", F.lit(float(classes[0]) if classes else 0.0))
     else:
         trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=12, maxDepth=3, maxBins=64, stepSize=0.3, seed=7)
-        sample = materialize(_described(train, known).select("label", "x"), "features").coalesce(2)
+        # A URL's own label must not be in the suffix shares that it teaches with.
+        dealt = train.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+        sample = materialize(_described(dealt, folds).select("label", "x"), "features").coalesce(2)
         model = trees.fit(sample.select("label", array_to_vector("x").alias("v")))
         described = _described(rows, known).withColumn("v", array_to_vector("x"))
 
