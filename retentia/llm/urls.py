@@ -129,6 +129,39 @@ def _bounded(labelled: DataFrame, bound: int) -> DataFrame:
 def _folds(train: DataFrame, ends: Column) -> dict[int, dict[str, tuple[int, int]]]:
     """Per fold of the labelled URLs the counts of every suffix in the other folds; -1 has those of all."""
     fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    counted = train.select("label", fold.alias("fold"), F.explode(ends).alias("suffix")).groupBy("fold", "suffix")
+    # No more suffixes than twice the labelled URLs, whose number is bounded.
+    rows = counted.agg(F.count("*").alias("seen"), F.sum("label").alias("bad")).collect()
+    out: dict[int, dict[str, tuple[int, int]]] = {f: {} for f in range(-1, FOLDS)}
+    for r in rows:
+        for f in out:
+            if f != r["fold"]:
+                seen, bad = out[f].get(r["suffix"], (0, 0))
+                out[f][r["suffix"]] = (seen + r["seen"], bad + int(r["bad"]))
+    return out
+
+
+def judge(
+    urls: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    rules: Sequence[tuple[str, str, str]] = RULES,
+    labelled: DataFrame | None = None,
+    bound: int = BOUND,
+) -> DataFrame:
+    """One row per row of ``urls``: page_id, host, path, rule, verdict, score (null where a rule decides)."""
+    known_urls = label_by_names(urls, url_col, bound) if labelled is None else _bounded(labelled, bound)
+    train = materialize(
+        known_urls.select(
+            F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
+            host_of("url").alias("host"),
+            path_of("url").alias("path"),
+            F.col("label").cast("double").alias("label"),
+        ).filter("label IS NOT NULL"),
+        "urls",
+    )
+    parts = F.split("host", r"\.")
+    ends = F.array_distinct(F.array(F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")))
     folds = _folds(train, ends)
     known = {-1: folds[-1]}
     classes = [r["label"] for r in train.select("label").distinct().collect()]

@@ -71,6 +71,27 @@ def test_url_trees_learn_held_out_labels(spark):
     assert {r.verdict for r in one} == {"allow"}
 
 
+def test_one_url_on_most_rows_does_not_empty_the_sample(spark):
+    rows = [("https://one.site.net/en/1",)] * 20_000
+    rows += [(f"https://docs{i}.site.net/en/{i}",) for i in range(100)] + [(f"http://casino.win{i}.biz/?a={i}&b=1&c=2",) for i in range(100)]
+    frame = spark.createDataFrame(rows, "url string").repartition(4)
+    sample = urls.label_by_names(frame, bound=200).groupBy("label").count().collect()
+    # The distinct URLs are counted within two per cent.
+    assert all(90 <= n <= 101 for n in (r["count"] for r in sample)) and len(sample) == 2
+    test = spark.createDataFrame([(1, "http://casino.other.biz/?a=5&b=1&c=2"), (2, "https://docs.site.net/en/7")], "page_id bigint, url string")
+    labelled = urls.label_by_names(frame, bound=200)
+    assert [r.verdict for r in urls.judge(test, labelled=labelled, bound=10**6).orderBy("page_id").collect()] == ["block", "allow"]
+    assert urls._bounded(labelled.withColumn("label", urls.F.lit(1)), 50).count() < 100
+
+
+def test_suffix_counts_leave_out_the_own_fold(spark):
+    train = spark.createDataFrame([(f"h{i}.net", float(i % 2)) for i in range(40)], "host string, label double")
+    folds = urls._folds(train, urls.F.array(urls.F.lit("net")))
+    assert folds[-1]["net"] == (40, 20)
+    assert sum(40 - folds[f].get("net", (0, 0))[0] for f in range(urls.FOLDS)) == 40
+    assert all(folds[f]["net"][0] < 40 for f in range(urls.FOLDS))
+
+
 def test_page_texts(spark, pages, sf_dir):
     source = table(spark, sf_dir, "pages")
     got = {r.page_id: r for r in html_text.main_text(source).collect()}

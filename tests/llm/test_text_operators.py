@@ -306,6 +306,15 @@ def test_alignment_equals_the_longest_common_subsequence_where_words_are_unique(
         assert len(got) == best[20][25] or a[0] == b[0] or a[-1] == b[-1]
 
 
+def test_words_of_other_planes_are_told_apart():
+    fold = decontaminate.folding()
+    adlam = ["\U0001e900\U0001e901", "\U0001e902\U0001e903", "\U0001e922\U0001e923"]
+    words, bounds = decontaminate.hashes([" ".join(adlam), "\U0001f600 \U0001f601\U0001f602", "a\U00020000b"], fold)
+    assert list(np.diff(bounds)) == [3, 0, 3]
+    # The third is the first in lower case; emoji are no words, ideographs are words of their own.
+    assert words[0] == words[2] != words[1] and len(set(words)) == 5
+
+
 def normal(text):
     return [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
 
