@@ -125,7 +125,7 @@ TEMPLATES = {
 }
 #: Words that name a license or its kind: where a template has them, they must be there.
 MARKS = frozenset(
-    "affero apache attribution boost bsd cc cc0 creative eclipse endorse epl gpl identifier isc lesser lgpl agpl mit mozilla mpl bsl "
+    "affero apache attribution boost bsd cc cc0 creative eclipse endorse epl gnu gpl identifier isc lesser lgpl agpl mit mozilla mpl bsl "
     "nc nd noncommercial noderivatives promote sa sharealike spdx unencumbered unlicense zero zlib".split()
 )
 #: Words that name another license where they stand between those of a template.
@@ -207,20 +207,22 @@ class Finder:
             missing = len(ws) - -(-int(threshold * len(ws) * 1000) // 1000)
             marks = Counter(w for w in ws if w in MARKS or any(map(str.isdigit, w)))
             # Any stretch that can be reported holds one of these.
-            rare = sorted(set(ws), key=lambda w: (ws.count(w), -len(w), common[w], w))
+            rare = sorted(set(ws), key=lambda w: (-len(w), ws.count(w), common[w], w))
             seeds, dropped = [], 0
-            for w in sorted(marks, key=lambda w: (ws.count(w), common[w], -len(w), w))[:1] or rare:
+            for w in sorted(marks, key=lambda w: (any(map(str.isdigit, w)), -len(w), ws.count(w), w))[:1] or rare:
                 seeds.append(w)
                 dropped += ws.count(w)
                 if dropped > missing or marks:
                     break
             self.templates.append((name, ws, {w: [i for i, x in enumerate(ws) if x == w] for w in seeds}, marks))
         self.seeds = frozenset().union(*(s for _, _, s, _ in self.templates))
+        # A short word also stands inside others; most texts end here.
+        self.whole = {w: re.compile(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])") for w in self.seeds}
 
     def find(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, name, coverage, aligned words) of the notices, by start."""
         low = text.lower()
-        if not any(w in low for w in self.seeds):
+        if not any(w in low and self.whole[w].search(low) for w in self.seeds):
             return []
         words = words_of(text)
         places: dict[str, list[int]] = {}
@@ -233,7 +235,7 @@ class Finder:
         present = frozenset(plain)
         found = []
         for name, template, seeds, marks in self.templates:
-            if any(w not in present for w in marks):
+            if any(w not in present for w in marks) or sum(w in present for w in template) < self.threshold * len(template):
                 continue
             hits = sorted(k for w in seeds for k in places.get(w, ()))
             reach, n = REACH * len(template), len(template)
