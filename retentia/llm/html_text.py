@@ -1,13 +1,18 @@
 """The main text of a web page as its maximum-scoring run of tokens.
 
 A page is a sequence of words and tags. Words score by where they stand (the section around
-them, the block, whether they are a link's), tags score below zero; all weights are log odds
-counted on labelled pages, which are pages that mark one article themselves. One linear scan finds the
-contiguous run of the highest total score, which is the content region. What lies in it below menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments is cut out, and the rest is
+them, the block, whether they are a link's) and by the words in the class and id of that section, tags score below
+zero; all weights are log odds counted on labelled pages, which are pages that mark one article themselves. One
+linear scan finds the contiguous run of the highest total score, which is the content region. What lies in it below
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments is cut out, and the rest is
 given as one line per block.
 
-The fit reads at most ``BOUND`` pages, those of lowest id hash; without labelled pages the weights are the priors.
+An element is known for one of these by its tag, by a class, id or role that says nothing else (``cookie-notice``,
+``comment-list``), or by a name that holds such a word among others (``login-info``) if most of its words are
+links or the labelled pages tell that its name stands outside of articles. What holds the page's main heading, its
+``main`` element or most of its running text is a wrapper and none of these.
+
+The fit reads at most ``BOUND`` labelled pages, those of lowest id hash; without any the weights are the priors.
 Null pages are empty; a page without words or with no run above zero has the empty text. Character
 references are decoded and white space of a block becomes one space. Repeated rows each get their own
 text. An empty table gives an empty result; other columns are not looked at.
@@ -47,6 +52,11 @@ MARKS = frozenset(
     "sharing social related recommended recommendations widget masthead header footer copyright login search complementary "
     "contentinfo dialog".split()
 )
+#: Words that say nothing in a name beside one of those.
+NEUTRAL = frozenset(
+    "area bar bottom box button buttons container form icons inner item items left link links list outer posts right section "
+    "site stories thread top unit wrap wrapper global main primary secondary".split()
+)
 GOOD = frozenset("article content post entry story main body text page".split())
 SECTIONS = frozenset("article main section div td body center details figure".split()) | OUTSIDE
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th summary address".split())
@@ -57,58 +67,96 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 class Place:
-    """An open element: the section and block that words in it stand in, and whether it lies outside of articles."""
+    """An open element: the section and block that words in it stand in, and whether it lies outside of articles.
+
+    What it holds is known when the page has been read; ``settle`` tells then what it is.
+    """
 
-    __slots__ = ("article", "block", "linked", "name", "outside", "section")
+    __slots__ = ("article", "block", "cut", "heads", "kind", "linked", "links", "name", "names", "near", "outside", "parent", "section", "words")
 
     def __init__(self, name: str, attributes: str, parent: Place | None):
-        self.name, kind = name, ""
-        outside = name in OUTSIDE
+        self.name, self.parent, self.kind, self.names = name, parent, "", ()
+        #: Why it may be cut: hidden, its tag, a name that says nothing else, or a name that holds such a word.
+        self.cut = "tag" if name in OUTSIDE else ""
         if attributes:
-            words = {w.lower() for _, v in NAMED.findall(attributes) for w in WORD.findall(v)}
-            if words & MARKS and name not in ("article", "main", "body", "html"):
-                outside, kind = True, "-"
-            elif words & GOOD:
-                kind = "+"
-            outside = outside or bool(HIDDEN.search(attributes))
-        self.outside = outside or (parent is not None and parent.outside)
-        self.section, self.block, self.linked = parent.at() if parent else ("body", "", "")
-        if name in SECTIONS:
-            self.section, self.block, self.linked = name + kind, "", ""
+            given = [[w.lower() for w in WORD.findall(n)] for _, v in NAMED.findall(attributes) for n in v.strip("\"'").split()]
+            self.names = tuple(sorted({w for n in given for w in n}))
+            if name not in ("article", "main", "body", "html") and not self.cut:
+                marked = [n for n in given if not MARKS.isdisjoint(n)]
+                if any(MARKS.union(NEUTRAL).issuperset(n) for n in marked):
+                    self.cut, self.kind = "name", "-"
+                elif marked:
+                    self.cut = "part"
+            if not self.kind and not GOOD.isdisjoint(self.names):
+                self.kind = "+"
+            if HIDDEN.search(attributes):
+                self.cut = "hidden"
+        self.words = self.links = self.heads = 0
+        self.outside, self.article = False, 0
+        self.section, self.block, self.linked = "body", "", ""
+        #: The name words of the element, or of those around it up to the section.
+        self.near = self.names or (parent.near if parent is not None and name not in SECTIONS else ())
+
+    def settle(self, running: int, weights: dict[tuple[str, str], float]) -> None:
+        """What the element is, once its parent is settled, on a page of ``running`` words of running text."""
+        parent, name = self.parent, self.name
+        cut = self.cut
+        if cut in ("name", "part") or name == "form" and cut == "tag":
+            # Reader comments may outweigh the article, but hold none of its heads.
+            talk = any(w.startswith(("comment", "repl", "respon", "discus", "disqus")) for w in self.names)
+            if self.heads or 2 * self.words > running and not talk:
+                cut = ""
+            elif cut == "part":
+                known = [weights["n", w] for w in self.names if ("n", w) in weights]
+                if 2 * self.links <= self.words + self.links and not (known and sum(known) < 0):
+                    cut = ""
+        if not cut and self.kind == "-":
+            self.kind = ""
+        self.outside = bool(cut) or (parent is not None and parent.outside)
+        if parent:
+            self.section, self.block, self.linked = parent.section, parent.block, parent.linked
+        if name in SECTIONS and (name not in OUTSIDE or cut):
+            self.section, self.block, self.linked = name + ("-" if cut == "part" else self.kind), "", ""
         elif name in BLOCKS:
             self.block = name
         elif name == "a":
             self.linked = "a"
         # 2 within an article of the page's own marking, 1 within what is named like one.
         above = parent.article if parent else 0
-        self.article = 2 if name in ("article", "main") else max(above, int(kind == "+"))
+        self.article = 2 if name in ("article", "main") else max(above, int(self.kind == "+"))
+
+    def at(self) -> str:
+        return f"{self.section}>{self.block}>{self.linked}"
+
 
-    def at(self) -> tuple[str, str, str]:
-        return self.section, self.block, self.linked
+Token = tuple[str, str, str, Place]
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, int]]:
-    """(type, what, text, outside, in an article: 0 to 2): type ``w`` words with their place, ``t`` a tag with its name."""
-    stack: list[Place] = []
+def tokens(page: str, weights: dict[tuple[str, str], float] | None = None) -> list[Token]:
+    """(type, what, text, element): type ``w`` words, ``t`` a tag with its name; the elements are settled."""
+    root = Place("", "", None)
+    places, stack, out = [root], [root], []
     opened: Counter = Counter()
     at = 0
 
-    def words(raw: str) -> tuple | None:
-        if not raw.strip():
-            return None
-        place = ">".join(stack[-1].at() if stack else ("body", "", ""))
-        article = stack[-1].article if stack else 0
-        return "w", place, entities.unescape(raw), bool(stack) and stack[-1].outside, article
+    def words(raw: str) -> None:
+        if raw.strip():
+            place = stack[-1]
+            out.append(("w", "", entities.unescape(raw), place))
+            n = len(raw.split())
+            if any(p.name == "a" for p in stack[-3:]):
+                place.links += n
+            else:
+                place.words += n
 
     for m in TOKEN.finditer(page):
-        if m.start() > at and (found := words(page[at : m.start()])):
-            yield found
+        if m.start() > at:
+            words(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
-        outside = bool(stack) and stack[-1].outside
-        article = stack[-1].article if stack else 0
+        place = stack[-1]
         if m[2]:
             while opened[name]:
                 opened[gone := stack.pop().name] -= 1
@@ -117,7 +165,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, int]]:
         elif name not in VOID and not m[4].endswith("/"):
             if name in BREAKS:
                 # A paragraph ends where the next block begins, with what is open in it.
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == "p" or name == "li" and stack[k].name == "li":
                         for p in stack[k:]:
                             opened[p.name] -= 1
@@ -126,20 +174,38 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, int]]:
                     if stack[k].name in BREAKS or not opened["p"] and name != "li":
                         break
             opened[name] += 1
-            stack.append(Place(name, m[4], stack[-1] if stack else None))
-            outside = stack[-1].outside
-        yield "t", name, "", outside, article
-    if at < len(page) and (found := words(page[at:])):
-        yield found
+            place = Place(name, m[4], stack[-1])
+            stack.append(place)
+            places.append(place)
+            place.heads = int(name in ("h1", "main"))
+        out.append(("t", name, "", place))
+    if at < len(page):
+        words(page[at:])
+    for place in reversed(places):
+        if (above := place.parent) is not None and place.cut != "hidden":
+            above.links += place.links
+            # Headings and words of what is cut for its tag are none of the element's around it.
+            if place.cut != "tag" or place.name == "form":
+                above.words, above.heads = above.words + place.words, above.heads + place.heads
+    for place in places:
+        place.settle(root.words, weights or {})
+    return out
 
 
 def count(page: str) -> Counter:
-    """How often each place's words and each tag stand inside and outside the one article of a page; else nothing."""
+    """How often each place's and name's words and each tag stand inside and outside the one article of a page; else nothing."""
     if len(re.findall(r"<article\b", page, re.I)) + len(re.findall(r"<main\b", page, re.I)) != 1:
         return Counter()
     out: Counter = Counter()
-    for kind, what, text, outside, article in tokens(page):
-        out[kind, what, article == 2 and not outside] += len(text.split()) if kind == "w" else 1
+    for kind, what, text, place in tokens(page):
+        inside = place.article == 2 and not place.outside
+        if kind == "t":
+            out[kind, what, inside] += 1
+            continue
+        n = len(text.split())
+        out[kind, place.at(), inside] += n
+        for name in place.near:
+            out["n", name, inside] += n
     return out
 
 
@@ -160,42 +226,63 @@ def weigh(counts: Counter) -> dict[tuple[str, str], float]:
         inside, outside = counts[kind, what, True], counts[kind, what, False]
         if inside + outside >= SEEN:
             odds = math.log((inside + 0.5) / (outside + 0.5))
-            out[kind, what] = min(1.0, max(-0.5, odds)) if kind == "w" else min(-0.1, max(-1.0, odds))
+            out[kind, what] = min(-0.1, max(-1.0, odds)) if kind == "t" else min(1.0, max(-0.5, odds))
     return out
 
 
-def extract(page: str, weights: dict[tuple[str, str], float]) -> str:
-    """The main text of one page."""
-    found = list(tokens(page))
-    best, total, start, region = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, what, text, _, article) in enumerate(found):
-        weight = weights.get((kind, what))
-        if weight is None:
-            weight = prior(what) if kind == "w" else -0.1 if what in BLOCKS else -0.5
-        if article:
+def scores(found: list[Token], weights: dict[tuple[str, str], float]) -> list[float]:
+    """What each token adds to a run."""
+    out = []
+    for kind, what, text, place in found:
+        if kind == "w":
+            what = place.at()
+            weight = weights.get((kind, what))
+            weight = prior(what) if weight is None else weight
+            known = [weights["n", n] for n in place.near if ("n", n) in weights]
+            if known:
+                weight = (weight + sum(known) / len(known)) / 2
+        else:
+            weight = weights.get((kind, what))
+            weight = (-0.1 if what in BLOCKS else -0.5) if weight is None else weight
+        if place.article:
             # An advert or a form within an article must not cut it in two.
             weight = max(weight, -0.05)
-        total += weight * len(text.split()) if kind == "w" else weight
+        out.append(weight * len(text.split()) if kind == "w" else weight)
+    return out
+
+
+def best_run(values: list[float]) -> tuple[int, int]:
+    """Where the contiguous run of the highest sum begins and ends; empty if none is above zero."""
+    best, total, start, run = 0.0, 0.0, 0, (0, 0)
+    for i, value in enumerate(values):
+        total += value
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
-            best, region = total, (start, i + 1)
+            best, run = total, (start, i + 1)
+    return run
+
+
+def extract(page: str, weights: dict[tuple[str, str], float]) -> str:
+    """The main text of one page."""
+    found = tokens(page, weights)
     blocks: list[list[str]] = [[]]
-    for kind, what, text, outside, _ in found[slice(*region)]:
+    for kind, what, text, place in found[slice(*best_run(scores(found, weights)))]:
         if kind == "t":
             if what in BREAKS:
                 blocks.append([])
             elif what == "br":
                 blocks[-1].append(" ")
-        elif not outside:
+        elif not place.outside:
             blocks[-1].append(text)
     lines = (" ".join("".join(b).split()) for b in blocks if b)
     return "\n".join(line for line in lines if line)
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", bound: int = BOUND) -> dict:
-    """Weights from at most ``bound`` pages, counted on the executors."""
-    ids = pages.select(F.col(id_col).cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
+    """Weights from at most ``bound`` labelled pages, counted on the executors."""
+    marks = F.regexp_count(html_col, F.lit("(?i)<article\\b")) + F.regexp_count(html_col, F.lit("(?i)<main\\b"))
+    ids = pages.filter(marks == 1).select(F.col(id_col).cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
     chosen = ids.orderBy(F.xxhash64("id"), "id").limit(bound)
     # At most ``bound`` ids.
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), text_of(html_col).alias("html"))

@@ -123,6 +123,61 @@ def test_page_parts_that_are_not_the_article(spark, sf_dir, weights):
         html_text.extract(text, weights)
 
 
+RUNNING = "<p>" + "One two three four five six seven eight nine ten. " * 3 + "</p>"
+NAMED_LIKE_PARTS = (
+    "social-history search-results-study login-info notice-of-award share-price related-work header-file-format comment-on-law "
+    "banner-carriers menu-engineering cookie-recipe promotion-and-relegation navigation-acts alert-fatigue copyright-law "
+    "subscribe-pattern footer-reflex sponsor-history advert-culture popup-theatre widget-theory dialog-of-plato reply-to-critics "
+    "discussion-paper overlay-network modal-logic toolbar-design breadcrumb-sponge pagination-theory masthead-history "
+    "complementary-angles signup-sheet-1900 newsletter-archive-1800 sharing-economy navbar-design ads-b-signals gdpr-text "
+    "consent-theory notification-theory recommended-daily-intake"
+).split()
+
+
+@pytest.mark.parametrize("weights", [{}, None])
+def test_names_that_only_contain_a_part_do_not_cut(spark, sf_dir, weights):
+    weights = html_text.fit(table(spark, sf_dir, "pages")) if weights is None else weights
+    nav = "<nav><a href=x>Home</a> <a href=y>News</a></nav>"
+    line = " ".join(("One two three four five six seven eight nine ten. " * 3).split())
+    assert len(NAMED_LIKE_PARTS) == 40
+    for name in NAMED_LIKE_PARTS:
+        for kind in ("class", "id"):
+            inside = f"<article>{RUNNING}<p {kind}='{name}'>Some more of it.</p><div {kind}={name}>{RUNNING}</div></article>"
+            got = html_text.extract(f"<body>{nav}{inside}<footer>c</footer></body>", weights)
+            assert got.split("\n") == [line, "Some more of it.", line], name
+    whole = f"<main><section id='social-history'><h2>Old</h2>{RUNNING}{RUNNING}</section></main>"
+    assert html_text.extract(f"<body>{nav}{whole}</body>", weights) == f"Old\n{line}\n{line}"
+    for head in ("", "<h1>Head</h1>"):
+        form = f"<body><form id=aspnetForm>{nav}<div>{head}{RUNNING}{RUNNING}</div><footer>c</footer></form></body>"
+        assert html_text.extract(form, weights).split("\n")[-2:] == [line, line]
+    # Links, whole names and long reader comments are still cut.
+    rest = (
+        "<div class=related-posts><p>Read that</p></div><div class=share-this-story><a href=x>tweet it</a></div>"
+        f"</article><section id=comments><article class=comment>{RUNNING * 9}</article></section>"
+    )
+    assert html_text.extract(f"<body><article>{RUNNING}{rest}</body>", weights) == line
+
+
+def test_names_have_weights_from_labelled_pages(spark):
+    inside = f"<article><div class='login-info'>{RUNNING}</div></article>"
+    outside = f"<body><div class='ad-teaser'>{RUNNING}</div><article>{RUNNING}</article></body>"
+    unmarked = [(i, f"<p>{i}</p>") for i in range(3_000)]
+    frame = spark.createDataFrame([*unmarked, (4_000, inside), (4_001, outside), (4_002, outside)], "page_id bigint, html string")
+    # The bound counts labelled pages only.
+    weights = html_text.fit(frame, bound=3)
+    assert weights["n", "info"] > 0 > weights["n", "teaser"]
+    assert html_text.extract(f"<article>{RUNNING}<p class=teaser-ad>Not this.</p></article>", weights).count("Not") == 0
+    assert html_text.extract(f"<article>{RUNNING}<p class=ad-info>But this.</p></article>", weights).count("But") == 1
+
+
+def test_best_run_equals_brute_force():
+    random.seed(3)
+    for n in [0, 1, 2, *range(3, 40)] * 5:
+        values = [random.choice((-2, -1, -0.5, 0, 0.5, 1, 3)) for _ in range(n)]
+        a, b = html_text.best_run(values)
+        assert sum(values[a:b]) == max([0, *(sum(values[i:j]) for i in range(n) for j in range(i + 1, n + 1))])
+
+
 def test_archives_come_back_whole(spark, pages):
     got = warc.archive(pages).collect()
     first = {}
