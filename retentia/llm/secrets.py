@@ -2,9 +2,10 @@
 
 Ordinary words and names come out of a tokenizer as few long tokens, random strings as
 many short ones. Every run of key characters with few characters per token is reported, fewer if it has
-no digit, unless it is a known digest (hexadecimal of a usual digest length), a UUID, a
-number, a date or a version. The patterns' matches are always reported; of a run
-that overlaps them what is left is looked at. A run that is not random as a whole is looked at again without the
+no digit, unless it is a known digest (hexadecimal of a usual digest length, base64 behind the digest's name), a UUID,
+a ULID, a pod's name, a number, a date, a version, a path, an alphabet, or spelled with four letters. The patterns'
+matches are always reported; of a run that overlaps them what is left is looked at. A run that is not random as a whole,
+or that consists of readable words and numbers for the most part, is looked at again without the
 readable words at its ends, then part by part between its separators.
 
 Offsets are code points, the end is exclusive. Null texts are empty and have no spans. Repeated
@@ -18,7 +19,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 import tiktoken
@@ -46,7 +47,25 @@ UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-f
 KNOWN = re.compile(
     r"[0-9_+=/-]+"  # numbers, dates, rulers
     r"|(https?|ftp)?/?/[a-z0-9/_-]+"  # paths
+    r"|0[0-3][0-9A-HJKMNP-TV-Z]{24}"  # ULIDs of the years 1970 to 2109
 )
+#: Names of pods: words, a hash and a suffix in letters that cannot spell.
+POD = re.compile(
+    r"(?<![A-Za-z0-9-])(?:[a-z]{1,20}[0-9]{0,3}-)+[bcdfghjklmnpqrstvwxz2456789]{8,10}-[bcdfghjklmnpqrstvwxz2456789]{5}(?![A-Za-z0-9-])"
+)
+#: Digests in base64 behind their names, as in subresource integrity.
+NAMED_DIGEST = re.compile(
+    r"(?<![A-Za-z0-9])(?:sha-?256[-_=/:]?[A-Za-z0-9+/_-]{43}=?|sha-?384[-_=/:]?[A-Za-z0-9+/_-]{64}"
+    r"|sha-?512[-_=/:]?[A-Za-z0-9+/_-]{86}={0,2})(?![A-Za-z0-9+/])",
+    re.IGNORECASE | re.ASCII,
+)
+
+
+def alphabet(run: str) -> bool:
+    """Whether a run counts up, repeats, or is spelled with four letters."""
+    codes = [ord(c) for c in run]
+    steps = sum(-1 <= b - a <= 1 for a, b in pairwise(codes))
+    return 2 * steps >= len(run) or len(set(run.lower())) <= 4
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -83,12 +102,16 @@ class Scanner:
 
     def key(self, run: str) -> bool:
         """Whether a run is long and random as a whole."""
-        if len(run) < self.least or KNOWN.fullmatch(run):
+        if len(run) < self.least or KNOWN.fullmatch(run) or alphabet(run):
+            return False
+        parts = PART.findall(run)
+        # Part numbers, names and paths: words and numbers shorter than a key hold half of the run or more.
+        if 2 * sum(len(p) for p in parts if len(p) < self.least and READABLE.fullmatch(p)) >= sum(map(len, parts)):
             return False
         if re.search(r"[0-9]", run):
             return self.dense(run, self.ratio)
         # Spelled-out letters (a-b-c) are no key.
-        return any(2 * len(p) >= self.least for p in PART.findall(run)) and self.dense(run, self.plain)
+        return any(2 * len(p) >= self.least for p in parts) and self.dense(run, self.plain)
 
     def keys(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
         """The random strings in a run: all of it, or without the readable parts at its ends, or single parts."""
@@ -111,7 +134,9 @@ class Scanner:
         reach = list(accumulate((e for _, _, e in base), max))
         for m in self.run.finditer(text):
             a, b = m.span()
-            taken = [u.span() for u in UUID.finditer(text, a, b)]
+            taken = [u.span() for known in (UUID, POD) for u in known.finditer(text, a, b)]
+            # The name of a digest may stand before the run, behind a colon.
+            taken += [d.span() for d in NAMED_DIGEST.finditer(text, max(0, a - 8), b)]
             taken += [d.span() for d in PART.finditer(text, a, b) if len(d[0]) in DIGESTS and HEX.fullmatch(d[0])]
             # Matches that reach into the run: from the first whose reach passes its start.
             taken += [(s, e) for s, _, e in base[bisect_right(reach, a) : bisect_left(starts, b)]]
