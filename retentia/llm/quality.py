@@ -3,8 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded by what its
 characters and words look like; an embedding layer and a gated attention layer are learned
 from the document labels alone; the score comes from the attention-weighted mean of the passages'
-embeddings. The fit uses at most ``bound`` labelled documents, those of lowest id hash; scoring
-covers every word of every document.
+embeddings. The fit uses at most ``bound`` labelled documents, those of lowest id hash, and of each at most
+``PASSAGES`` passages, evenly spaced over the whole text; scoring covers every word of every document.
 
 Null texts count as empty; a text without words is one passage without content, and gets the score the
 model gives that. Without labels of both classes every document scores the share of label 1 (0.5
@@ -31,8 +31,8 @@ BIGRAMS = 48
 CLASSES = 13
 LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 1 << 30])
 FEATURES = CLASSES + len(LENGTHS) + 8 + BIGRAMS
-#: Labelled documents that a fit reads at most.
-BOUND = 3_000
+#: Labelled documents that a fit reads at most, and passages that it takes from each of them.
+BOUND, PASSAGES = 3_000, 256
 
 
 def _classes() -> np.ndarray:
@@ -182,15 +182,20 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = 250, hid
     return model
 
 
+def _spread(a: int, b: int, most: int) -> np.ndarray:
+    """The numbers from ``a`` up to ``b``, or ``most`` of them at even distances."""
+    return np.arange(a, b) if b - a <= most else a + np.arange(most) * (b - a) // most
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "quality", bound: int = BOUND,
+    label_col: str = "quality", bound: int = BOUND, passages: int = PASSAGES,
 ) -> Model:
-    """Learns from the labelled documents that are not held out, ``bound`` of them at most."""
+    """Learns from the labelled documents that are not held out, ``bound`` of them at most, ``passages`` from each."""
     known = (
         labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id"))
@@ -207,7 +212,7 @@ def fit(
         for batch in slices(batches, "text", 1 << 20):
             x, owner = encode(batch.column("text").to_pylist(), classes)
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
-            packed = [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            packed = [x[_spread(a, b, passages)].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "x"]
             )

@@ -1,5 +1,6 @@
 """BPE, quality, secrets, licenses and decontamination against libraries, brute force and held-out labels."""
 
+import base64
 import hashlib
 import random
 import re
@@ -133,6 +134,19 @@ def test_quality_gradient_lowers_the_loss():
     assert ((p >= 0.5) == y).mean() > 0.9
 
 
+def test_quality_fit_takes_a_bounded_number_of_passages(spark, monkeypatch):
+    assert quality._spread(5, 9, 4).tolist() == [5, 6, 7, 8]
+    assert quality._spread(10, 1010, 4).tolist() == [10, 260, 510, 760]
+    long = "some words of a text that goes on and on " * 40_000
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, long if i == ids[0] else f"text {i} " * 300) for i in ids], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, owner, y, **_: seen.append(np.bincount(owner)))
+    quality.fit(docs, labels)
+    assert max(seen[0]) == quality.PASSAGES and len(seen[0]) == len(ids)
+
+
 def base_spans(text):
     out = []
     for k, (pattern, least, any_case) in enumerate(secrets.KINDS.values()):
@@ -199,6 +213,33 @@ def test_random_strings_without_digits_beside_readable_parts_and_beside_matches(
         assert found(text) == [], text
 
 
+def test_known_digests_and_identifiers_are_no_random_strings():
+    scanner = secrets.Scanner(secrets.ranks(RANKS))
+    found = lambda text: [text[a:b] for a, _, b in scanner.random(text, scanner.base(text))]
+    rng = random.Random(4)
+    for size, name in ((32, "sha256"), (48, "sha384"), (64, "sha512")):
+        for mark in "-:":
+            for _ in range(50):
+                known = name + mark + base64.b64encode(rng.randbytes(size)).decode()
+                assert found(f'integrity="{known}" crossorigin') == [], known
+    for text in (
+        "01ARZ3NDEKTSV4RRFFQ69G5FAV",
+        "web-frontend-7d4b9c6f5d-x2k9p",
+        "/usr/lib/x86_64-linux-gnu/libstdc++",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+        "SKU-4471-BLK-0092-XL",
+        "GATTACAGATTACACCGGTTAACG",
+        "ACGT" * 3 + "AACCGGTTACAGAT",
+    ):
+        assert found(f"see {text} here") == [], text
+    # A key beside one of them is still found, and so are base64 strings with their own separators.
+    key = "sk9Xq2LmZ7RtV4bN8wYc3HdP"
+    assert key in "".join(found(f"web-frontend-7d4b9c6f5d-x2k9p={key}"))
+    keys = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(200)]
+    assert sum(found(f"see {k} here") == [k] for k in keys) >= 195
+
+
 def test_licenses(spark, docs):
     mit = licenses.NOTICES["MIT"][0]
     rows = [
