@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that count as white space in the operators' contracts: space, tab to carriage return.
@@ -54,3 +54,11 @@ def without(docs: DataFrame, dropped: DataFrame, key: Column, id_col: str) -> Da
     marked = docs.withColumn(mark, key)
     same = (marked[mark] == gone["_gone_key"]) & marked[f"`{id_col}`"].eqNullSafe(gone["_gone_id"])
     return marked.join(gone, same, "left_anti").drop(mark)
+
+
+def one_of_each(docs: DataFrame, key: Column, order: Column) -> DataFrame:
+    """The first row of ``docs`` in ``order`` for each ``key``."""
+    name = "_".join(["repeat", *docs.columns])
+    first = Window.partitionBy(name).orderBy(order)
+    ranked = docs.withColumn(name, key).withColumn(f"{name}_n", F.row_number().over(first))
+    return ranked.filter(F.col(f"{name}_n") == 1).drop(name, f"{name}_n")

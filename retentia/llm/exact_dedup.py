@@ -23,10 +23,10 @@ from heapq import merge
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import WHITE, text_of, without
+from retentia.llm.common import WHITE, one_of_each, text_of, without
 from retentia.sources.tables import materialize
 
 #: Runs that one merge takes in; a power of two, so that a round is three steps of a binomial tree.
@@ -176,7 +176,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if repeats.isEmpty():
         return left
     # Rows that repeat the id and code points of the row that stays: one is left, also among null ids.
-    name = "_".join(["repeat", *left.columns])
-    first = Window.partitionBy(name).orderBy(text_of(text_col))
-    ranked = left.withColumn(name, mark).withColumn(f"{name}_n", F.row_number().over(first))
-    return ranked.filter(F.col(f"{name}_n") == 1).drop(name, f"{name}_n")
+    return one_of_each(left, mark, text_of(text_col))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import slices, text_of, without
+from retentia.llm.common import one_of_each, slices, text_of, without
 from retentia.llm.components import components
 from retentia.sources.tables import materialize
 
@@ -277,8 +277,8 @@ def group(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, key, fp, fingerprint, component_id, stays.
 
-    ``stays`` marks the smallest id of each component (with null ids only: the one whose text
-    has the smallest hash).
+    ``stays`` marks the smallest id of each component (of rows that repeat it, those whose text
+    has the smallest hash; the same among null ids if there are no others).
     """
     marks = fingerprints(docs, id_col, text_col, words, seed)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least")
@@ -290,7 +290,8 @@ def group(
         ),
         "named",
     )
-    best = named.groupBy("root").agg(F.min("least").alias("best"))
+    # Written, so that both sides of the join are plain exchanges and Spark can split a hot root.
+    best = materialize(named.groupBy("root").agg(F.min("least").alias("best")), "best")
     chosen = named.select("fp", "root").join(best, "root").select("fp", "best")
     return marks.join(chosen, "fp").select(
         "doc_id",
@@ -298,10 +299,7 @@ def group(
         "fp",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("best.doc_id").alias("component_id"),
-        (
-            F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
-            & (F.col("doc_id").isNotNull() | (F.col("key") == F.col("best.key")))
-        ).alias("stays"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("stays"),
     )
 
 
@@ -310,9 +308,11 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each component.
 
-    Rows that repeat the id of the document that stays all stay.
+    Of rows that repeat both the id and the text of the document that stays, any one stays.
     """
-    dropped = materialize(
-        group(docs, id_col, text_col, words, bits, seed).filter(~F.col("stays")).select("doc_id", "key"), "dropped"
-    )
-    return without(docs, dropped, text_key(text_col), id_col)
+    found = materialize(group(docs, id_col, text_col, words, bits, seed).select("doc_id", "key", "stays"), "decided")
+    left = without(docs, found.filter(~F.col("stays")), text_key(text_col), id_col)
+    if found.filter("stays").groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+        return left
+    key = F.struct(F.col(f"`{id_col}`"), text_key(text_col))
+    return one_of_each(left, key, text_of(text_col))

@@ -149,6 +149,18 @@ def test_simhash_leaves_one_document_of_each_group(spark):
     assert left.count() == len(set(root))
 
 
+def test_simhash_leaves_one_row_of_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, long), (1, long + " end"), (1, long), (2, long), (3, "other words of a text"), (3, "other words of a text"), (3, "no such thing here")]
+    rows += [(None, "x"), (None, "x"), (None, " x")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, fp int").repartition(3)
+    marks = {t: slow_fingerprint(t) for _, t in rows}
+    assert len(set(slow_components(list(marks.values())))) == 4
+    left = simhash.keep_one(docs).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["1", "3", "3", "None"]
+    assert len({r.text for r in left if r.doc_id == 3}) == 2
+
+
 def test_very_long_text_counts_in_pieces():
     text = " ".join(f"word{i % 977}" for i in range(100_000))
     words = text.split()
