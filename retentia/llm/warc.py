@@ -1,6 +1,6 @@
 """WARC archives of pages, and one globally ordered index of their captures.
 
-Writing: records with equal payloads are found by digest; the one of the smallest id is a
+Writing: records with equal payloads are found by SHA-1, a second hash and size; the one of the smallest id is a
 response, the others are revisits that refer to it. Pages are dealt to archives at random by
 id and sorted by URL key, time and id within each, so every archive is a sorted run. The text
 writer puts a blank line after each record, which is what WARC asks for, and commits through Spark, so the
@@ -37,8 +37,8 @@ EPOCH = "2024-01-01T00:00:00Z"
 RECORD_ID = "urn:capture:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Payload bytes of one archive, about.
-ARCHIVE = 8 << 20
+#: Payload bytes of one archive, and captures that one merging task holds, about.
+ARCHIVE, RANGE = 128 << 20, 200_000
 CRLF = "\r\n"
 
 
@@ -54,9 +54,10 @@ def base32_sha1(payload: Column) -> Column:
 
 def url_key(url: str) -> Column:
     """The host's labels from the last to the first, then the path and query: neighbours are pages of one site."""
-    text = F.lower(F.coalesce(F.col(url).cast("string"), F.lit("")))
-    host = F.regexp_extract(text, r"(?s)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    rest = F.regexp_replace(F.regexp_replace(text, r"(?s)^[a-z][a-z0-9+.-]*://[^/?#]*", ""), r"(?s)#.*$", "")
+    text = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    host = F.lower(F.regexp_extract(text, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    # Paths and queries tell letters of both cases apart.
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"(?s)#.*$", "")
     labels = F.reverse(F.split(F.regexp_replace(host, r"^www\.", ""), r"\."))
     return F.concat(F.array_join(labels, ","), F.lit(")"), rest)
 
@@ -83,20 +84,21 @@ def write(
         url_key(url_col).alias("key"),
         F.coalesce(when, F.lit(EPOCH)).alias("time"),
         text_of(html_col).alias("html"),
-    ).withColumns({"bytes": F.octet_length("html").cast("bigint"), "digest": base32_sha1(F.col("html"))})
+    ).withColumns({"bytes": F.octet_length("html").cast("bigint"), "digest": base32_sha1(F.col("html")), "second": F.xxhash64("html")})
     # Digests and sizes are found once; only they are grouped and joined, never the pages.
-    marks = materialize(rows.select("id", "bytes", "digest"), "digests")
+    marks = materialize(rows.select("id", "bytes", "digest", "second"), "digests")
     several = (
         marks.filter(F.col("bytes") >= least)
-        .groupBy("digest", "bytes")
+        .groupBy("digest", "second", "bytes")
         .agg(F.min("id").alias("first"), F.count("*").alias("n"))
         .filter("n > 1 AND first IS NOT NULL")
-        .select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first")
+        .select(F.col("digest").alias("d"), F.col("second").alias("s"), F.col("bytes").alias("b"), "first")
     )
     # Only digests that more than one page has: broadcast while Spark finds them small, else joined by a shuffle.
     several = materialize(several, "several")
     size = marks.agg(F.sum("bytes")).first()[0] or 0
-    rows = rows.join(several, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    same = (F.col("digest") == F.col("d")) & (F.col("second") == F.col("s")) & (F.col("bytes") == F.col("b"))
+    rows = rows.join(several, same, "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(
@@ -120,7 +122,9 @@ def write(
     dealt = rows.withColumn("block", block).select(
         "key", "time", "id", record.alias("value"), F.xxhash64("id", "digest", "url").alias("deal")
     )
-    dealt = dealt.repartition(max(1, -(-size // archive)), "deal").sortWithinPartitions("key", "time", "id")
+    # Small inputs are written by all cores, in archives of 8 MB or more.
+    files = max(-(-size // archive), min(pages.sparkSession.sparkContext.defaultParallelism, -(-size // (8 << 20))), 1)
+    dealt = dealt.repartition(files, "deal").sortWithinPartitions("key", "time", "id")
     dealt.select("value").write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
     return path
 
@@ -267,19 +271,19 @@ def index(captures: DataFrame) -> DataFrame:
         if block:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in block], schema=kinds)
 
-    # Ranges of the global order; within one, the pieces of each archive's run come sorted by offset.
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Ranges of the global order, ``RANGE`` captures or fewer in each; the pieces of each archive's run come sorted by offset.
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE))
     ranged = captures.repartitionByRange(width, "key", "time", F.col("page_id").asc_nulls_last(), "file", "offset")
     return ranged.sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def archive(
     pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    time_col: str | None = None, least: int = 0,
+    time_col: str | None = None, least: int = 0, size: int = ARCHIVE,
 ) -> DataFrame:
     """Writes the archives, reads them back and returns the merged index of all captures."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write(pages, path, id_col, url_col, html_col, time_col, least)
+    write(pages, path, id_col, url_col, html_col, time_col, least, size)
     # The ranges are found by a look at the captures first; they are parsed once.
     return index(materialize(read(spark, path), "captures"))

@@ -204,6 +204,19 @@ def test_least_payload_and_payload_texts(spark, pages, tmp_path):
     assert sorted(r.payload for r in rows) == sorted(h or "" for _, _, h in PAGES)
 
 
+def test_url_keys_fold_the_host_only(spark):
+    urls_ = ["HTTP://WWW.Example.ORG/Wiki?id=A#f", "http://example.org/wiki?id=a", None]
+    frame = spark.createDataFrame([(u,) for u in urls_], "url string")
+    assert [r[0] for r in frame.select(warc.url_key("url")).collect()] == ["org,example)/Wiki?id=A", "org,example)/wiki?id=a", ")"]
+
+
+def test_index_ranges_grow_with_the_captures(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 1)
+    got = warc.archive(pages, size=50_000).collect()
+    order = [(r.key, r.time, r.page_id is None, r.page_id or 0) for r in got]
+    assert order == sorted(order) and len(got) == len(PAGES)
+
+
 def test_broken_archives_are_refused():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [x[1] for x in warc.records(good * 2)] == [b"abc", b"abc"]
