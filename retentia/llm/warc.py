@@ -2,12 +2,14 @@
 
 Writing: records with equal payloads are found by SHA-1, a second hash and size; the one of the smallest id is a
 response, the others are revisits that refer to it. Pages are dealt to archives at random by
-id and sorted by URL key, time and id within each, so every archive is a sorted run. The text
-writer puts a blank line after each record, which is what WARC asks for, and commits through Spark, so the
-archives can lie in any file system and survive lost executors.
+id and sorted by URL key, time and id within each, so every archive is a sorted run. Each record is a gzip
+member of its own, so that a reader can seek to an offset of the index and unpack that record alone. The text
+writer commits them through Spark, so the archives can lie in any file system and survive lost executors; the
+separator that it puts behind each row is the zero byte that a member ends with.
 
 Reading: each archive is parsed record by record by its content lengths, payload digests are
-checked, and the captures (with file, offset and length) form one sorted run per archive. Runs are
+checked, and the captures (with file, offset and length) form one sorted run per archive. Offset and length are
+the record's member's, in an archive that is not packed the record's. Runs are
 cut by key range and the pieces of a range are merged by a loser tree, which gives the capture history of every
 URL in order, range after range.
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.common import text_of
+from retentia.llm.common import slices, text_of
 from retentia.sources.tables import materialize, scratch_path
 
 #: The time of captures that have none of their own.
@@ -39,6 +41,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payload bytes of one archive, and captures that one merging task holds, about.
 ARCHIVE, RANGE = 128 << 20, 200_000
+#: Bytes of records packed at once, and bytes of a member unpacked at once.
+PACK, UNPACK = 1 << 22, 1 << 16
 CRLF = "\r\n"
 
 
@@ -66,6 +70,21 @@ def _header(name: str, value: Column | str) -> Column:
     return F.concat(F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value, F.lit(CRLF))
 
 
+def member(record: bytes) -> bytes:
+    """The record as a gzip member that ends with a zero byte."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = pack.compress(record) + pack.flush()
+    # The last four bytes are the size, lowest byte first. From 16 MB on an empty member follows, whose size is zero.
+    return out if out[-1] == 0 else out + member(b"")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The member of each record without its last byte, which the writer adds."""
+    for batch in slices(batches, "value", PACK):
+        members = [member(r)[:-1] for r in batch.column("value").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
+
+
 def write(
     pages: DataFrame,
     path: str,
@@ -76,7 +95,7 @@ def write(
     least: int = 0,
     archive: int = ARCHIVE,
 ) -> str:
-    """Writes the archives below ``path`` (gzip). Payloads below ``least`` bytes are never revisits."""
+    """Writes the archives below ``path``, a gzip member per record. Payloads below ``least`` bytes are never revisits."""
     when = F.date_format(F.col(time_col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_col else F.lit(None)
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("id"),
@@ -118,14 +137,16 @@ def write(
         _header("Content-Length", F.octet_length("block").cast("string")),
         F.lit(CRLF),
         F.col("block"),
-    )
+        F.lit(CRLF * 2),
+    ).cast("binary")
     dealt = rows.withColumn("block", block).select(
         "key", "time", "id", record.alias("value"), F.xxhash64("id", "digest", "url").alias("deal")
     )
     # Small inputs are written by all cores, in archives of 8 MB or more.
     files = max(-(-size // archive), min(pages.sparkSession.sparkContext.defaultParallelism, -(-size // (8 << 20))), 1)
     dealt = dealt.repartition(files, "deal").sortWithinPartitions("key", "time", "id")
-    dealt.select("value").write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    packed = dealt.select("value").mapInArrow(_packed, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
     return path
 
 
@@ -133,7 +154,7 @@ HEAD = re.compile(rb"WARC/1\.\d\r\n((?:[^\r\n]+\r\n)*)\r\n")
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, block, offset, length) of every record of an unpacked archive; raises on a broken one."""
+    """(headers, block, offset, length) of every record of unpacked bytes; raises on a broken one."""
     at = 0
     while at < len(data):
         m = HEAD.match(data, at)
@@ -148,16 +169,31 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
         at = end + 4
 
 
-def unpacked(data: bytes) -> bytes:
-    """An archive's bytes; gzip members, if any, are unpacked one after another."""
+def members(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(unpacked bytes, offset, length) of every gzip member; raises on one that is broken or cut off."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        start, unpack, out = at, zlib.decompressobj(31), []
+        while not unpack.eof:
+            piece = view[at : at + UNPACK]
+            if not len(piece):
+                raise ValueError(f"the member at byte {start} is cut off")
+            try:
+                out.append(unpack.decompress(piece))
+            except zlib.error as error:
+                raise ValueError(f"no member at byte {start}") from error
+            at += len(piece) - len(unpack.unused_data)
+        yield b"".join(out), start, at - start
+
+
+def archived(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """The records of an archive. In a packed one, offset and length are those of the member that holds the record."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
+        yield from records(data)
+        return
+    for content, offset, length in members(data):
+        for headers, block, _, _ in records(content):
+            yield headers, block, offset, length
 
 
 CAPTURE = (
@@ -180,7 +216,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 file, rows = batch.column("path")[k].as_py(), []
-                for h, block, offset, length in records(unpacked(batch.column("content")[k].as_py())):
+                for h, block, offset, length in archived(batch.column("content")[k].as_py()):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = int(re.search(rb"Content-Length: (\d+)", head)[1])
                     digest = h["warc-payload-digest"].removeprefix("sha1:")

@@ -1,12 +1,14 @@
 """URL filters, page texts and WARC archives; the queries and the pipeline as registered."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -225,6 +227,37 @@ def test_broken_archives_are_refused():
             list(warc.records(bad))
 
 
+def test_an_offset_leads_to_its_record_alone(spark, tmp_path):
+    """Records of 16 MB and more too, whose size does not end with a zero byte."""
+    htmls = ["<p>é</p>", "", None, "x" * (17 << 20), "y" * (16 << 20), "\x00\x1f", "<p>é</p>"]
+    pages = spark.createDataFrame(list(enumerate(htmls)), "page_id bigint, html string").withColumn("url", F.lit("http://a.org/"))
+    rows = warc.archive(pages, f"file://{tmp_path}/w", size=1 << 20).collect()
+    assert sorted(r.page_id for r in rows) == list(range(7))
+    assert len({r.file for r in rows}) > 1
+    for r in rows:
+        with open(r.file.removeprefix("file:"), "rb") as file:
+            file.seek(r.offset)
+            ((headers, block, start, length),) = warc.records(gzip.decompress(file.read(r.length)))
+        assert headers["warc-record-id"] == f"<urn:capture:{r.page_id}>" and start == 0
+        assert block.partition(b"\r\n\r\n")[2].decode() == ((htmls[r.page_id] or "") if r.record_type == "response" else "")
+    for name in {r.file for r in rows}:
+        with gzip.open(name.removeprefix("file:")) as file:
+            assert len(list(warc.records(file.read()))) == sum(r.file == name for r in rows)
+
+
+def test_members():
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    one = gzip.compress(good, mtime=0)
+    assert [x[1:] for x in warc.archived(one * 2)] == [(b"abc", 0, len(one)), (b"abc", len(one), len(one))]
+    assert [x[1:] for x in warc.archived(good * 2)] == [(b"abc", 0, len(good) - 4), (b"abc", len(good), len(good) - 4)]
+    for bad in (one[:-1], one + b"\x00", one + good, one[:-8] + bytes(8)):
+        with pytest.raises(ValueError):
+            list(warc.archived(bad))
+    for size in (0, 1, 255, 65_536, (1 << 24) - 1, 1 << 24):
+        packed = warc.member(bytes(size))
+        assert packed[-1] == 0 and gzip.decompress(packed) == bytes(size)
+
+
 def test_loser_tree():
     random.seed(1)
     for n in range(1, 18):
