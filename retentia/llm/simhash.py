@@ -5,11 +5,14 @@ segment. The Manhattan distance of these counts never exceeds the number of diff
 so it prunes without losing a pair. The counts are written in unary (0, 01, 11), so that the
 distance is the popcount of an exclusive or. Segments form ``b`` blocks; a distance of at
 most ``bits`` leaves ``b - bits`` blocks with equal counts, so two linked fingerprints share a
-cell in one of the grids, one per choice of ``b - bits`` blocks. ``b`` grows with the
-logarithm of the number of distinct fingerprints, so that a cell holds a few of them. Pairs within a
+cell in one of the grids, one per choice of ``b - bits`` blocks. There are 15 grids for four bits up to
+10^10 distinct fingerprints, so the copies of a fingerprint that are shuffled do not grow with the table. Cells do,
+and one of over ``FEW`` members is split again in its task: the segments in which its members may differ form blocks
+once more, as many as leave a few members to a finer cell, and each choice of them is one sort. A cell of
+over ``MOST`` members, too many for a task, is dealt by finer grids in a second shuffle. Pairs within a
 cell are kept if the Manhattan distance and then the bits themselves allow it.
 
-Cells emit a spanning forest, never all pairs. The members of a cell with over ``CROWDED``
+Cells emit a spanning forest, never all pairs. The members of a finer cell with over ``CROWDED``
 fingerprints are linked through the balls around them instead: two fingerprints differ in at
 most ``bits`` bits exactly if some value lies within half of that of both, and all that share
 such a value are linked, which costs the same for each member however many there are.
@@ -37,8 +40,12 @@ from retentia.llm.components import components
 from retentia.sources.tables import materialize
 
 SEGMENTS = 32
-#: Fingerprints of a cell above which its members are linked by balls and not by pairs.
+#: Fingerprints of a finer cell above which its members are linked by balls and not by pairs.
 CROWDED = 16_384
+#: Fingerprints above which a cell is split again in its task, and above which in a second shuffle.
+FEW, MOST = 512, 1 << 20
+#: Logarithms of how many random fingerprints a cell may hold: a shuffled one, and a finer one within a task.
+WIDE, NARROW = 19, 3
 #: Shingles whose bits are counted at once, and rows of cells compared at once.
 CHUNK, ROWS = 32_768, 65_536
 
@@ -97,15 +104,19 @@ def embed(fp: Column) -> Column:
     return one.bitwiseOR(F.shiftleft(two, 1))
 
 
-def grids(n: int, bits: int) -> list[int]:
-    """The masks of the blocks that each grid compares, for ``n`` distinct fingerprints."""
-    need = math.log2(max(n, 2)) - 3
+def grids(n: int, bits: int, taken: int = 0, spare: int = WIDE) -> list[int]:
+    """The masks of the blocks that each grid compares, for ``n`` distinct fingerprints.
+
+    They leave out the segments of the mask ``taken``, in which the fingerprints agree already.
+    """
+    free = [s for s in range(SEGMENTS) if not taken >> 2 * s & 3]
+    need = math.log2(max(n, 2)) - spare
     blocks = bits + 2
     # Two random segments agree in their counts with probability 3/8.
-    while blocks < SEGMENTS and (blocks - bits) / blocks * SEGMENTS * 1.415 < need:
+    while blocks < len(free) and (blocks - bits) / blocks * len(free) * 1.415 < need:
         blocks += 1
-    cuts = [SEGMENTS * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in zip(cuts, cuts[1:], strict=False)]
+    cuts = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(3 << 2 * s for s in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     return [_signed(sum(chosen)) for chosen in combinations(parts, blocks - bits)]
 
 
@@ -144,20 +155,56 @@ def _forest(cell: np.ndarray, fp: np.ndarray, near: np.ndarray, bits: int) -> tu
     return moved, root[moved]
 
 
-def links_in_cells(bits: int, crowded: int):
-    """The worker function over rows sorted by grid and cell; crowded cells come out as (fp, null)."""
+def links_in_cells(bits: int, crowded: int, masks: dict[int, int], most: int, again: bool):
+    """The worker function over rows sorted by grid and cell; ``masks`` are those of the grids.
 
-    def solve(pieces: list[tuple]) -> pa.RecordBatch | None:
+    Links come out as (u, v), members of crowded finer cells as (fp, null). Cells of over ``most`` members come out as
+    (fp, null, grid, cell) to be dealt ``again``, or else as crowded ones.
+    """
+    few = min(FEW, crowded)
+
+    def out(u: np.ndarray, v: np.ndarray | None = None, grid: np.ndarray | None = None, cell: np.ndarray | None = None):
+        columns = [pa.array(u.view(np.int64))]
+        columns.append(pa.nulls(len(u), pa.int64()) if v is None else pa.array(v.view(np.int64)))
+        columns.append(pa.nulls(len(u), pa.int32()) if grid is None else pa.array(grid, pa.int32()))
+        columns.append(pa.nulls(len(u), pa.int64()) if cell is None else pa.array(cell, pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, ["u", "v", "grid", "cell"])
+
+    def split(grid: int, fp: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        links, dense = [], []
+        for mask in grids(len(fp), bits, masks[grid], NARROW):
+            finer = near & np.uint64(mask % (1 << 64))
+            order = np.argsort(finer, kind="stable")
+            finer = finer[order]
+            new = np.r_[True, finer[1:] != finer[:-1]]
+            widths = np.diff(np.r_[np.flatnonzero(new), len(finer)])
+            thin = np.repeat(widths <= crowded, widths)
+            dense.append(fp[order[~thin]])
+            some = fp[order[thin]]
+            rows, roots = _forest(np.cumsum(new)[thin], some, near[order[thin]], bits)
+            links.append(np.stack([some[rows], some[roots]]))
+        pairs, crowd = np.unique(np.concatenate(links, axis=1), axis=1), np.unique(np.concatenate(dense))
+        if pairs.shape[1]:
+            yield out(pairs[0].copy(), pairs[1].copy())
+        if len(crowd):
+            yield out(crowd)
+
+    def solve(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
         grid, cell, fp, near = (np.concatenate(x) for x in zip(*pieces, strict=True))
         new = np.r_[True, (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1])]
-        rows, roots = _forest(np.cumsum(new), fp, near, bits)
-        if not len(rows):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(fp[roots].view(np.int64))], ["u", "v"])
+        starts = np.flatnonzero(new)
+        widths = np.diff(np.r_[starts, len(fp)])
+        small = np.repeat(widths <= few, widths)
+        some = fp[small]
+        rows, roots = _forest(np.cumsum(new)[small], some, near[small], bits)
+        if len(rows):
+            yield out(some[rows], some[roots])
+        for a, n in zip(starts[widths > few].tolist(), widths[widths > few].tolist(), strict=True):
+            yield from split(int(grid[a]), fp[a : a + n], near[a : a + n])
 
     def alone(pieces: list[tuple]) -> pa.RecordBatch:
-        fp = np.concatenate([p[2] for p in pieces]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64())], ["u", "v"])
+        grid, cell, fp, _ = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        return out(fp, None, grid, cell) if again else out(fp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list[tuple] = []  # complete cells that wait
@@ -186,7 +233,7 @@ def links_in_cells(bits: int, crowded: int):
                     last, size, over, at = [], 0, False, here
                 last.append(tuple(c[a:b] for c in columns))
                 size += b - a
-                if size > crowded:
+                if size > most:
                     over = True
                     yield alone(last)
                     last = [tuple(c[:0] for c in columns)]
@@ -196,10 +243,10 @@ def links_in_cells(bits: int, crowded: int):
                         held += size
                     last, size, over, at = [], 0, False, None
                     widths = np.diff([*[x for x in bounds if middle[0] <= x <= middle[1]]])
-                    if widths.max(initial=0) > crowded:
+                    if widths.max(initial=0) > most:
                         for lo, hi in zip(bounds[1:-2], bounds[2:-1], strict=True):
                             piece = tuple(c[lo:hi] for c in columns)
-                            if hi - lo > crowded:
+                            if hi - lo > most:
                                 yield alone([piece])
                             else:
                                 whole.append(piece)
@@ -208,13 +255,12 @@ def links_in_cells(bits: int, crowded: int):
                         whole.append(tuple(c[middle[0] : middle[1]] for c in columns))
                         held += middle[1] - middle[0]
             if held >= ROWS:
-                if (out := solve(whole)) is not None:
-                    yield out
+                yield from solve(whole)
                 whole, held = [], 0
         if last and not over:
             whole += last
-        if whole and (out := solve(whole)) is not None:
-            yield out
+        if whole:
+            yield from solve(whole)
 
     return run
 
@@ -247,19 +293,36 @@ def _by_balls(members: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def _search(cells: DataFrame, bits: int, crowded: int, masks: dict[int, int], again: bool) -> DataFrame:
+    """What ``links_in_cells`` finds in the rows (``fp``, ``near``, ``grid``, ``cell``), written."""
+    dealt = cells.repartition("grid", "cell").sortWithinPartitions("grid", "cell", "fp")
+    work = links_in_cells(bits, crowded, masks, MOST, again)
+    return materialize(dealt.mapInArrow(work, "u bigint, v bigint, grid int, cell bigint"), "links")
+
+
 def link(nodes: DataFrame, bits: int = 4, crowded: int = CROWDED) -> DataFrame:
     """Links (``u``, ``v``) that connect what differs in at most ``bits`` bits (even) among distinct ``fp``."""
     if bits % 2:
         raise ValueError("bits must be even")
-    masks = grids(nodes.count(), bits)
+    masks = dict(enumerate(grids(nodes.count(), bits)))
     near = embed(F.col("fp"))
     cells = nodes.select("fp", near.alias("near")).select(
-        "fp", "near", F.posexplode(F.array(*[F.col("near").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")
+        "fp", "near", F.posexplode(F.array(*[F.col("near").bitwiseAND(F.lit(m)) for m in masks.values()])).alias("grid", "cell")
     )
-    cells = cells.repartition("grid", "cell").sortWithinPartitions("grid", "cell", "fp")
-    found = materialize(cells.mapInArrow(links_in_cells(bits, crowded), "u bigint, v bigint"), "links")
-    pairs = found.filter("v IS NOT NULL")
-    dense = found.filter("v IS NULL").select(F.col("u").alias("fp")).distinct()
+    found = _search(cells, bits, crowded, masks, again=True)
+    wide = found.filter("v IS NULL AND grid IS NOT NULL")
+    largest = wide.groupBy("grid", "cell").count().agg(F.max("count")).first()[0]
+    if largest:
+        finer = [[m | x for x in grids(largest, bits, m)] for m in masks.values()]
+        count = max(map(len, finer))
+        below = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in some]) for some in finer])
+        cells = wide.select(F.col("u").alias("fp"), embed(F.col("u")).alias("near"), "grid", F.posexplode(below[F.col("grid")])).select(
+            "fp", "near", (F.col("grid") * count + F.col("pos")).alias("grid"), F.col("near").bitwiseAND(F.col("col")).alias("cell")
+        )
+        masks = {k * count + i: x for k, some in enumerate(finer) for i, x in enumerate(some)}
+        found = found.filter("v IS NOT NULL OR grid IS NULL").unionByName(_search(cells, bits, crowded, masks, again=False))
+    pairs = found.filter("v IS NOT NULL").select("u", "v")
+    dense = found.filter("v IS NULL").filter("grid IS NULL").select(F.col("u").alias("fp")).distinct()
     if dense.isEmpty():
         return pairs
     # Links between a crowded cell's members; those to others are found in the others' cells or here.

@@ -183,11 +183,45 @@ def test_random_fingerprints_lose_no_link(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp bigint")
     for crowded in (simhash.CROWDED, 2):
-        found = components.components(simhash.link(nodes, 4, crowded))
-        names = dict(found.collect())
-        got = [names.get(x, x) for x in signed]
-        want = slow_components(fps)
-        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+        assert same_groups(simhash.link(nodes, 4, crowded), signed, fps)
+
+
+def same_groups(links, signed, fps):
+    names = dict(components.components(links).collect())
+    got = [names.get(x, x) for x in signed]
+    want = slow_components(fps)
+    return len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+@pytest.mark.parametrize("crowded, few, most", [(16_384, 8, 1 << 20), (4, 4, 1 << 20), (16_384, 2, 40), (16_384, 512, 40), (6, 3, 20)])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, crowded, few, most):
+    """Cells split in the task, dealt again in a second shuffle, and linked by balls."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "MOST", most)
+    rng = np.random.default_rng(crowded + few)
+    fps = set()
+    for base in rng.integers(0, 1 << 63, 3, dtype=np.uint64):
+        bits = rng.choice(64, 24, replace=False)  # texts of one kind differ in some bits only
+        for _ in range(160):
+            fps.add(int(base) ^ sum(1 << int(b) for b in rng.choice(bits, rng.integers(0, 9), replace=False)))
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    assert 20 < len(set(slow_components(fps))) < len(fps) - 20
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp bigint").repartition(5)
+    assert same_groups(simhash.link(nodes, 4, crowded), signed, fps)
+
+
+def test_grids_do_not_grow_with_the_table():
+    assert {len(simhash.grids(n, 4)) for n in (0, 1, 10**5, 10**7, 10**9, 10**10)} == {15}
+    top = simhash.grids(10**10, 4)
+    assert all(x & m == 0 for m in top for x in simhash.grids(1 << 20, 4, m, simhash.NARROW))
+    # Any four segments that differ leave one grid of either kind whole.
+    for m in (0, top[3]):
+        free = [s for s in range(32) if not m >> 2 * s & 3]
+        finer = simhash.grids(5_000, 4, m, simhash.NARROW)
+        for _ in range(300):
+            differ = sum(3 << 2 * s for s in random.sample(free, 4))
+            assert any(x & differ == 0 for x in finer)
 
 
 def test_components_of_paths_stars_and_cycles(spark):
