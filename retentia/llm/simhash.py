@@ -8,7 +8,8 @@ most ``bits`` leaves ``b - bits`` blocks with equal counts, so two linked finger
 cell in one of the grids, one per choice of ``b - bits`` blocks. There are 15 grids for four bits up to
 10^10 distinct fingerprints, so the copies of a fingerprint that are shuffled do not grow with the table. Cells do,
 and one of over ``FEW`` members is split again in its task: the segments in which its members may differ form blocks
-once more, as many as leave a few members to a finer cell, and each choice of them is one sort. A cell of
+once more, as many as leave a few members to a finer cell, and each choice of them is one sort. Where that compares no fewer
+pairs, as among near copies, the cell is compared as a whole, or taken for crowded. A cell of
 over ``MOST`` members, too many for a task, is dealt by finer grids in a second shuffle. Pairs within a
 cell are kept if the Manhattan distance and then the bits themselves allow it.
 
@@ -170,9 +171,30 @@ def links_in_cells(bits: int, crowded: int, masks: dict[int, int], most: int, ag
         columns.append(pa.nulls(len(u), pa.int64()) if cell is None else pa.array(cell, pa.int64()))
         return pa.RecordBatch.from_arrays(columns, ["u", "v", "grid", "cell"])
 
+    def pays(finer: list[int], near: np.ndarray) -> bool:
+        """Whether the pairs within finer cells are fewer than those that the cell, or one of ``crowded`` each, would have."""
+        bound, pairs = len(near) * min(len(near), crowded), 0
+        for mask in finer:
+            cells = np.sort(near & np.uint64(mask % (1 << 64)))
+            widths = np.diff(np.r_[np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]), len(cells)])
+            pairs += int((widths[widths <= crowded] ** 2).sum())
+            if pairs >= bound:
+                return False
+        return True
+
     def split(grid: int, fp: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
         links, dense = [], []
-        for mask in grids(len(fp), bits, masks[grid], NARROW):
+        finer_masks = grids(len(fp), bits, masks[grid], NARROW)
+        if not pays(finer_masks, near):
+            # Members that differ in a few segments only, as near copies do, meet again in most finer cells.
+            if len(fp) > crowded:
+                yield out(fp)
+                return
+            rows, roots = _forest(np.zeros(len(fp), np.int64), fp, near, bits)
+            if len(rows):
+                yield out(fp[rows], fp[roots])
+            return
+        for mask in finer_masks:
             finer = near & np.uint64(mask % (1 << 64))
             order = np.argsort(finer, kind="stable")
             finer = finer[order]
