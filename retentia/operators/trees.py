@@ -609,8 +609,9 @@ def fit_boosted(
     """Boosted trees on gradients and Hessians of the log loss, from margin 0.
 
     A split's quality is G^2 / (H + ``penalty``) of its sides, each with a Hessian sum of ``least`` or
-    more, and a leaf adds -``rate`` G / (H + ``penalty``). Up to ``small`` rows one task runs all rounds;
-    beyond, every level of every tree is a pass that sums over bins, and margins are written every ten trees.
+    more, and a leaf adds -``rate`` G / (H + ``penalty``). Up to ``small`` rows one task runs all rounds
+    over all values; beyond, rows of the same bins are merged, and one task runs all rounds if that leaves ``small`` or
+    fewer. Otherwise every level of every tree is a pass that sums over bins, and margins are written every ten trees.
     """
     cols, rule = list(cols), SecondOrder(penalty, least, rate)
     rows, xs = _prepared(train, cols, label, key), [f"x{i}" for i in range(len(cols))]
@@ -635,40 +636,118 @@ def fit_boosted(
         return TreeModel(cols, [_from_row(r) for r in sorted(made, key=lambda r: r["tree"])], None, boosted=True)
 
     starts, trees = bin_starts(rows, xs, max_bins), []
-    written = rows.withColumn("m", F.lit(0.0))
+    cells, lows = materialize(_merged(rows, xs, starts), "cells"), [f"l{i}" for i in range(len(cols))]
+    if cells.count() <= small:
+
+        def on_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches))
+            order = np.lexsort([table.column(f"c{i}").to_numpy() for i in range(len(cols))])
+            batch = table.take(pa.array(order)).combine_chunks().to_batches()[0]
+            x, margin = _matrix(batch, lows), np.zeros(batch.num_rows)
+            for tree in range(rounds):
+                top, last = Nodes.empty(), np.zeros(1, dtype=np.int64)
+                top.add(np.zeros(1))
+                for _ in range(depth):
+                    sums = _Sums(len(cols), last, len(top), max_bins)
+                    sums.add(batch, top.leaf_of(x), margin)
+                    last = _grow_level(top, sums.cells(), len(cols), rule)
+                    if not len(last):
+                        break
+                margin += top.value[top.leaf_of(x)]
+                yield _as_row(tree, 0, top)
+
+        made = cells.repartition(1).mapInArrow(on_cells, _SUBTREE).collect()
+        return TreeModel(cols, [_from_row(r) for r in sorted(made, key=lambda r: r["tree"])], None, boosted=True)
+
+    written = cells.withColumn("m", F.lit(0.0))
     for number in range(rounds):
         if number and number % 10 == 0:
-            written = materialize(written.mapInArrow(_with_margin(xs, trees[-10:]), written.schema), "margins")
+            written = materialize(written.mapInArrow(_with_margin(lows, trees[-10:]), written.schema), "margins")
         top, recent = Nodes.empty(), trees[number - number % 10 :]
         last = top.add(np.zeros(1))
         for _ in range(depth):
-            at = np.zeros(len(top), dtype=bool)
-            at[last] = True
 
-            def rows_of(batch, x, top=top, at=at, recent=recent):
-                y, margin = batch.column("y").to_numpy(), batch.column("m").to_numpy().copy()
-                for tree in recent:
-                    margin += tree.value[tree.leaf_of(x)]
-                p = 0.5 * (1 + np.tanh(margin / 2))
-                node = top.leaf_of(x)
-                yield 0, np.where(at[node], node, -1), p - y, p * (1 - p), None
+            def summed(batches, top=top, last=last, recent=recent):
+                sums = _Sums(len(cols), last, len(top), max_bins)
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    x, margin = _matrix(batch, lows), batch.column("m").to_numpy().copy()
+                    for tree in recent:
+                        margin += tree.value[tree.leaf_of(x)]
+                    sums.add(batch, top.leaf_of(x), margin)
+                yield pa.RecordBatch.from_pandas(sums.cells(), preserve_index=False)
 
             # At most 2^depth nodes, with a row per feature and bin.
-            cells = _added(written.mapInArrow(_cells_of(xs, starts, rows_of), _CELL)).toPandas()
-            node, (feature, threshold, null_left, left), whole = _split_cells(cells, len(cols), rule, np.zeros(len(top), dtype=np.uint64), None)
-            top.value[node] = rule.value(whole)
-            split = np.flatnonzero((feature >= 0) & rule.opened(whole))
-            node = node[split]
-            top.feature[node], top.threshold[node], top.null_left[node] = feature[split], threshold[split], null_left[split]
-            one, other = top.add(rule.value(left[split])), top.add(rule.value(whole[split] - left[split]))
-            top.left[node], top.right[node] = one, other
-            last = np.concatenate([one, other])
+            last = _grow_level(top, _added(written.mapInArrow(summed, _CELL)).toPandas(), len(cols), rule)
             if not len(last):
                 break
         trees.append(top)
     return TreeModel(cols, trees, None, boosted=True)
 
 
+def _merged(rows: DataFrame, xs: list[str], starts: list[np.ndarray]) -> DataFrame:
+    """``rows`` with the same bin of every feature (``c0``..., -1 for nulls) as one: their number ``n``, labels summed to ``y``, lowest and highest values ``l0``... and ``g0``....
+
+    Splits lie between bins, so such rows are never parted and keep one margin.
+    """
+    places = range(len(xs))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, xs) if batch.num_rows else np.zeros((0, len(xs)))
+            codes = [np.where(np.isnan(x[:, f]), -1, np.searchsorted(starts[f], x[:, f], side="right")).astype(np.int32) for f in places]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, codes), *batch.select(xs).columns, batch.column("y")], [*(f"c{f}" for f in places), *xs, "y"])
+
+    kinds = [*(f"c{f} int" for f in places), *(f"{c} double" for c in xs), "y double"]
+    ends = [e(f"x{f}").alias(f"{name}{f}") for name, e in (("l", F.min), ("g", F.max)) for f in places]
+    by = [f"c{f}" for f in places]
+    return rows.mapInArrow(coded, ", ".join(kinds)).groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("y"), *ends)
+
+
+class _Sums:
+    """Gradients and Hessians of the nodes ``last`` by feature and bin, added up batch by batch."""
+
+    def __init__(self, d: int, last: np.ndarray, nodes: int, max_bins: int):
+        self.last, self.width, shape = last, max_bins + 2, (d, len(last) * (max_bins + 2))
+        self.slot = np.full(nodes, -1)
+        self.slot[last] = np.arange(len(last))
+        self.n, self.a, self.b = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        self.low, self.high = np.full(shape, np.inf), np.full(shape, -np.inf)
+
+    def add(self, batch: pa.RecordBatch, node: np.ndarray, margin: np.ndarray) -> None:
+        n, y = batch.column("n").to_numpy(), batch.column("y").to_numpy()
+        p, slot = 0.5 * (1 + np.tanh(margin / 2)), self.slot[node]
+        on = np.flatnonzero(slot >= 0)
+        a, b, n, first = (n * p - y)[on], (n * p * (1 - p))[on], n[on], slot[on] * self.width + 1
+        for f in range(len(self.n)):
+            at = first + batch.column(f"c{f}").to_numpy()[on]
+            for total, each in ((self.n, n), (self.a, a), (self.b, b)):
+                total[f] += np.bincount(at, each, total.shape[1])
+            ends = (batch.column(f"{c}{f}").to_numpy(zero_copy_only=False).astype(float)[on] for c in "lg")
+            np.minimum.at(self.low[f], at, next(ends))
+            np.maximum.at(self.high[f], at, next(ends))
+
+    def cells(self) -> pd.DataFrame:
+        place, at = np.nonzero(self.n)
+        slot, code = np.divmod(at, self.width)
+        keys = {"tree": 0 * at, "node": self.last[slot], "place": place, "bin": code - 1}
+        values = {name: total[place, at] for name, total in (("a", self.a), ("b", self.b), ("low", self.low), ("high", self.high))}
+        return pd.DataFrame({**{k: v.astype(np.int32) for k, v in keys.items()}, **values})
+
+
+def _grow_level(top: Nodes, cells: pd.DataFrame, d: int, rule) -> np.ndarray:
+    """Splits the nodes of ``top`` that ``cells`` has sums of, where that gains; gives their children."""
+    node, (feature, threshold, null_left, left), whole = _split_cells(cells, d, rule, np.zeros(len(top), dtype=np.uint64), None)
+    top.value[node] = rule.value(whole)
+    split = np.flatnonzero((feature >= 0) & rule.opened(whole))
+    node = node[split]
+    top.feature[node], top.threshold[node], top.null_left[node] = feature[split], threshold[split], null_left[split]
+    one, other = top.add(rule.value(left[split])), top.add(rule.value(whole[split] - left[split]))
+    top.left[node], top.right[node] = one, other
+    return np.concatenate([one, other])
+
+
 def _with_margin(xs: list[str], trees: list[Nodes]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

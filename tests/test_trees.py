@@ -189,3 +189,20 @@ def test_odd_tables(spark):
     none = df.selectExpr("key", "cast(null as double) a", "cast(null as double) b", "cast(null as double) c", "y")
     assert len(set(scores(trees.fit_trees(none, COLS, "y", "key", small=1), none).values())) == 1
     assert trees.fit_trees(df, COLS, "y", "key").score(df.where("key < 0"), "p").count() == 0
+
+
+@pytest.mark.parametrize("small", [600, 40], ids=["merged rows in one task", "passes over merged rows"])
+def test_boosting_merges_rows_of_the_same_bins(spark, small):
+    x, y = data(1500, 13)
+    x[:, 0] %= 6
+    df = frame(spark, x, y)
+    alike = len(np.unique(np.nan_to_num(x, nan=99.0), axis=0))
+    assert 40 < alike < 600
+    context, group = spark.sparkContext, f"boosting {small}"
+    context.setJobGroup(group, group)
+    model = trees.fit_boosted(df, COLS, "y", "key", rounds=12, depth=2, small=small)
+    jobs = len(context.statusTracker().getJobIdsForGroup(group))
+    context.setJobGroup("others", "others")
+    assert (jobs < 24) == (small == 600)  # no pass per level
+    want = scores(trees.fit_boosted(df, COLS, "y", "key", rounds=12, depth=2), df)
+    assert scores(model, df) == pytest.approx(want, abs=1e-9)
