@@ -2,9 +2,9 @@
 
 Passages are windows of 32 and 64 words that move by 16 words over the whole text. Words are hashed into
 ``BUCKETS`` and weighted by how few passages of the whole corpus hold them. A randomised SVD of
-the TF-IDF matrix of a bounded sample of passages gives a latent space, whitened so that
-common directions do not make everything alike; its products run on the executors and only
-matrices of a fixed size reach the driver. Every passage of every document is then projected (the
+the TF-IDF matrix of all passages of all documents gives a latent space, whitened so that
+common directions do not make everything alike; its products run on the executors, over the passages' buckets
+that are written once, and only matrices of a fixed size reach the driver. Every passage of every document is then projected (the
 projection is a sum over its words, each counted once, so that repeats cannot outweigh the others) and compared with the items by cosine; items
 longer than ``PIECE`` words are searched in pieces. What is similar is checked on the words themselves: the passage must
 hold, with its surroundings, ``LOOSE`` of the words of the item, in any order, as every match does, and then the longest common subsequence of item and surroundings must cover ``COVER`` of the item, or ``LOOSE`` of it
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.llm.common import fresh, slices, text_of
@@ -33,8 +33,10 @@ from retentia.sources.tables import materialize
 
 BUCKETS, RANK, OVER, ROUNDS = 1 << 14, 128, 8, 2
 STEP, WIDTHS, PIECE = 16, (2, 4), 48
-#: Documents whose passages the latent space is fitted on, about; items per block; words of the shortest item that may be reworded.
-SAMPLE, BLOCK, LEAST = 3_000, 1_000, 8
+#: Items per block; words of the shortest item that may be reworded.
+BLOCK, LEAST = 1_000, 8
+#: Passages that a task multiplies at a time; a bucket that more than one in ``HEAD`` of them holds is common.
+CHUNK, HEAD = 8192, 32
 #: The least cosine, and the shares of an item's words.
 COSINE, COVER, LOOSE = 0.25, 0.8, 0.6
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -161,25 +163,59 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("text"))
 
 
-def passage_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """For each bucket, the passages (blocks) of all documents that hold it; and their number."""
-    fold = folding()
+def _distinct(number: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a number (ascending) and a bucket, in order and each once."""
+    kind = np.uint32 if number[-1] < (1 << 32) // BUCKETS else np.uint64
+    key = np.sort(number.astype(kind) * kind(BUCKETS) + b.astype(kind))
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    return (key // kind(BUCKETS)).astype(np.int64), (key % kind(BUCKETS)).astype(np.uint16)
+
+
+_PASSAGES = "bucket bigint, n bigint, size binary, words binary"
+
+
+def passages(docs: DataFrame, text_col: str = "text", used: Column | None = None) -> DataFrame:
+    """Written once, from one pass over the texts: per task and ``bucket`` the ``n`` blocks that hold it (their number under -1),
+    and per text the distinct buckets of its passages, as ``size`` of each and all their ``words``; these of ``used`` texts only."""
+    fold, wide = folding(), STEP * WIDTHS[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = np.zeros(BUCKETS, np.int64), 0
-        for batch in slices(batches, "text", 1 << 20):
+
+        def rows(bucket, n, size, words) -> pa.RecordBatch:
+            columns = [pa.array(x, k) for x, k in ((bucket, pa.int64()), (n, pa.int64()), (size, pa.binary()), (words, pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "n", "size", "words"])
+
+        for batch in slices(batches, "text", 1 << 17):
             words, bounds = hashes(batch.column("text").to_pylist(), fold)
             start, _ = blocks(bounds)
             if not len(start):
                 continue
-            block = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(words)]))
-            key = np.sort(block * BUCKETS + buckets(words))
-            held += np.bincount(key[np.r_[True, key[1:] != key[:-1]]] % BUCKETS, minlength=BUCKETS)
+            b = buckets(words)
+            _, bucket = _distinct(np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(b)])), b)
+            held += np.bincount(bucket, minlength=BUCKETS)
             total += len(start)
+            count = np.diff(bounds)
+            ends = np.cumsum(-(-count // wide))
+            first = np.r_[0, ends[:-1]]
+            row, bucket = _distinct(np.repeat(first, count) + (np.arange(len(b)) - np.repeat(bounds[:-1], count)) // wide, b)
+            size = np.bincount(row, minlength=ends[-1]).astype(np.uint8)
+            upto = np.r_[0, np.cumsum(size, dtype=np.int64)]
+            on = np.flatnonzero((count > 0) & batch.column("used").to_numpy(zero_copy_only=False).astype(bool))
+            x, y = first[on], ends[on]
+            packed = [size[i:j].tobytes() for i, j in zip(x, y, strict=True)], [bucket[i:j].tobytes() for i, j in zip(upto[x], upto[y], strict=True)]
+            yield rows([None] * len(on), [None] * len(on), *packed)
         seen = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen]), pa.array(np.r_[total, held[seen]])], ["bucket", "n"])
+        none = [None] * (len(seen) + 1)
+        yield rows(np.r_[-1, seen], np.r_[total, held[seen]], none, none)
+
+    marked = _texts(docs, text_col).withColumn("used", F.lit(True) if used is None else used)
+    return materialize(marked.mapInArrow(run, _PASSAGES), "passages")
 
-    sums = _texts(docs, text_col).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+def passage_counts(written: DataFrame) -> tuple[np.ndarray, int]:
+    """For each bucket, the blocks of all documents that hold it; and their number."""
+    sums = written.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("n").alias("n"))
     got = {r["bucket"]: r["n"] for r in sums.collect()}  # one row per bucket
     out = np.zeros(BUCKETS)
     for k, n in got.items():
@@ -188,34 +224,54 @@ def passage_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
     return out, int(got.get(-1, 0))
 
 
-def _passages(batch: pa.RecordBatch, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The TF-IDF rows of a batch of sampled word buckets: row, bucket, value; rows have length one."""
-    rows, columns = [], []
-    n = 0
-    for packed in batch.column("words").to_pylist():
-        b = np.frombuffer(packed, np.int32)
-        row = n + np.arange(len(b)) // (STEP * WIDTHS[-1])
-        rows.append(row)
-        columns.append(b)
-        n = int(row[-1]) + 1 if len(b) else n
+def _back(batch: pa.RecordBatch, basis: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """The transpose times the matrix times the basis, for a batch of passages whose TF-IDF rows have length one.
+
+    ``basis`` comes with the words' weights in it, whose squares are ``square``; the result lacks the transpose's weights.
+    """
+    out = np.zeros(basis.shape, np.float32)
+    size = np.frombuffer(b"".join(batch.column("size").to_pylist()), np.uint8)
     # A word that a passage repeats counts once, as in the search.
-    row, column = np.divmod(np.unique(np.concatenate(rows) * BUCKETS + np.concatenate(columns)), BUCKETS)
-    value = weight[column]
-    length = np.sqrt(np.bincount(row, value**2, n))
-    return row, column, (value / np.maximum(length, 1e-9)[row]).astype(np.float32), n
-
-
-def _times(row, column, value, n, matrix) -> np.ndarray:
-    out = np.zeros((n, matrix.shape[1]), np.float32)
-    for lo in range(0, len(row), 1 << 16):
-        r = row[lo : lo + (1 << 16)]
-        part = matrix[column[lo : lo + (1 << 16)]] * value[lo : lo + (1 << 16), None]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        out[r[first]] += np.add.reduceat(part, first)
+    words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint16)
+    ends = np.cumsum(size, dtype=np.int64)
+    for lo in range(0, len(size), CHUNK):
+        count = size[lo : lo + CHUNK].astype(np.int64)
+        column = words[ends[lo] - count[0] : ends[lo + len(count) - 1]]
+        row = np.repeat(np.arange(len(count)), count)
+        squared = np.add.reduceat(square[column], np.cumsum(count) - count)[:, None]
+        # Common buckets go by a dense product, the others word by word.
+        head = np.flatnonzero(np.bincount(column, minlength=BUCKETS) * HEAD > len(count))
+        place = np.full(BUCKETS, -1)
+        place[head] = np.arange(len(head))
+        at = place[column]
+        dense = np.zeros((len(count), len(head)), np.float32)
+        dense[row[at >= 0], at[at >= 0]] = 1
+        row, column = row[at < 0], column[at < 0]
+        y = dense @ basis[head]
+        _add_rows(y, row, basis, column)
+        y /= squared
+        out[head] += dense.T @ y
+        order = np.argsort(column, kind="stable")
+        rare, group = np.unique(column[order], return_inverse=True)
+        part = np.zeros((len(rare), basis.shape[1]), np.float32)
+        _add_rows(part, group, y, row[order])
+        out[rare] += part
     return out
 
 
-def _summed(sample: DataFrame, function, shape: tuple[int, int]) -> np.ndarray:
+def _add_rows(out: np.ndarray, group: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
+    """Adds to the rows of ``out`` those of ``source`` that belong to them (``group`` ascends), one for all rows at a time."""
+    count = np.bincount(group, minlength=len(out))
+    by = np.argsort(-count, kind="stable")
+    first, falling = (np.cumsum(count) - count)[by], -count[by]
+    total = np.zeros(out.shape, np.float32)
+    for k in range(int(count.max(initial=0))):
+        m = int(np.searchsorted(falling, -k))
+        total[:m] += source.take(at[first[:m] + k], axis=0)
+    out[by] += total
+
+
+def _summed(rows: DataFrame, function, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all batches of a matrix of fixed shape, added up on the executors in strips."""
     strips = 32
 
@@ -239,60 +295,43 @@ def _summed(sample: DataFrame, function, shape: tuple[int, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(rows, pa.binary())], ["strip", "x"])
 
     kind = "strip int, x binary"
-    parts = sample.mapInArrow(run, kind).repartition("strip").mapInArrow(add, kind).collect()
+    parts = rows.mapInArrow(run, kind).repartition("strip").mapInArrow(add, kind).collect()
     if not parts:
         return np.zeros(shape)
     return np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(parts, key=lambda r: r["strip"])]).reshape(shape).astype(float)
 
 
-def fit(docs: DataFrame, text_col: str = "text", size: int = SAMPLE) -> np.ndarray:
-    """The projection of word buckets to the latent space (``BUCKETS`` x ``RANK`` and a row of zeros), weights included."""
-    spark, fold = docs.sparkSession, folding()
-    held, total = passage_counts(docs, text_col)
-    weight = np.log((total + 1) / (held + 1)) + 0.1
+def fit(docs: DataFrame, text_col: str = "text", size: int | None = None) -> np.ndarray:
+    """The projection of word buckets to the latent space (``BUCKETS`` x ``RANK`` and a row of zeros), weights included.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            words, bounds = hashes(batch.column("text").to_pylist(), fold)
-            b = buckets(words).astype(np.int32)
-            rows = [b[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["words"])
-
-    texts = _texts(docs, text_col)
-    # Of texts with a word, each counted once however many rows repeat it.
-    texts = texts.filter(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    share = min(1.0, size / max(1, texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]))
-    chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    # Copies fall into the sample together: one of each is enough, and keeps the sample bounded.
-    chosen = chosen.dropDuplicates(["text"])
-    sample = materialize(chosen.mapInArrow(cut, "words binary"), "passages").coalesce(8)
-    rng = np.random.default_rng(11)
-    basis = rng.standard_normal((BUCKETS, RANK + OVER))
+    The space is that of all passages; with ``size``, of those of about so many distinct texts. After ``ROUNDS`` products of
+    the matrix's transpose and the matrix with a basis, the last gives its leading directions (Nystrom's approximation).
+    """
+    spark, used = docs.sparkSession, None
+    if size is not None:
+        distinct = _texts(docs, text_col).filter(F.col("text").rlike(r"[\p{L}\p{N}]")).agg(F.approx_count_distinct(F.xxhash64("text"), 0.02))
+        share = min(1.0, size / max(1, distinct.first()[0]))
+        used = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)
+    written = passages(docs, text_col, used)
+    held, total = passage_counts(written)
+    weight = np.log((total + 1) / (held + 1)) + 0.1
+    # Every task hands on a matrix, so their number does not grow with the table.
+    rows = written.filter(F.col("words").isNotNull()).select("size", "words").coalesce(max(8, spark.sparkContext.defaultParallelism))
+    image = np.random.default_rng(11).standard_normal((BUCKETS, RANK + OVER))
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((basis.astype(np.float32), weight))
-
-        def back(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
-            """The transpose times the matrix times the basis."""
-            basis, weight = shared.value
-            row, column, value, n = _passages(batch, weight)
-            y = _times(row, column, value, n, basis)
-            order = np.argsort(column, kind="stable")
-            return _times(column[order], row[order], value[order], BUCKETS, y)
-
-        basis, _ = np.linalg.qr(_summed(sample, back, basis.shape))
+        basis, _ = np.linalg.qr(image)
+        shared = spark.sparkContext.broadcast(((weight[:, None] * basis).astype(np.float32), weight.astype(np.float32) ** 2))
+        image = weight[:, None] * _summed(rows, lambda batch, shared=shared: _back(batch, *shared.value), basis.shape)
         shared.unpersist()
-    shared = spark.sparkContext.broadcast((basis.astype(np.float32), weight))
-
-    def gram(batch: pa.RecordBatch) -> np.ndarray:
-        basis, weight = shared.value
-        y = _times(*_passages(batch, weight), basis).astype(float)
-        return y.T @ y
-
-    values, vectors = np.linalg.eigh(_summed(sample, gram, (RANK + OVER, RANK + OVER)))
-    top = np.argsort(values)[::-1][:RANK]
-    scale = 1 / np.sqrt(np.maximum(values[top], max(values.max(), 1e-9) * 1e-6))
-    projection = weight[:, None] * (basis @ vectors[:, top]) * scale
-    return np.r_[projection, np.zeros((1, RANK))].astype(np.float32)
+    core = basis.T @ image
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    # Directions in which there is nothing but rounding are left out.
+    sure = values > max(values.max(), 1e-9) * 1e-6
+    directions, length, _ = np.linalg.svd(image @ (vectors[:, sure] / np.sqrt(values[sure])), full_matrices=False)
+    directions, length = directions[:, :RANK], length[:RANK]
+    projection = np.zeros((BUCKETS + 1, RANK), np.float32)
+    projection[:-1, : len(length)] = weight[:, None] * directions / np.maximum(length, length.max(initial=1e-9) * 1e-3)
+    return projection
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -425,13 +464,19 @@ class Items:
             self.counts = self.counts.astype(np.uint8 if self.counts.max() < 256 else np.uint32)
         b, before = self.place[b], before.astype(np.int32 if len(before) < 1 << 31 else np.int64)
         flat, out = self.counts.ravel(), np.zeros(len(owner), bool)
+        reach = last - first
+        # Those of like reach together, as a block is as wide as its widest.
+        order = np.argsort(reach, kind="stable")
         for lo in range(0, len(owner), 1024):
-            k, x, y = owner[lo : lo + 1024], first[lo : lo + 1024].astype(before.dtype), last[lo : lo + 1024]
-            reach = np.arange((y - x).max(), dtype=before.dtype)
-            place = x[:, None] + reach
-            got = flat.take(b.take(place, mode="clip") + (k * self.counts.shape[1])[:, None])
-            got *= (before.take(place, mode="clip") < x[:, None]) & (reach < (y - x)[:, None])
-            out[lo : lo + 1024] = got.sum(axis=1, dtype=np.int64) / size[k] >= LOOSE
+            at = order[lo : lo + 1024]
+            k, x, width = owner[at], first[at].astype(before.dtype), reach[at]
+            step = np.arange(width[-1], dtype=before.dtype)
+            place = x[:, None] + step
+            got = flat.take(b.take(place, mode="clip") + (k * self.counts.shape[1]).astype(np.int32 if len(flat) < 1 << 31 else np.int64)[:, None])
+            got *= before.take(place, mode="clip") < x[:, None]
+            if width[0] < width[-1]:
+                got *= step < width[:, None]
+            out[at] = got.sum(axis=1, dtype=np.int32) / size[k] >= LOOSE
         return out
 
 
@@ -451,7 +496,7 @@ def match(
     item_col: str = "item_id",
     item_text_col: str = "text",
     cosine: float = COSINE,
-    sample: int = SAMPLE,
+    sample: int | None = None,
     block: int = BLOCK,
 ) -> tuple[DataFrame, str]:
     """``docs`` with a column that maps the items found to the share covered; and that column's name."""

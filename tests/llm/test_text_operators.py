@@ -514,6 +514,20 @@ def test_decontamination_fits_on_enough_texts_among_many_copies(spark, sf_dir):
     assert sum(items[i].item_id in found for i, found in got) >= 0.9 * len(rows)
 
 
+def test_decontamination_fits_its_space_on_every_passage(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.choice(40, 12, p=np.arange(1, 41) / 820)) for _ in range(7000)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id bigint, text string").repartition(5)
+    projection = decontaminate.fit(docs).astype(float)
+    words, bounds = decontaminate.hashes(texts, decontaminate.folding())
+    x = np.zeros((len(texts), decontaminate.BUCKETS))
+    x[np.repeat(np.arange(len(texts)), np.diff(bounds)), decontaminate.buckets(words)] = 1
+    weight = np.log((len(texts) + 1) / (x.sum(axis=0) + 1)) + 0.1
+    latent = x / np.linalg.norm(x * weight, axis=1, keepdims=True) @ projection[:-1]
+    # The latent space of all passages is white over them, in as many directions as there are words.
+    np.testing.assert_allclose(latent.T @ latent, np.diag([1.0] * 40 + [0.0] * (decontaminate.RANK - 40)), atol=1e-3)
+
+
 def test_quality_bound_counts_labels_of_the_documents_at_hand(spark):
     rows = [(i, ("good plain words of prose " if i % 2 else "xx 11 @@ || xx ") * 30) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
