@@ -23,7 +23,7 @@ from retentia.operators.logistic import fit_logistic
 from retentia.operators.metrics import model_report
 from retentia.operators.neighbors import knn_score
 from retentia.operators.selection import features_and_label
-from retentia.operators.trees import MAX_BINS, TreeModel, fit_boosted, fit_trees
+from retentia.operators.trees import MAX_BINS, TreeModel, fit_boosted, fit_trees, score_sent
 from retentia.sources.tables import materialize
 
 MODEL_NAMES = (
@@ -124,7 +124,13 @@ def score(
         out = raw.transform(out).withColumn(f"p_{name}", vector_to_array(f"_prob_{name}")[1])
         out = out.drop(f"_hat_{name}", f"_prob_{name}", f"_raw_{name}")
     out = out.drop("features")
+    sent = {name: m for name, m in models.items() if isinstance(m, TreeModel) and m.subtrees is None}
+    if sent:
+        # One Python worker a task and not one for each model.
+        out = score_sent({f"p_{name}": m for name, m in sent.items()}, out)
     for name, model in models.items():
+        if name in sent:
+            continue
         if isinstance(model, Linear | TreeModel):
             out = model.score(out, f"p_{name}")
         elif isinstance(model, Neighbours):

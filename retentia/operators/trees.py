@@ -13,7 +13,7 @@ equally good to ten digits the first feature and then the lowest threshold is ta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -289,6 +289,8 @@ def bin_starts(table: DataFrame, cols: Sequence[str], max_bins: int) -> list[np.
     return [np.unique(np.array(s, dtype=float)) for s in starts]
 
 
+#: Sums by tree, node, feature and bin that a task holds before it hands them on, about.
+HELD_CELLS = 400_000
 _CELL = "tree int, node int, place int, bin int, a double, b double, low double, high double"
 
 
@@ -300,6 +302,13 @@ def _cells_of(cols: Sequence[str], starts: list[np.ndarray], rows_of: Callable)
     where a node has equal-width bins of its own, NaN where it has the common ones; or None.
     """
 
+    def handed(kept: dict[tuple[int, int], pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        for (tree, f), part in kept.items():
+            part.insert(0, "place", f)
+            part.insert(0, "tree", tree)
+            yield pa.RecordBatch.from_pandas(part[["tree", "node", "place", "bin", "a", "b", "low", "high"]].astype({c: "int32" for c in ("tree", "node", "place", "bin")}), preserve_index=False)
+        kept.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], pd.DataFrame] = {}
         for batch in batches:
@@ -321,10 +330,9 @@ def _cells_of(cols: Sequence[str], starts: list[np.ndarray], rows_of: Callable)
                     if (tree, f) in kept:
                         part = pd.concat([kept[tree, f], part])
                     kept[tree, f] = part.groupby(["node", "bin"], as_index=False).agg({"a": "sum", "b": "sum", "low": "min", "high": "max"})
-        for (tree, f), part in kept.items():
-            part.insert(0, "place", f)
-            part.insert(0, "tree", tree)
-            yield pa.RecordBatch.from_pandas(part[["tree", "node", "place", "bin", "a", "b", "low", "high"]].astype({c: "int32" for c in ("tree", "node", "place", "bin")}), preserve_index=False)
+            if sum(map(len, kept.values())) > HELD_CELLS:
+                yield from handed(kept)
+        yield from handed(kept)
 
     return run
 
@@ -401,7 +409,7 @@ class TreeModel:
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` plus ``name``: the probability of class 1, averaged over the trees (or from summed margins)."""
         if self.subtrees is None:
-            return df.mapInArrow(_scored_by(self.cols, self.tops, self.boosted, name), _with(df, name))
+            return score_sent({name: self}, df)
         return self._score_by_subtrees(df, name)
 
     def _score_by_subtrees(self, df: DataFrame, name: str) -> DataFrame:
@@ -438,21 +446,25 @@ class TreeModel:
         return rows.join(votes.groupBy("_row").agg(F.avg("_p").alias(name)), "_row", "left").drop("_row")
 
 
-def _with(df: DataFrame, name: str) -> StructType:
-    return StructType([*df.schema.fields, StructField(name, DoubleType())])
+def score_sent(models: Mapping[str, TreeModel], df: DataFrame) -> DataFrame:
+    """``df`` plus a probability per name, all in one pass; the nodes (no model has subtrees) are broadcast, once per Python worker."""
+    # Bare arrays, as workers need not find this package.
+    sent = [(m.cols, [[getattr(top, field) for field in Nodes.FIELDS] for top in m.tops], m.boosted) for m in models.values()]
+    names, shared = list(models), df.sparkSession.sparkContext.broadcast(sent)
 
-
-def _scored_by(cols: list[str], tops: list[Nodes], boosted: bool, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch, cols) if batch.num_rows else np.zeros((0, len(cols)))
-            total = np.zeros(len(x))
-            for top in tops:
-                total += top.value[top.leaf_of(x)]
-            p = 0.5 * (1 + np.tanh(total / 2)) if boosted else total / max(1, len(tops))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
-
-    return run
+            found = []
+            for cols, tops, boosted in shared.value:
+                x = _matrix(batch, cols) if batch.num_rows else np.zeros((0, len(cols)))
+                total = np.zeros(len(x))
+                for arrays in tops:
+                    top = Nodes(*arrays)
+                    total += top.value[top.leaf_of(x)]
+                found.append(pa.array(0.5 * (1 + np.tanh(total / 2)) if boosted else total / max(1, len(tops))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in names)]))
 
 
 def _prepared(train: DataFrame, cols: Sequence[str], label: str, key: str) -> DataFrame:

@@ -206,3 +206,24 @@ def test_boosting_merges_rows_of_the_same_bins(spark, small):
     assert (jobs < 24) == (small == 600)  # no pass per level
     want = scores(trees.fit_boosted(df, COLS, "y", "key", rounds=12, depth=2), df)
     assert scores(model, df) == pytest.approx(want, abs=1e-9)
+
+
+def test_sums_are_handed_on_before_they_pile_up(spark, monkeypatch):
+    x, y = data(500, 14)
+    df = frame(spark, x, y)
+    rows = trees._prepared(df, COLS, "y", "key")
+    starts = trees.bin_starts(rows, ["x0", "x1", "x2"], 256)
+
+    def rows_of(batch, x):
+        for tree in range(4):
+            yield tree, np.zeros(len(x), dtype=int), np.ones(len(x)), batch.column("y").to_numpy(), None
+
+    def sums():
+        batches = rows.coalesce(1).toArrow().to_batches(max_chunksize=50)
+        out = [b.num_rows for b in trees._cells_of(["x0", "x1", "x2"], starts, rows_of)(iter(batches))]
+        return max(out), len(out)
+
+    whole = sums()
+    monkeypatch.setattr(trees, "HELD_CELLS", 20)
+    small = sums()
+    assert whole[1] == 12 and small[1] > 12 and small[0] <= whole[0]
