@@ -37,6 +37,8 @@ STEP, WIDTHS, PIECE = 16, (2, 4), 48
 BLOCK, LEAST = 1_000, 8
 #: Passages that a task multiplies at a time; a bucket that more than one in ``HEAD`` of them holds is common.
 CHUNK, HEAD = 8192, 32
+#: Rows of a matrix that are added at a time.
+ROWS = 256
 #: The least cosine, and the shares of an item's words.
 COSINE, COVER, LOOSE = 0.25, 0.8, 0.6
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -72,7 +74,7 @@ def hashes(texts: list[str], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of all texts, and where each text's words begin (one more at the end)."""
     joined = "\n".join(texts) + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = fold[code].astype(np.uint64)
+    low = fold.take(code.astype(np.int64), mode="clip")
     inside = low > 0
     begins = np.r_[True, ~inside[:-1]]
     if (alone := unspaced(code)).any():
@@ -82,9 +84,12 @@ def hashes(texts: list[str], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.r_[0, np.searchsorted(start, ends)]
     if not len(start):
         return np.zeros(0, np.uint64), bounds
-    place = np.arange(len(low)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(low)]))
+    place = np.arange(len(low))
+    place[start[0] :] -= np.repeat(start, np.diff(np.r_[start, len(low)]))
+    place &= len(FACTORS) - 1
     # Factors of one progression would give words of equal weighted sums the same hash.
-    mixed = low * FACTORS.take(place & (len(FACTORS) - 1))
+    mixed = FACTORS.take(place, mode="clip")
+    mixed *= low
     # Separators are zero, so a word's sum may run on to the next word.
     word = np.add.reduceat(mixed, start)
     return word ^ (word >> np.uint64(29)), bounds
@@ -138,24 +143,25 @@ def windows(values: list[np.ndarray], text: np.ndarray, width: int) -> np.ndarra
     """Sums over ``width`` blocks from each block on, within its text; every bucket of a window counts once."""
     out = values[0].copy()
     for k in range(1, width):
-        same = text[k:] == text[:-k]
-        out[:-k][same] += values[k][k:][same]
+        other = np.flatnonzero(text[k:] != text[:-k])
+        kept = out[other]
+        out[:-k] += values[k][k:]
+        out[other] = kept
     return out
 
 
 def projected(b: np.ndarray, start: np.ndarray, ends: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """The sum over each block's words of their rows; one word of all blocks at a time."""
-    out = np.zeros((len(start), projection.shape[1]), np.float32)
-    for lo in range(0, len(start), 2048):
-        first, stop = start[lo : lo + 2048], ends[lo : lo + 2048]
-        part = out[lo : lo + 2048]
-        part += projection[b[first]]
+    """The sum over each block's words of their rows; one word of ``ROWS`` blocks at a time, which stay in the processor's cache."""
+    out = np.empty((len(start), projection.shape[1]), np.float32)
+    one = np.empty((ROWS, projection.shape[1]), np.float32)
+    for lo in range(0, len(start), ROWS):
+        part = out[lo : lo + ROWS]
+        place = start[lo : lo + ROWS] + np.arange(STEP)[:, None]
+        # Behind a block's last word comes the row of zeros.
+        word = np.where(place < ends[lo : lo + ROWS], b.take(place, mode="clip"), BUCKETS)
+        projection.take(word[0], axis=0, out=part, mode="clip")
         for k in range(1, STEP):
-            more = first + k < stop
-            if more.all():
-                part += projection[b[first + k]]
-            else:
-                part[more] += projection[b[first[more] + k]]
+            part += projection.take(word[k], axis=0, out=one[: len(part)], mode="clip")
     return out
 
 
@@ -260,14 +266,17 @@ def _back(batch: pa.RecordBatch, basis: np.ndarray, square: np.ndarray) -> np.nd
 
 
 def _add_rows(out: np.ndarray, group: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
-    """Adds to the rows of ``out`` those of ``source`` that belong to them (``group`` ascends), one for all rows at a time."""
+    """Adds to the rows of ``out`` those of ``source`` that belong to them (``group`` ascends), one for ``ROWS`` rows at a time."""
     count = np.bincount(group, minlength=len(out))
     by = np.argsort(-count, kind="stable")
     first, falling = (np.cumsum(count) - count)[by], -count[by]
     total = np.zeros(out.shape, np.float32)
-    for k in range(int(count.max(initial=0))):
-        m = int(np.searchsorted(falling, -k))
-        total[:m] += source.take(at[first[:m] + k], axis=0)
+    one = np.empty((ROWS, out.shape[1]), np.float32)
+    for lo in range(0, int(np.searchsorted(falling, 0)), ROWS):
+        place, part, left = first[lo : lo + ROWS], total[lo : lo + ROWS], falling[lo : lo + ROWS]
+        for k in range(-int(left[0])):
+            m = int(np.searchsorted(left, -k))
+            part[:m] += source.take(at[place[:m] + k], axis=0, out=one[:m], mode="clip")
     out[by] += total
 
 
@@ -420,17 +429,19 @@ class Items:
         ends = bounds[1:][text]
         block, before, gap = repeats(b, start, text)
         values = layers(b, block, gap, start, ends, projection)
+        part, near = self._near(b, bounds)
         listed: list[int] | None = None
         for width, queries in self.queries.items():
             latent = _unit(windows(values, text, width))
             for lo in range(0, len(latent), 2048):
-                at, q = np.nonzero(latent[lo : lo + 2048] @ queries.T >= cosine)
+                at, q = np.divmod(np.flatnonzero(latent[lo : lo + 2048] @ queries.T >= cosine), len(queries))
                 at += lo
                 owner = self.owners[width][q]
                 size = np.array(self.sizes)[owner]
                 first = np.maximum(bounds[text[at]], start[at] - size)
                 last = np.minimum(ends[at], start[at] + width * STEP + size)
-                able = self._able(owner, first, last, b, before)
+                able = near[part[first], owner]
+                able[able] = self._able(owner[able], first[able], last[able], b, before)
                 for i, k, first, last in zip(*(x[able].tolist() for x in (at, owner, first, last)), strict=True):
                     doc = int(text[i])
                     if out[doc].get(k, 0) >= COVER:
@@ -452,16 +463,50 @@ class Items:
                 out[doc].update(dict.fromkeys(known[i], 1.0))
         return out
 
-    def _able(self, owner, first, last, b, before) -> np.ndarray:
-        """Whether the words from ``first`` to ``last`` hold so many words of the item ``owner``, in any order, that it may match."""
-        size = np.array(self.sizes)
+    def _count(self) -> None:
+        """Counts each item's buckets, once; only buckets of items have a place, all others share the last one."""
         if self.counts is None:
-            # Only buckets of items have a place; all others share the last one.
             known = np.unique(np.concatenate(self.words))
             self.place = np.full(BUCKETS, len(known), np.int32)
             self.place[known] = np.arange(len(known))
             self.counts = np.array([np.bincount(self.place[w], minlength=len(known) + 1) for w in self.words])
+            # The fewest words of each item that are a share of ``LOOSE``.
+            self.least = np.array([next(c for c in range(n + 1) if c / n >= LOOSE) for n in self.sizes], np.float32)
+            self.weights = self.counts[:, :-1].T.astype(np.float32)
             self.counts = self.counts.astype(np.uint8 if self.counts.max() < 256 else np.uint32)
+
+    def _near(self, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of its text that each word belongs to, and whether a part and the next hold so many words of an item that it may match there.
+
+        No surroundings of an item are longer than a part, so that those that begin in it end in the next at the latest.
+        """
+        self._count()
+        # Twice the widest surroundings: fewer parts cost less than they let through.
+        length = 2 * (WIDTHS[-1] * STEP + 2 * max(self.sizes))
+        count = np.diff(bounds)
+        parts = -(-count // length)
+        upto = np.cumsum(parts)
+        part = np.repeat(upto - parts, count) + (np.arange(len(b)) - np.repeat(bounds[:-1], count)) // length
+        text = np.repeat(np.arange(len(count)), parts)
+        # Where each part's words begin; a text's last part ends where the text does.
+        begins = np.r_[np.searchsorted(part, np.arange(len(text))), len(b)]
+        out = np.zeros((len(text), len(self.sizes)), bool)
+        for lo in range(0, len(text), ROWS):
+            hi = min(lo + ROWS, len(text))
+            more = min(hi + 1, len(text))
+            x, y = begins[lo], begins[more]
+            held = np.zeros((more - lo, len(self.weights) + 1), np.float32)
+            held[part[x:y] - lo, self.place[b[x:y]]] = 1
+            both = held[: hi - lo].copy()
+            last = more - lo - 1
+            on = np.flatnonzero(text[lo + 1 : more] == text[lo : lo + last])
+            both[on] = np.maximum(both[on], held[on + 1])
+            out[lo:hi] = both[:, :-1] @ self.weights >= self.least
+        return part, out
+
+    def _able(self, owner, first, last, b, before) -> np.ndarray:
+        """Whether the words from ``first`` to ``last`` hold so many words of the item ``owner``, in any order, that it may match."""
+        size = np.array(self.sizes)
         b, before = self.place[b], before.astype(np.int32 if len(before) < 1 << 31 else np.int64)
         flat, out = self.counts.ravel(), np.zeros(len(owner), bool)
         reach = last - first

@@ -537,3 +537,23 @@ def test_quality_bound_counts_labels_of_the_documents_at_hand(spark):
     x, owner = quality.encode([t for _, t in rows], quality._classes())
     assert few.bags(x, owner).std() > 0.01
     assert np.allclose(few.bags(x, owner), many.bags(x, owner), atol=1e-3)
+
+
+def test_decontamination_compares_only_items_whose_words_are_near(monkeypatch):
+    rng = np.random.default_rng(3)
+    common, words = [f"c{k}" for k in range(30)], [f"w{k}" for k in range(4000)]
+    bench = [(k, " ".join([*rng.choice(words, 30), *rng.choice(common, 10)])) for k in range(40)]
+    texts = ["", "one", *(" ".join(rng.choice([*common, *words[:300]], n)) for n in (20, 500, 3, 2900))]
+    texts += [" ".join([*rng.choice(words, n), bench[k][1], *rng.choice(common, n)]) for k, n in enumerate((0, 70, 333, 700, 1500))]
+    fold = decontaminate.folding()
+    projection = np.r_[rng.normal(size=(decontaminate.BUCKETS, 8)), np.zeros((1, 8))].astype(np.float32)
+    seen, able = [], decontaminate.Items._able
+    monkeypatch.setattr(decontaminate.Items, "_able", lambda self, owner, *rest: (seen.append(len(owner)), able(self, owner, *rest))[1])
+    monkeypatch.setattr(decontaminate, "ROWS", 3)
+    # At cosine -1 every window is compared with every item.
+    got = decontaminate.Items(bench, projection, fold).find(texts, projection, fold, -1.01)
+    some = sum(seen)
+    monkeypatch.setattr(decontaminate.Items, "_near", lambda self, b, bounds: (self._count(), np.zeros(len(b), int), np.ones((1, len(self.ids)), bool))[1:])
+    assert got == decontaminate.Items(bench, projection, fold).find(texts, projection, fold, -1.01)
+    assert [found.get(k, 0) >= decontaminate.COVER for k, found in enumerate(got[6:])] == [True] * 5
+    assert some < 0.2 * (sum(seen) - some)
