@@ -3,8 +3,10 @@
 A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded by what its
 characters and words look like; an embedding layer and a gated attention layer are learned
 from the document labels alone; the score comes from the attention-weighted mean of the passages'
-embeddings. The fit uses at most ``bound`` labelled documents, those of lowest id hash, and of each at most
-``PASSAGES`` passages, evenly spaced over the whole text; scoring covers every word of every document.
+embeddings. The fit minimises the loss over all passages of all labelled documents, as scoring covers every word of every document.
+Only its first weights come from fewer: ``bound`` labelled documents, those of lowest id hash, and of each at most
+``PASSAGES`` passages, evenly spaced over the whole text. Where that is not all, the features' scaling is counted over all passages and
+quasi-Newton steps (L-BFGS) go on, each from gradients summed on the executors over all passages, until the loss hardly falls.
 
 Null texts count as empty; a text without words is one passage without content, and gets the score the
 model gives that. Without labels of both classes every document scores the share of label 1 (0.5
@@ -21,18 +23,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.llm.common import slices, text_of
+from retentia.sources.tables import materialize, scratch_scope
 
 PASSAGE = 96
 BIGRAMS = 48
 CLASSES = 13
 LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 1 << 30])
 FEATURES = CLASSES + len(LENGTHS) + 8 + BIGRAMS
-#: Labelled documents that a fit reads at most, and passages that it takes from each of them.
+#: Labelled documents that the first weights come from at most, and passages of each of them.
 BOUND, PASSAGES = 3_000, 256
+#: Passes over all passages at most, and the share by which the loss must fall in one of three steps.
+PASSES, FALL = 30, 1e-2
 
 
 def _classes() -> np.ndarray:
@@ -143,6 +149,32 @@ def _forward(w: dict, x: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> d
     return {"h": h, "t": t, "s": s, "bag": bag, "alpha": alpha, "z": z, "logit": z @ w["c"] + w["c0"]}
 
 
+def _gradient(w: dict, x: np.ndarray, starts: np.ndarray, owner: np.ndarray, y: np.ndarray, n: int) -> tuple[float, dict]:
+    """What these bags add to the mean cross entropy of ``n`` bags and to its gradient."""
+    f = _forward(w, x, starts, owner)
+    h, t, s, bag, alpha = f["h"], f["t"], f["s"], f["bag"], f["alpha"]
+    d_logit = (1 / (1 + np.exp(-f["logit"])) - y) / n
+    d_bag = (d_logit[:, None] * w["c"])[bag]
+    d_alpha = (h * d_bag).sum(axis=1)
+    d_e = alpha * (d_alpha - np.add.reduceat(alpha * d_alpha, starts)[bag])
+    d_t, d_s = np.outer(d_e, w["w"]) * s * (1 - t**2), np.outer(d_e, w["w"]) * t * s * (1 - s)
+    d_h = (alpha[:, None] * d_bag + d_t @ w["V"].T + d_s @ w["U"].T) * (1 - h**2)
+    loss = float((np.logaddexp(0, f["logit"]) - y * f["logit"]).sum() / n)
+    return loss, {
+        "W": x.T @ d_h, "b": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_s,
+        "w": (t * s).T @ d_e, "c": f["z"].T @ d_logit, "c0": d_logit.sum(),
+    }
+
+
+def _start(d: int, hidden: int = 24, gate: int = 12) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return {
+        "W": rng.normal(0, d**-0.5, (d, hidden)), "b": np.zeros(hidden),
+        "V": rng.normal(0, hidden**-0.5, (hidden, gate)), "U": rng.normal(0, hidden**-0.5, (hidden, gate)),
+        "w": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "c0": np.zeros(()),
+    }
+
+
 def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = 250, hidden: int = 24, gate: int = 12) -> Model:
     """Full-batch Adam on the cross entropy of the bags, from a fixed start."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -150,28 +182,12 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = 250, hid
     if len(y) == 0 or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.5
         return model
-    rng, d = np.random.default_rng(7), x.shape[1]
-    w = {
-        "W": rng.normal(0, d**-0.5, (d, hidden)), "b": np.zeros(hidden),
-        "V": rng.normal(0, hidden**-0.5, (hidden, gate)), "U": rng.normal(0, hidden**-0.5, (hidden, gate)),
-        "w": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "c0": np.zeros(()),
-    }
+    w = _start(x.shape[1], hidden, gate)
     x = model.scaled(x).astype(np.float64)
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     for step in range(1, steps + 1):
-        f = _forward(w, x, starts, owner)
-        h, t, s, bag, alpha = f["h"], f["t"], f["s"], f["bag"], f["alpha"]
-        d_logit = (1 / (1 + np.exp(-f["logit"])) - y) / len(y)
-        d_bag = (d_logit[:, None] * w["c"])[bag]
-        d_alpha = (h * d_bag).sum(axis=1)
-        d_e = alpha * (d_alpha - np.add.reduceat(alpha * d_alpha, starts)[bag])
-        d_t, d_s = np.outer(d_e, w["w"]) * s * (1 - t**2), np.outer(d_e, w["w"]) * t * s * (1 - s)
-        d_h = (alpha[:, None] * d_bag + d_t @ w["V"].T + d_s @ w["U"].T) * (1 - h**2)
-        grad = {
-            "W": x.T @ d_h, "b": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_s,
-            "w": (t * s).T @ d_e, "c": f["z"].T @ d_logit, "c0": d_logit.sum(),
-        }
+        _, grad = _gradient(w, x, starts, owner, y, len(y))
         for k, g in grad.items():
             g = g + (0 if w[k].ndim < 2 else 1e-4 * w[k])
             a, b = moment[k]
@@ -191,20 +207,109 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
+def _bags(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all passages, and the document of each."""
+    held = np.array([len(p) // (4 * FEATURES) for p in packed], np.int64)
+    return np.frombuffer(b"".join(packed), np.float32).reshape(-1, FEATURES), np.repeat(np.arange(len(packed)), held)
+
+
+def _total(rows: DataFrame, function, size: int) -> np.ndarray:
+    """The sum over all batches of a vector of fixed size, added up on the executors in the order of the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in slices(batches, "x", 1 << 20):
+            total += function(*_bags(batch.column("x").to_pylist()), batch.column("y").to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for v in batch.column("v").to_pylist():
+                total += np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    parts = rows.mapInArrow(run, "task int, v binary").repartition(1).sortWithinPartitions("task")
+    return np.frombuffer(parts.mapInArrow(add, "v binary").first()["v"])
+
+
+def _descend(value, x: np.ndarray, passes: int, fall: float, memory: int = 8) -> np.ndarray:
+    """L-BFGS with halved steps from ``x``, for ``passes`` values at most and until three steps in a row lower them by less than the share ``fall``."""
+    f, g = value(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    passes, slow = passes - 1, 0
+    while passes > 0 and slow < 3:
+        d, scale = -g, []
+        for s, y in reversed(pairs):
+            scale.append((s @ d) / (s @ y))
+            d = d - scale[-1] * y
+        d = d * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1])) if pairs else d / max(1.0, 10 * np.linalg.norm(g))
+        for (s, y), a in zip(pairs, reversed(scale), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step, slope = 1.0, g @ d
+        while passes > 0:
+            f_next, g_next = value(x + step * d)
+            passes -= 1
+            if f_next <= f + 1e-4 * step * slope:
+                break
+            step /= 4
+        else:
+            return x
+        s, y, before = step * d, g_next - g, f
+        x, f, g = x + s, f_next, g_next
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs, (s, y)][-memory:]
+        slow = slow + 1 if before - f <= fall * abs(before) else 0
+    return x
+
+
+def _refine(model: Model, rows: DataFrame, bags: int, passages: int) -> Model:
+    """The model that minimises the loss over all ``rows``, from the weights of ``model``."""
+
+    def moments(x, owner, y) -> np.ndarray:
+        x = x.astype(np.float64)
+        return np.concatenate([x.sum(axis=0), (x**2).sum(axis=0)])
+
+    mean, square = np.split(_total(rows, moments, 2 * FEATURES) / passages, 2)
+    scale = np.sqrt(np.maximum(0, square - mean**2)) + 1e-3
+    # A model of labels of one class has no weights yet.
+    first = dict(model.weights or _start(FEATURES))
+    # The first weights saw features scaled by another mean and deviation.
+    first["b"] = first["b"] + (mean - model.mean) / model.scale @ first["W"]
+    first["W"] = first["W"] * (scale / model.scale)[:, None]
+    out = Model(mean, scale, {})
+    shapes = {k: v.shape for k, v in first.items()}
+    ends = np.cumsum([int(np.prod(v)) for v in shapes.values()])
+
+    def parts(flat: np.ndarray, kind: type) -> dict[str, np.ndarray]:
+        return {k: p.reshape(v).astype(kind) for (k, v), p in zip(shapes.items(), np.split(flat, ends[:-1]), strict=True)}
+
+    def value(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        w = parts(flat, np.float32)
+
+        def run(x, owner, y) -> np.ndarray:
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            loss, grad = _gradient(w, out.scaled(x).astype(np.float32), starts, owner, y.astype(np.float32), bags)
+            return np.concatenate([[loss], *(np.ravel(grad[k]) for k in shapes)])
+
+        total = _total(rows, run, int(ends[-1]) + 1)
+        decay = np.concatenate([1e-4 * np.ravel(v) if v.ndim > 1 else np.zeros(v.size) for v in parts(flat, np.float64).values()])
+        return total[0] + decay @ flat / 2, total[1:] + decay
+
+    out.weights = parts(_descend(value, np.concatenate([np.ravel(v) for v in first.values()]), PASSES, FALL), np.float64)
+    return out
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "quality", bound: int = BOUND, passages: int = PASSAGES,
 ) -> Model:
-    """Learns from the labelled documents that are not held out, ``bound`` of them at most, ``passages`` from each."""
+    """Learns from all labelled documents that are not held out; the first weights from ``bound`` of them at most, ``passages`` from each."""
     known = (
         labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.avg("y").alias("y"))
-        # The bound counts labels of documents at hand only.
-        .join(docs.select(F.col(id_col).cast("bigint").alias("doc_id")), "doc_id", "left_semi")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(bound)
     )
     classes = _classes()
 
@@ -212,21 +317,40 @@ def fit(
         for batch in slices(batches, "text", 1 << 20):
             x, owner = encode(batch.column("text").to_pylist(), classes)
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
-            packed = [x[_spread(a, b, passages)].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            packed = [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "x"]
             )
 
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "x", 1 << 24):
+            bags = (np.frombuffer(p, np.float32).reshape(-1, FEATURES) for p in batch.column("x").to_pylist())
+            packed = [x[_spread(0, len(x), passages)].tobytes() for x in bags]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], ["doc_id", "y", "x"])
+
+    kind = "doc_id bigint, y double, x binary"
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    # At most ``bound`` rows of an id and a label; an id that many rows repeat is learned from once.
-    rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = rows.mapInArrow(run, "doc_id bigint, y double, x binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    if not got:
-        return train(np.zeros((1, FEATURES), np.float32), np.zeros(1, np.int64), np.zeros(0))
-    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got]
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return train(np.concatenate(bags), owner, np.array([r["y"] for r in got]))
+    times = texts.groupBy("doc_id").agg(F.count("*").alias("times"))
+    with scratch_scope(docs.sparkSession):
+        # Spark knows the size of a written table, so that texts move only for more labels than can be broadcast.
+        known = materialize(known.join(times, "doc_id"), "labels")
+        rows = texts.join(known.filter("times = 1"), "doc_id").select("doc_id", "y", "text")
+        if not (repeated := known.filter("times > 1")).isEmpty():
+            # An id that many rows repeat is learned from once.
+            rows = rows.unionByName(texts.join(repeated, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+        rows = materialize(rows.mapInArrow(run, kind), "bags")
+        size = F.octet_length("x") / (4 * FEATURES)
+        bags, held, most, low, high = rows.agg(F.count("x"), F.sum(size), F.max(size), F.min("y"), F.max("y")).first()
+        if not bags:
+            return train(np.zeros((1, FEATURES), np.float32), np.zeros(1, np.int64), np.zeros(0))
+        first = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        chosen = rows if bags <= bound else rows.join(F.broadcast(first), "doc_id", "left_semi")
+        got = chosen.mapInArrow(few, kind).toArrow().to_pylist()
+        got.sort(key=lambda r: (r["doc_id"], r["x"]))
+        x, owner = _bags([r["x"] for r in got])
+        model = train(x, owner, np.array([r["y"] for r in got]))
+        done = bags <= bound and most <= passages or low == high
+        return model if done or model is None else _refine(model, rows, bags, held)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

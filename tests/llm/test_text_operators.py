@@ -557,3 +557,27 @@ def test_decontamination_compares_only_items_whose_words_are_near(monkeypatch):
     assert got == decontaminate.Items(bench, projection, fold).find(texts, projection, fold, -1.01)
     assert [found.get(k, 0) >= decontaminate.COVER for k, found in enumerate(got[6:])] == [True] * 5
     assert some < 0.2 * (sum(seen) - some)
+
+
+def test_quality_is_learned_from_all_passages_of_all_labelled_documents(spark):
+    good, bad, same = "Good plain words of prose. " * 25, "xx 11 @@ || xx 9 " * 25, "neutral text of no kind " * 60
+    # Only the last passages tell, and the first weights come from one document or from first passages.
+    rows = [(i, same + (good if i % 2 else bad)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.range(90).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    x, owner = quality.encode([t for _, t in rows], quality._classes())
+    y = np.arange(90) % 2
+    for options in ({"bound": 1}, {"passages": 1}, {"bound": 10, "passages": 2}):
+        model = quality.fit(docs, labels, **options)
+        assert ((model.bags(x, owner) >= 0.5) == y).all()
+    learned = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in range(90)])
+    seen = x[learned[owner]].astype(float)
+    np.testing.assert_allclose(model.mean, seen.mean(axis=0), atol=1e-5)
+    np.testing.assert_allclose(model.scale, seen.std(axis=0) + 1e-3, atol=1e-5)
+
+
+def test_quality_descent_finds_a_minimum():
+    a = np.diag([1.0, 10.0, 300.0])
+    seen = []
+    found = quality._descend(lambda x: (seen.append(1), (x - 2) @ a @ (x - 2) / 2, a @ (x - 2))[1:], np.zeros(3), 40, 1e-6)
+    assert np.allclose(found, 2, atol=1e-2) and len(seen) <= 40
